@@ -117,7 +117,7 @@ def surrogate(v: Column, attempt: Column, key: str = KEY) -> Column:
     ip = F.concat_ws(".", octet(0, 223, 1), octet(1, 256, 0), octet(2, 256, 0), octet(3, 254, 1))
     card = luhn(F.concat(F.substring(v, 1, 1), rest("^.(.*)$")))
     phone = F.concat(part(r"^(\+\d{1,3}|)"), F.when(v.rlike(r"^\+"), rest(r"^\+\d{1,3}(.*)$")).otherwise(rest("^(.*)$")))
-    secret = F.concat(F.regexp_extract(v, r"^(\w+[ ]*[=:][ ]*[\"']?)", 1), rest(r"^\w+[ ]*[=:][ ]*[\"']?(.*)$"))
+    secret = F.concat(part(r"^(\w+ *[=:] *[\"']?)"), rest(r"^\w+ *[=:] *[\"']?(.*?)[\"']?$"), part(r"([\"']?)$"))
     female = v.rlike(FEMALE)
     script = F.when(v.rlike(r"\p{IsCyrillic}"), "cyrillic").when(v.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     given = last = None
