@@ -87,7 +87,6 @@ def tree_blocks(packed: DataFrame, plan: TreePlan, length: int, by: tuple[str, .
     that a block lacks count as zeros.
     """
     halo, nchans, trials, dms = plan.halo(), plan.geometry.nchans, plan.dt_grid, plan.dm_grid
-    ctx = packed.sparkSession.sparkContext.broadcast(plan)
 
     real, kind = (np.float32, "float") if plan.geometry.precision == "float32" else (np.float64, "double")
 
@@ -98,7 +97,7 @@ def tree_blocks(packed: DataFrame, plan: TreePlan, length: int, by: tuple[str, .
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in cols})
         m, n, known = got
         m = m[:, halo - known :]
-        v = run_levels(channel_means(m, ctx.value), ctx.value)[:, m.shape[1] - n :]
+        v = run_levels(channel_means(m, plan), plan)[:, m.shape[1] - n :]
         head = {c: pdf[c].iloc[0] for c in (*by, "block")}
         return pd.DataFrame({**{c: [x] * len(trials) for c, x in head.items()}, "i_dt": np.arange(len(trials)), "dt": trials, "dm": dms, "v": list(v)})[cols]
 

@@ -23,7 +23,6 @@ def tree_stream(blocks: DataFrame, plan: TreePlan) -> DataFrame:
     block that came before is ignored (a source may repeat it).
     """
     halo, trials, nchans = plan.halo(), plan.dt_grid, plan.geometry.nchans
-    ctx = blocks.sparkSession.sparkContext.broadcast(plan)
 
     def run(key, parts, state):
         at, width, past, early = state.get if state.exists else (0, 0, b"", [])
@@ -37,7 +36,7 @@ def tree_stream(blocks: DataFrame, plan: TreePlan) -> DataFrame:
         while at in waiting:
             x = waiting.pop(at)
             m = np.concatenate([past, x], axis=1)
-            v = run_levels(channel_means(m, ctx.value), ctx.value)[:, m.shape[1] - x.shape[1] :]
+            v = run_levels(channel_means(m, plan), plan)[:, m.shape[1] - x.shape[1] :]
             out.append(pd.DataFrame({"obs": key[0], "block": at, "i_dt": np.arange(len(trials)), "dt": trials, "v": list(v.astype(np.float32))}))
             past, at = m[:, max(0, m.shape[1] - halo) :], at + 1
         state.update((at, past.shape[1], np.ascontiguousarray(past).tobytes(), [(b, np.ascontiguousarray(x).tobytes()) for b, x in sorted(waiting.items())]))

@@ -247,3 +247,29 @@ def test_stream_equals_batch(spark, tmp_path):
     for r in rows:
         got[r.i_dt, r.block * 16 : (r.block + 1) * 16] = r.v
     np.testing.assert_allclose(got, blocks.transform_matrix(x, p), atol=1e-4)
+
+
+def test_reports(spark, tmp_path):
+    import json
+
+    from chirpsieve.sources.reports import benchmarks
+
+    rows = [dict(name="cpu/plan_seq/2048", real_time=2.0, cpu_time=1.0, time_unit="s"), dict(name="mean", real_time=1, cpu_time=1, time_unit="ms")]
+    (tmp_path / "b.json").write_text(json.dumps({"benchmarks": rows}, indent=1))
+    got = benchmarks(spark, str(tmp_path / "b.json")).collect()
+    assert [tuple(r) for r in got] == [("cpu", "plan_seq", 2048, 2000.0, 1000.0)]
+
+
+def test_functions_travel_by_value():
+    """Executors without the package on their path can run its functions."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from chirpsieve.operators import blocks as b
+
+    data = cloudpickle.dumps((b.transform_matrix, TreePlan(Geometry(1000, 1500, 4, 16, 0.001, 6))))
+    code = "import sys, pickle, numpy as np; f, p = pickle.loads(sys.stdin.buffer.read()); print(f(np.ones((4, 16)), p).shape)"
+    out = subprocess.run([sys.executable, "-c", code], input=data, capture_output=True, cwd="/", env={"PATH": "/usr/bin"})
+    assert out.stdout.decode().strip() == "(7, 16)", out.stderr.decode()[-500:]
