@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": chat.OP5_SQL, "op6_sharding": sharding.op6_sql()}
+    return {"op5_chat": chat.OP5_SQL, "op6_sharding": sharding.op6_sql(), "op7_substrings": substrings.OP7_SQL}

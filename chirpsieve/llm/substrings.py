@@ -154,3 +154,14 @@ def op7(spark, sf_dir):
     from .common import documents
 
     return remove_repeats(documents(spark, sf_dir))
+
+
+OP7_SQL = rf"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select r, s, array_to_string(ws[s:s + {WINDOW - 1}], ' ') as k from (select r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) as s from w where len(ws) >= {WINDOW})),
+twice as (select k from win group by k having count(*) > 1),
+gone as (select distinct r, unnest(range(s, s + {WINDOW})) as p from win where k in (select k from twice)),
+word as (select r, unnest(ws) as x, generate_subscripts(ws, 1) as p from w),
+kept as (select r, string_agg(x, ' ' order by p) as text, count(*) as n from word anti join gone using (r, p) group by r)
+select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from w left join kept using (r)
+"""
