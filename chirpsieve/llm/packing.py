@@ -8,6 +8,7 @@ record for each piece.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LENGTH, END = 2048, 1
-CACHE = 1_000_000  # words that a task remembers, at most
+CACHE = 1_000_000  # words that a worker remembers, at most
+PIECE = 4_000_000  # characters encoded at a time (a longer text alone)
 
 
 def default_vocabulary() -> str:
@@ -28,33 +30,76 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# ASCII signs (no apostrophe) that may stand behind a word, and words of lower-case Latin letters only.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
 class Encoder:
-    """Ids of whole texts, word by word.
+    """Ids of whole texts, word by word, for vocabularies with word ends and these rules: NFC, lower case, white space dropped.
 
-    The vocabulary's rules drop white space and never join across it, so a
-    text's ids are those of its words in turn; repeated words come from a memory.
+    The rules never join across ASCII white space, so a text's ids are those of
+    its words in turn, and repeated words come from a memory. Signs behind a
+    word are pieces of their own. Words of plain letters are left as they are by
+    the rules: they go through the merges in one string, and the ids that end a
+    word cut the result. All other words are encoded one by one by the full rules.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {}
+        import tokenizers
+
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.plain = tokenizers.Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([tokenizers.pre_tokenizers.WhitespaceSplit(), tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.kind = np.dtype("<u2" if len(self.ends) <= 65536 else "<u4")
+        # kept with the library, so that it outlives a task in a reused worker
+        self.memory: dict[bytes, bytes] = tokenizers.__dict__.setdefault("chirpsieve_memory", {}).setdefault(path, {})
+
+    def _learn(self, new: set[bytes]) -> None:
+        m, cut, pieces = self.memory, [], set()
+        for w in new:
+            stem = w.rstrip(SIGNS)
+            if stem and stem is not w and len(stem) < len(w) and stem[-1:].isalnum() and b"<|" not in w:
+                cut.append((w, stem, w[len(stem) :]))
+                pieces.update(cut[-1][1:])
+            else:
+                pieces.add(w)
+        pieces = [w for w in pieces if w not in m]
+        plain = [w for w in pieces if PLAIN.fullmatch(w)]
+        for at in range(0, len(plain), 8192):
+            some = plain[at : at + 8192]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype=self.kind)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            if len(stops) != len(some):
+                raise ValueError("this vocabulary has no word ends to cut at")
+            raw, stops = ids.tobytes(), stops.tolist()
+            m.update(zip(some, (raw[a:b] for a, b in zip([0, *stops], stops))))
+        rest = [w for w in pieces if w not in m]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
+                m[w] = np.array(e.ids, dtype=self.kind).tobytes()
+        for w, stem, signs in cut:
+            m[w] = m[stem] + m[signs]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text. Cut at ASCII white space only, which the rules treat as white space too."""
-        parts = [t.encode().split() for t in texts]
-        m = self.memory
-        new = {w for p in parts for w in p if w not in m}
+        """Little-endian ids (of self.kind) of each text."""
+        m, parts = self.memory, []
+        for t in texts:
+            b = t.encode()
+            # lower case comes after NFC: where A-Z could meet a combining mark, or a special token is near, it is left to the rules
+            parts.append((b if b"<|" in b or b"\xcc" in b or b"\xcd" in b else b.lower()).split())
+        some = set().union(*parts)
+        new = {w for w in some if w not in m}
         if len(m) + len(new) > CACHE:
             m.clear()
-            new = {w for p in parts for w in p}
-        new = list(new)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
-                m[w] = np.array(e.ids, dtype="<u2" if all(i < 65536 for i in e.ids) else "<u4").astype("<u4").tobytes()
-        return [b"".join([m[w] for w in p]) for p in parts]
+            new = some
+        self._learn(new)
+        return [b"".join(map(m.__getitem__, p)) for p in parts]
 
 
 def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -65,19 +110,27 @@ def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc, part, first = Encoder(path), TaskContext.get().partitionId(), 0
-        wide = enc.tokenizer.get_vocab_size() > 65536
-        tail = np.array([end], dtype="<u4")
+        width, tail = enc.kind.itemsize, np.array([end], dtype=enc.kind).tobytes()
+
+        def rows(doc_ids, texts):
+            nonlocal first
+            ids = [x + tail for x in enc.batch(texts)]
+            sizes = np.array([len(x) for x in ids], dtype=np.int64) // width
+            starts = first + np.cumsum(sizes) - sizes
+            first += int(sizes.sum())
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.full(n, part, np.int32)), pa.array(starts), pa.array(sizes), pa.array(ids, pa.binary()), pa.array(np.full(n, width, np.int32))], ["doc_id", "part", "first", "n", "ids", "width"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                ids, starts, sizes = [], [], []
-                for raw in enc.batch([t or "" for t in some["text"].to_pylist()]):
-                    x = np.concatenate([np.frombuffer(raw, "<u4"), tail])
-                    ids.append((x if wide else x.astype("<u2")).tobytes())
-                    starts.append(first)
-                    sizes.append(len(x))
-                    first += len(x)
-                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array([part] * some.num_rows, pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array([4 if wide else 2] * some.num_rows, pa.int32())], ["doc_id", "part", "first", "n", "ids", "width"])
+            at, held, size = 0, [], 0
+            for t in batch["text"]:
+                held.append(t.as_py() or "")
+                size += len(held[-1])
+                if size >= PIECE:
+                    yield rows(batch["doc_id"].slice(at, len(held)), held)
+                    at, held, size = at + len(held), [], 0
+            if held:
+                yield rows(batch["doc_id"].slice(at, len(held)), held)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, first long, n long, ids binary, width int")
 
