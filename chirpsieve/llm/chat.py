@@ -31,32 +31,45 @@ def problem(name: Column, arguments: Column, schemas: dict) -> Column:
 
 
 def ranks(calls: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """conv_id, call_id, rank: 0 without (known) dependencies, else one more than the highest of them; null on a cycle.
+    """conv_id, call_id, rank: 0 without (known) dependencies, else one more than the highest of them; null on or behind a cycle.
 
     calls: conv_id, call_id, after (array of call_ids of the same conversation).
-    Round by round the calls whose dependencies are all ranked get theirs; a
-    round is a join by key, and there are as many rounds as the longest chain.
+    Runs of calls with one dependency each are shortened by pointer jumping, so
+    a chain of n takes log2(n) joins; calls with several dependencies then get
+    their ranks round by round, as many as such calls follow one another.
     """
-    nodes = calls.groupBy("conv_id", "call_id").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("after", F.expr("cast(array() as array<string>)"))))).alias("after"))
-    edges = nodes.select("conv_id", "call_id", F.explode("after").alias("dep")).where("dep is not null")
+    nodes = materialize(calls.groupBy("conv_id", "call_id").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("after", F.expr("cast(array() as array<string>)"))))).alias("after")))
     known = nodes.select(F.col("conv_id").alias("kc"), F.col("call_id").alias("kd"))
+    edges = nodes.select("conv_id", "call_id", F.explode("after").alias("dep")).where("dep is not null")
     edges = materialize(edges.join(known, F.col("conv_id").eqNullSafe(F.col("kc")) & (F.col("dep") == F.col("kd")), "left_semi"))
-    waits = edges.select(F.col("conv_id").alias("ec"), F.col("call_id").alias("ed")).distinct()
-    same = F.col("conv_id").eqNullSafe(F.col("ec")) & F.col("call_id").eqNullSafe(F.col("ed"))
-    done = materialize(nodes.select("conv_id", "call_id").join(waits, same, "left_anti").withColumn("rank", F.lit(0)))
-    left = waits
-    for r in range(1, rounds + 1):
-        d = done.select(F.col("conv_id").alias("dc"), F.col("call_id").alias("dd"))
-        open_ = edges.join(d, F.col("conv_id").eqNullSafe(F.col("dc")) & (F.col("dep") == F.col("dd")), "left_anti")
-        blocked = open_.select(F.col("conv_id").alias("bc"), F.col("call_id").alias("bd")).distinct()
-        ready = left.join(blocked, F.col("ec").eqNullSafe(F.col("bc")) & F.col("ed").eqNullSafe(F.col("bd")), "left_anti")
-        ready = materialize(ready)
-        if ready.isEmpty():
+    per = edges.groupBy(F.col("conv_id").alias("pc"), F.col("call_id").alias("pd")).agg(F.count(F.lit(1)).alias("deps"), F.min("dep").alias("dep"))
+    p = nodes.select("conv_id", "call_id").join(per, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("call_id") == F.col("pd")), "left")
+    one = F.coalesce("deps", F.lit(0)) == 1
+    # root: the nearest call up the run that has no dependency or several; dist: steps to it
+    p = materialize(p.select("conv_id", "call_id", F.coalesce("deps", F.lit(0)).alias("deps"), F.when(one, F.col("dep")).otherwise(F.col("call_id")).alias("root"), F.when(one, 1).otherwise(0).alias("dist"), (~one).alias("done")))
+    for _ in range(p.count().bit_length() + 1):
+        if p.where("not done").isEmpty():
             break
-        done = done.union(ready.select("ec", "ed", F.lit(r)))
-        left = materialize(left.join(ready.select(F.col("ec").alias("rc"), F.col("ed").alias("rd")), F.col("ec").eqNullSafe(F.col("rc")) & F.col("ed").eqNullSafe(F.col("rd")), "left_anti"))
-        edges = materialize(edges.join(left, same, "left_semi"))
-    return done.union(left.select("ec", "ed", F.lit(None).cast("int")))
+        up = p.select(F.col("conv_id").alias("uc"), F.col("call_id").alias("ud"), F.col("root").alias("ur"), F.col("dist").alias("us"), F.col("done").alias("uo"))
+        moved = p.where("not done").join(up, F.col("conv_id").eqNullSafe(F.col("uc")) & (F.col("root") == F.col("ud"))).select("conv_id", "call_id", "deps", F.col("ur").alias("root"), (F.col("dist") + F.col("us")).alias("dist"), F.col("uo").alias("done"))
+        p = materialize(p.where("done").union(moved))
+    ranked = p.where("deps = 0").select(F.col("conv_id").alias("rc"), F.col("call_id").alias("rd"), F.lit(0).alias("base"))
+    many = p.where("deps > 1")
+    if not many.isEmpty():
+        at = p.select(F.col("conv_id").alias("ac"), F.col("call_id").alias("ad"), F.when(F.col("done"), F.col("root")).alias("root"), "dist")
+        m = edges.join(many.select(F.col("conv_id").alias("mc"), F.col("call_id").alias("md")), F.col("conv_id").eqNullSafe(F.col("mc")) & (F.col("call_id") == F.col("md")), "left_semi")
+        m = materialize(m.join(at, F.col("conv_id").eqNullSafe(F.col("ac")) & (F.col("dep") == F.col("ad"))).select("conv_id", "call_id", "root", "dist"))
+        ranked = materialize(ranked)
+        for _ in range(rounds):
+            got = m.join(ranked, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("root") == F.col("rd")), "left")
+            ready = got.groupBy("conv_id", "call_id").agg(F.max(F.col("base").isNull()).alias("waits"), F.max(F.col("base") + F.col("dist") + 1).alias("base")).where("not waits")
+            ready = materialize(ready.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("rd"), "base"))
+            if ready.isEmpty():
+                break
+            ranked = materialize(ranked.union(ready))
+            m = materialize(m.join(ready, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("rd")), "left_anti"))
+    out = p.join(ranked, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("root") == F.col("rd")), "left")
+    return out.select("conv_id", "call_id", F.when(F.col("done"), F.col("base") + F.col("dist")).alias("rank"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
