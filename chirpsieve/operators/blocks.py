@@ -65,13 +65,13 @@ def transform_matrix(x: np.ndarray, plan: TreePlan) -> np.ndarray:
 
 
 def with_halo(packed: DataFrame, halo: int, length: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Each row once for its own block, and its tail again for the blocks that need it (lag 0, 1, ...)."""
-    lags = -(-halo // length)
-    out = packed.select(*by, "chan", "block", "x", F.lit(0).alias("lag"))
-    for k in range(1, lags + 1):
+    """Each row once for its own block, and its tail again for the blocks that need it (lag 0, 1, ...); one scan."""
+    parts = [F.struct(F.col("block"), F.col("x"), F.lit(0).alias("lag"))]
+    for k in range(1, -(-halo // length) + 1):
         keep = min(length, halo - (k - 1) * length)
-        out = out.unionByName(packed.select(*by, "chan", (F.col("block") + k).alias("block"), F.slice("x", F.greatest(F.lit(1), F.size("x") - keep + 1), F.lit(keep)).alias("x"), F.lit(k).alias("lag")))
-    return out
+        tail = F.slice("x", F.greatest(F.lit(1), F.size("x") - keep + 1), F.lit(keep))
+        parts.append(F.struct((F.col("block") + k).alias("block"), tail.alias("x"), F.lit(k).alias("lag")))
+    return packed.select(*by, "chan", F.explode(F.array(*parts)).alias("part")).select(*by, "chan", "part.block", "part.x", "part.lag")
 
 
 def _matrix(table: pa.Table, nchans: int, halo: int, length: int, real) -> tuple[np.ndarray, int, int] | None:
