@@ -21,13 +21,13 @@ CLASSES = 12
 SAMPLE = 1500  # labelled documents of each class at most
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 15, 8
 THRESHOLD = 0.7
-PIECE = 1 << 20
+PIECE, STRETCH = 1 << 20, 200
 
 # Byte classes.
 _CLASS = np.full(256, 10, dtype=np.int64)
 for _i, _chars in enumerate([b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r\x0b\x0c", bytes(range(128, 256)), b".,;:", b"!?", b"|", b"%&$#*"]):
     _CLASS[list(_chars)] = _i
-TERMS = CLASSES**3 + 24
+TERMS = CLASSES**3 + 16
 
 
 def terms(text: bytes) -> np.ndarray:
@@ -40,11 +40,12 @@ def terms(text: bytes) -> np.ndarray:
     out = np.sqrt(out / max(1, len(text)))
     ws = words(text)
     n = max(1, len(ws))
-    same = sum(map(bytes.__eq__, ws[1:], ws)) / n
-    rare = len(set(ws)) / n
+    # one repeated word is chance in a short text
+    same = max(0, sum(map(bytes.__eq__, ws[1:], ws)) - 1) / n
+    # by stretches, so that a long text doesn't look repetitive for its length
+    rare = sum(len(set(ws[i : i + STRETCH])) for i in range(0, len(ws), STRETCH)) / n
     out[CLASSES**3 + min(7, int(same * 8))] = 0.5
     out[CLASSES**3 + 8 + min(7, int(rare * 8))] = 0.25
-    out[CLASSES**3 + 16 + min(7, len(ws).bit_length() // 2)] = 0.1
     return out.astype(np.float32)
 
 
