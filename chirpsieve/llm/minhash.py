@@ -165,7 +165,9 @@ def edited_fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k1", F.xxhash64("text"))
-    src = src.repartitionByRange(n, F.asc_nulls_last("doc_id"), "k1").sortWithinPartitions(F.asc_nulls_last("doc_id"), "k1")
+    # the row's number splits rows that are equal in all else, so that they are no hot key
+    order = [F.asc_nulls_last("doc_id"), F.col("k1"), F.col("row_")]
+    src = src.withColumn("row_", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("sha", pa.string()), ("fp", pa.binary()), ("edited_fp", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
 
     def run(batches):
