@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.geometry import DISPERSION, SIMULATOR_DISPERSION
+from ..plans.geometry import DISPERSION, SIMULATOR_DISPERSION, dm_range
 
 
 def _c(x) -> Column:
@@ -59,6 +59,17 @@ def dm_delays(spark: SparkSession, dm: float, f_min: float, f_max: float, tsamp:
     return spark.range(nchans).select(F.col("id").cast("int").alias("chan")).withColumn("delay", F.rint(sec / tsamp).cast("int") if in_samples else sec)
 
 
+def dm_list(spark: SparkSession, dm_max: float, dm_step: float, dm_min: float = 0.0) -> DataFrame:
+    """i_dm, dm: the trial DMs of a range, its end included where it is on the grid."""
+    n = len(dm_range(dm_max, dm_step, dm_min))
+    return spark.range(n).select(F.col("id").cast("int").alias("i_dm"), (F.col("id") * dm_step + F.lit(float(dm_min))).alias("dm"))
+
+
+def niters(nchans) -> Column:
+    """Merges that bring so many channels to one band."""
+    return F.ceil(F.log2(_c(nchans))).cast("int")
+
+
 def add_offset(a, b, offset, n_out) -> Column:
     """a + (b moved right by offset), on n_out cells; what b has beyond a's end follows, then zeros.
 

@@ -210,6 +210,17 @@ from range({_P['nchans']}) c, range({_P['nsamps']}) s"""
 DELAYS_SQL = f"select cast(c.range as integer) as chan, cast({_PULSE_DELAY} as integer) as delay from range({_P['nchans']}) c"
 
 
+def _numbers(spark, sf):
+    g = spark.createDataFrame([(n, x.f_min, x.f_max, x.nchans) for n, x in sorted(GEOMETRIES.items())], "geometry string, f_min double, f_max double, nchans int")
+    df = (F.col("f_max") - F.col("f_min")) / F.col("nchans")
+    return g.select("geometry", F.round(df, 9).alias("df"), F.round(df / 2, 9).alias("correction"), fn.niters("nchans").alias("niters"))
+
+
+def _numbers_sql() -> str:
+    rows = [(n, x.f_min, x.f_max, x.nchans) for n, x in sorted(GEOMETRIES.items())]
+    return f"select geometry, round(cast(f_max - f_min as double) / nchans, 9) as df, round(cast(f_max - f_min as double) / nchans / 2, 9) as correction, cast(ceil(log2(nchans)) as integer) as niters from {_values(rows, 'geometry, f_min, f_max, nchans')}"
+
+
 def _recovered(spark, sf):
     """A noiseless pulse is found again: the peak's trial and sample."""
     g = Geometry(_P["f_min"], _P["f_max"], _P["nchans"], _P["nsamps"], _P["tsamp"], 128)
@@ -241,6 +252,8 @@ def queries() -> dict:
         "plan_shape": _shapes,
         "channel_grids": _channel_grids,
         "dm_grid": _dm_grid,
+        "geometry_numbers": _numbers,
+        "dm_list": lambda s, d: fn.dm_list(s, 20.0, 0.5, 1.0),
         "dm_range": lambda s, d: _rounded(pulse.dm_bounds(frames.trials(s, plan("odd"))), "dm_min", "dm_max"),
         "dm_delays": lambda s, d: fn.dm_delays(s, _P["dm"], _P["f_min"], _P["f_max"], _P["tsamp"], _P["nchans"]),
         "delay_table": lambda s, d: frames.delays(s, DIRECT),
@@ -277,6 +290,8 @@ def oracle_sql() -> dict[str, str]:
         "plan_shape": _shapes_sql(),
         "channel_grids": _channel_grids_sql(),
         "dm_grid": _dm_grid_sql(),
+        "geometry_numbers": _numbers_sql(),
+        "dm_list": "select cast(range as integer) as i_dm, cast(1.0 + range * 0.5 as double) as dm from range(39)",
         "dm_range": f"select round(cast({g.dt_min} as double) * {g.dm_step!r}, 6) as dm_min, round(cast({g.dt_max} as double) * {g.dm_step!r}, 6) as dm_max",
         "dm_delays": DELAYS_SQL,
         "delay_table": _delay_table_sql(),
