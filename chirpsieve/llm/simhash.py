@@ -28,6 +28,7 @@ SEGMENTS, BITS = 8, 8
 PIECE = 50_000  # words hashed at a time
 SMALL_RUN = 48  # buckets up to this size are compared pair by pair
 SKETCH = 256
+COMPLETE = 6  # bits up to which candidate search misses nothing
 _BIT = np.arange(64, dtype=np.uint64)
 
 
@@ -103,11 +104,6 @@ def keys(fp: Column, most: int, rotations: tuple[int, ...] = (0,)) -> Column:
     return F.array(*out)
 
 
-def _chain_masks(start: int) -> list[tuple[int, int]]:
-    """(l, mask of the first l segments from start) for l where the budget doesn't follow from the key."""
-    return [(l, sum(255 << (BITS * ((start + j) % SEGMENTS)) for j in range(l))) for l in (5, 7, 8)]
-
-
 def close(a: np.ndarray, b: np.ndarray, most: int, start: np.ndarray | int) -> np.ndarray:
     """Whether pairs are links: the chain from `start` within its budgets, then all 64 bits."""
     x = a ^ b
@@ -165,7 +161,10 @@ def forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 def links(nodes: DataFrame, most: int, rotations: tuple[int, ...] = (0,)) -> DataFrame:
     """Distinct (u, v), u < v: links between rows (node, fp) with at most `most` differing bits, enough to connect them.
 
-    Complete up to 6 bits; beyond that it meets most.
+    Complete up to 6 bits; beyond that each row of a bucket has its nearest
+    row before it (buckets over SMALL_RUN: a spanning forest), and with many
+    buckets a row most of the texts like it are met. Either way a bucket of n
+    rows makes fewer than n SMALL_RUN links.
     """
     starts = np.array([max(0, s) for s, _ in choices(most)] * len(rotations))
 
@@ -178,13 +177,22 @@ def links(nodes: DataFrame, most: int, rotations: tuple[int, ...] = (0,)) -> Dat
         small = size <= SMALL_RUN
         # the key has the number of its choice above the segments
         start = starts[(key >> (BITS * nseg)).astype(np.int64)]
+        best, near = np.full(len(key), 65, dtype=np.int64), np.zeros(len(key), dtype=np.int64)
         for d in range(1, min(SMALL_RUN, len(key))):
             at = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
             if not len(at):
                 break
+            if most > COMPLETE:
+                h = np.bitwise_count(fp[at] ^ fp[at + d]).astype(np.int64)
+                closer = h < best[at + d]
+                best[at[closer] + d], near[at[closer] + d] = h[closer], at[closer]
+                continue
             at = at[close(fp[at], fp[at + d], most, start[at])]
             us.append(node[at])
             vs.append(node[at + d])
+        hit = np.flatnonzero(best <= most)
+        us.append(node[near[hit]])
+        vs.append(node[hit])
         for b, e in zip(begin[end - begin > SMALL_RUN], end[end - begin > SMALL_RUN]):
             u, v = forest(fp[b:e], most)
             us.append(node[b:e][u])
@@ -210,7 +218,7 @@ def links(nodes: DataFrame, most: int, rotations: tuple[int, ...] = (0,)) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     rows = nodes.select("node", "fp", F.explode(keys(F.col("fp"), most, rotations)).alias("key"))
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    found = rows.repartition("key").sortWithinPartitions("key", "fp", "node").mapInArrow(run, "u long, v long")
     return found.where("u <> v").distinct()
 
 
@@ -236,6 +244,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("v").alias("node"), F.col("u").alias("label")).union(e.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
 
 
@@ -262,35 +272,76 @@ def op3(spark, sf_dir):
     return similar(documents(spark, sf_dir))
 
 
-def jaccard(a: bytes, b: bytes, sketch: int = SKETCH) -> float:
-    """Of two bottom sketches: exact if both sets are smaller than a sketch. Empty with empty: 1."""
+def estimate(a: bytes, b: bytes, sketch: int = SKETCH) -> tuple[float, bool]:
+    """Jaccard of two sets from their bottom sketches, and whether that is exact (both sets are smaller than a sketch)."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.union1d(x, y)[:sketch]
-    return len(np.intersect1d(np.intersect1d(x, y, True), both, True)) / len(both) if len(both) else 1.0
+    both = np.union1d(x, y)
+    exact = len(x) < sketch and len(y) < sketch
+    both = both if exact else both[:sketch]
+    return (len(np.intersect1d(np.intersect1d(x, y, True), both, True)) / len(both) if len(both) else 1.0), exact
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 16, rotations: tuple[int, ...] = (0, 4)) -> DataFrame:
-    """doc_id, k1, kept: groups of documents whose shingle sets have Jaccard `similarity` at least; one of each is kept.
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """k1, set (sorted distinct 64-bit shingle hashes) of rows (k1, text)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(np.concatenate([*shingle_hashes((t or "").encode(), shingle), np.zeros(0, np.uint64)])).tobytes() for t in (x.as_py() for x in batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["k1"], pa.array(sets, pa.binary())], ["k1", "set"])
+
+    return texts.select("k1", "text").mapInArrow(run, "k1 long, set binary")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 16, rotations: tuple[int, ...] = (0, 4), doubt: float = 0.12) -> DataFrame:
+    """doc_id, k1 of the rows to keep: of each group of documents whose shingle sets have Jaccard `similarity` at least, one.
 
     Candidates differ in at most `most` fingerprint bits (a Jaccard of 0.8 means
     about 10 of 64) and share two segments of either cut: complete up to 6
-    bits, most of the rest. Sketches of 256 hashes then confirm the similarity.
-    A group keeps the row with the smallest (doc_id, k1), nulls last.
+    bits, most of the rest. Sketches of 256 hashes decide those farther than
+    `doubt` (about five standard errors) from the threshold; the others are
+    decided by their whole sets. A group keeps the row with the smallest
+    (doc_id, k1), nulls last.
     """
     w = materialize(fingerprints(docs, shingle, SKETCH))
     texts = w.groupBy("k1").agg(F.min("fp").alias("fp"))
     cand = materialize(links(texts.select(F.col("k1").alias("node"), "fp"), most, rotations))
 
-    def check(batches):
+    def weigh(batches):
+        for batch in batches:
+            out = []
+            for a, b in zip(batch["sa"], batch["sb"]):
+                j, exact = estimate(a.as_py(), b.as_py())
+                out.append(2 if not exact and abs(j - similarity) < doubt else int(j >= similarity))
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], pa.array(out, pa.int32())], ["u", "v", "verdict"])
+
+    def compare(batches):
         for batch in batches:
-            ok = [jaccard(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch["sa"], batch["sb"])]
+            ok = []
+            for a, b in zip(batch["sa"], batch["sb"]):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                same = len(np.intersect1d(x, y, True))
+                ok.append(same >= similarity * (len(x) + len(y) - same))
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["u"].filter(ok), batch["v"].filter(ok)], ["u", "v"])
 
-    ends = cand.select(F.col("u").alias("k1")).union(cand.select("v")).distinct()
-    s = materialize(w.join(ends, "k1").groupBy("k1").agg(F.min("sketch").alias("sketch")))
-    pairs = cand.join(s.select(F.col("k1").alias("u"), F.col("sketch").alias("sa")), "u").join(s.select(F.col("k1").alias("v"), F.col("sketch").alias("sb")), "v")
-    label = components(pairs.select("u", "v", "sa", "sb").mapInArrow(check, "u long, v long"))
+    def sided(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+        a = sets.select(F.col("k1").alias("u"), F.col(column).alias("sa"))
+        b = sets.select(F.col("k1").alias("v"), F.col(column).alias("sb"))
+        return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "sa", "sb")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("u").alias("k1")).union(pairs.select("v")).distinct()
+
+    sketches = materialize(w.join(ends(cand), "k1").groupBy("k1").agg(F.min("sketch").alias("sketch")))
+    weighed = materialize(sided(cand, sketches, "sketch").mapInArrow(weigh, "u long, v long, verdict int"))
+    open_ = weighed.where("verdict = 2")
+    one = w.groupBy("k1").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("one"))
+    needed = materialize(one.join(ends(open_), "k1").select("k1", F.col("one.doc_id").alias("one")))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("kt"), "text")
+    rows = rows.join(needed, (F.col("kt") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("k1", "text")
+    sets = materialize(shingle_sets(rows, shingle).dropDuplicates(["k1"]))
+    decided = sided(open_, sets, "set").mapInArrow(compare, "u long, v long")
+    label = components(weighed.where("verdict = 1").select("u", "v").union(decided))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k1"))).alias("first")
     per = w.groupBy("k1").agg(first)
     by = per.join(label, per.k1 == label.node, "left").select("k1", "first", F.coalesce("label", "k1").alias("label"))
