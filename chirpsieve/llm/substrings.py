@@ -122,13 +122,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     # one row of each text: its doc_id is the smallest (rows that repeat it wholly count as repeats anyway)
     base = w.where(F.size("anchors") > 0).join(c, same, "left").where(F.col("m").isNull() | F.col("doc_id").eqNullSafe(F.col("one"))).select("k1", "k2", "anchors").dropDuplicates(["k1", "k2"])
     a = base.select("k1", "k2", F.explode("anchors").alias("a"))
-    again = a.groupBy("a").count().where("count > 1").select("a")
+    # written first, so that both sides of the join are shuffles of their own and a hot key can be split
+    again = materialize(a.groupBy("a").count().where("count > 1").select("a"))
     cand = materialize(a.join(again, "a").groupBy("k1", "k2").agg(F.collect_set("a").alias("repeated")))
     # the texts of candidates: one row for each text
     single = docs.select("doc_id", *text_keys(F.col("text")), "text").join(c, same, "left").where(F.col("m").isNull() | F.col("doc_id").eqNullSafe(F.col("one"))).select("k1", "k2", "text")
     texts = materialize(single.join(cand, ["k1", "k2"]).select("k1", "k2", "text", "repeated").dropDuplicates(["k1", "k2"]))
     rows = materialize(window_rows(texts, window))
-    twice = rows.groupBy("h").count().where("count > 1").select("h")
+    twice = materialize(rows.groupBy("h").count().where("count > 1").select("h"))
     hits = rows.join(twice, "h").groupBy("k1", "k2").agg(F.collect_list("s").alias("starts"))
 
     def cut(batches):
