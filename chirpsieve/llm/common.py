@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -37,7 +38,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/chirpsieve-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    rows = spark.conf.get(ARROW_ROWS)
+    try:
+        # whole texts go to Python: batches of 10,000 would be held several times over
+        spark.conf.set(ARROW_ROWS, str(min(int(rows), 2000) if int(rows) > 0 else 2000))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     _written.append((spark, path))
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
