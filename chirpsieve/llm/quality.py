@@ -1,11 +1,11 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-A document's terms are the three-grams of its byte classes and bands of word
-repetition, so the classifier works for any language and for words that it
-never saw. Labelled documents (a bounded sample) give the term weights, a
-truncated SVD and the vectors to vote; these are broadcast (at most SAMPLE x
-DIMENSIONS floats a class), and every document is compared with all of them in
-blocks.
+A document's terms are the three-grams of its byte classes and the share of
+words that repeat the one before, so the classifier works for any language and
+for words that it never saw. Labelled documents (a bounded sample) give the term
+weights, a truncated SVD and the vectors to vote; these are broadcast (at most
+SAMPLE x DIMENSIONS floats a class), and every document is compared with all of
+them in blocks.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ CLASSES = 12
 SAMPLE = 1500  # labelled documents of each class at most
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 15, 8
 THRESHOLD = 0.7
-PIECE, STRETCH = 1 << 20, 200
+PIECE = 1 << 20
 
 # Byte classes.
 _CLASS = np.full(256, 10, dtype=np.int64)
 for _i, _chars in enumerate([b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r\x0b\x0c", bytes(range(128, 256)), b".,;:", b"!?", b"|", b"%&$#*"]):
     _CLASS[list(_chars)] = _i
-TERMS = CLASSES**3 + 16
+TERMS = CLASSES**3 + 1
 
 
 def terms(text: bytes) -> np.ndarray:
@@ -42,10 +42,7 @@ def terms(text: bytes) -> np.ndarray:
     n = max(1, len(ws))
     # one repeated word is chance in a short text
     same = max(0, sum(map(bytes.__eq__, ws[1:], ws)) - 1) / n
-    # by stretches, so that a long text doesn't look repetitive for its length
-    rare = sum(len(set(ws[i : i + STRETCH])) for i in range(0, len(ws), STRETCH)) / n
-    out[CLASSES**3 + min(7, int(same * 8))] = 0.5
-    out[CLASSES**3 + 8 + min(7, int(rare * 8))] = 0.25
+    out[CLASSES**3] = 1.5 * same  # beside a vector of length 1
     return out.astype(np.float32)
 
 
