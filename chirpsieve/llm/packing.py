@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from .common import materialize
 
 LENGTH, END = 2048, 1
 CACHE = 1_000_000  # words that a worker remembers, at most
-PIECE = 4_000_000  # characters encoded at a time (a longer text alone)
+PIECE = 4_000_000  # bytes encoded at a time (a longer text alone)
 
 
 def default_vocabulary() -> str:
@@ -56,18 +57,28 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.kind = np.dtype("<u2" if len(self.ends) <= 65536 else "<u4")
-        # kept with the library, so that it outlives a task in a reused worker
-        self.memory: dict[bytes, bytes] = tokenizers.__dict__.setdefault("chirpsieve_memory", {}).setdefault(path, {})
+        self.memory: dict[bytes, bytes] = {}
+
+    @classmethod
+    def shared(cls, path: str) -> Encoder:
+        """One for a vocabulary and process: kept with the library, it outlives a task in a reused worker."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("chirpsieve_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def _learn(self, new: set[bytes]) -> None:
         m, cut, pieces = self.memory, [], set()
         for w in new:
-            stem = w.rstrip(SIGNS)
-            if stem and stem is not w and len(stem) < len(w) and stem[-1:].isalnum() and b"<|" not in w:
-                cut.append((w, stem, w[len(stem) :]))
-                pieces.update(cut[-1][1:])
-            else:
-                pieces.add(w)
+            if w[-1] in SIGNS and b"<|" not in w:
+                stem = w.rstrip(SIGNS)
+                if stem[-1:].isalnum():
+                    cut.append((w, stem, w[len(stem) :]))
+                    pieces.update(cut[-1][1:])
+                    continue
+            pieces.add(w)
         pieces = [w for w in pieces if w not in m]
         plain = [w for w in pieces if PLAIN.fullmatch(w)]
         for at in range(0, len(plain), 8192):
@@ -86,18 +97,18 @@ class Encoder:
         for w, stem, signs in cut:
             m[w] = m[stem] + m[signs]
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids (of self.kind) of each text."""
+    def batch(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian ids (of self.kind) of each text (UTF-8)."""
         m, parts = self.memory, []
-        for t in texts:
-            b = t.encode()
+        for b in texts:
             # lower case comes after NFC: where A-Z could meet a combining mark, or a special token is near, it is left to the rules
             parts.append((b if b"<|" in b or b"\xcc" in b or b"\xcd" in b else b.lower()).split())
-        some = set().union(*parts)
-        new = {w for w in some if w not in m}
+        new: set[bytes] = set()
+        for p in parts:
+            new.update(filterfalse(m.__contains__, p))
         if len(m) + len(new) > CACHE:
             m.clear()
-            new = some
+            new = set().union(*parts)
         self._learn(new)
         return [b"".join(map(m.__getitem__, p)) for p in parts]
 
@@ -109,7 +120,7 @@ def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc, part, first = Encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, first = Encoder.shared(path), TaskContext.get().partitionId(), 0
         width, tail = enc.kind.itemsize, np.array([end], dtype=enc.kind).tobytes()
 
         def rows(doc_ids, texts):
@@ -124,7 +135,7 @@ def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
         for batch in batches:
             at, held, size = 0, [], 0
             for t in batch["text"]:
-                held.append(t.as_py() or "")
+                held.append(t.as_buffer().to_pybytes() if t.is_valid and t.as_buffer() is not None else b"")
                 size += len(held[-1])
                 if size >= PIECE:
                     yield rows(batch["doc_id"].slice(at, len(held)), held)

@@ -243,7 +243,7 @@ def test_packing_words_join_to_texts(spark):
     t = Tokenizer.from_file(default_vocabulary())
     texts = ["a<|endoftext|>b it's\x1cx y", "é ́x 　 ΣΑΣ ΑΣ. İ", "9,999.5 #!?\x85 ퟿ don't'll 've", ""]
     e = Encoder(default_vocabulary())
-    assert [np.frombuffer(x, e.kind).tolist() for x in e.batch(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, e.kind).tolist() for x in e.batch([t.encode() for t in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_minhash(docs, empty, spark):
