@@ -28,6 +28,7 @@ SEGMENTS, BITS = 8, 8
 PIECE = 50_000  # words hashed at a time
 SMALL_RUN = 48  # buckets up to this size are compared pair by pair
 SKETCH = 256
+CELLS = 20  # bits of a shingle's cell
 COMPLETE = 6  # bits up to which candidate search misses nothing
 _BIT = np.arange(64, dtype=np.uint64)
 
@@ -292,15 +293,132 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("k1", "text").mapInArrow(run, "k1 long, set binary")
 
 
+def commonness(texts: DataFrame, shingle: int, documents: int = 20_000) -> np.ndarray:
+    """For each of 2^20 cells of shingle hashes, how often it is met in a sample of rows (k1, text), 0 unless it stands out.
+
+    It only orders shingles, rare ones first: any table gives the same links,
+    a good one fewer pairs to compare. Its size is fixed.
+    """
+    n = texts.count()
+    one_in = max(1, n // documents)
+
+    def run(batches):
+        for batch in batches:
+            h = [np.unique(np.concatenate([*shingle_hashes((t.as_py() or "").encode(), shingle), np.zeros(0, np.uint64)])) for t in batch["text"]]
+            cell, met = np.unique(np.concatenate([*h, np.zeros(0, np.uint64)]) >> np.uint64(64 - CELLS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(met.astype(np.int64))], ["cell", "met"])
+
+    # copies of one text don't make its shingles common
+    sample = texts.where(F.pmod("k1", F.lit(one_in)) == 0).dropDuplicates(["k1"]).select("text")
+    per = materialize(sample.mapInArrow(run, "cell int, met long").groupBy("cell").agg(F.sum("met").alias("met")))
+    mean = per.agg(F.sum("met")).first()[0] or 0
+    mean /= 1 << CELLS
+    out = np.zeros(1 << CELLS, dtype=np.int32)
+    for r in per.where(F.col("met") > mean + 6 * mean**0.5 + 4).collect():
+        out[r.cell] = min(r.met, 2**31 - 1)
+    return out
+
+
+def prefixes(texts: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """k1, n (distinct shingles), prefix (the rarest of them) of rows (k1, text), one a text.
+
+    Sets of Jaccard `similarity` or more have a shingle in common among the
+    first n - similarity n + 1 of each, in whatever order all sets share.
+    """
+    table = texts.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        cells, seen = table.value, set()
+        for batch in batches:
+            k1, n, out = [], [], []
+            for k, t in zip(batch["k1"].to_pylist(), batch["text"]):
+                if k in seen:
+                    continue
+                seen.add(k)
+                h = np.unique(np.concatenate([*shingle_hashes((t.as_py() or "").encode(), shingle), np.zeros(0, np.uint64)]))
+                size = len(h)
+                first = size - int(np.ceil(similarity * size - 1e-9)) + 1
+                h = h[np.argsort(cells[h >> np.uint64(64 - CELLS)], kind="stable")[:first]] if size else np.zeros(1, np.uint64)
+                k1.append(k)
+                n.append(size)
+                out.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.binary())], ["k1", "n", "prefix"])
+
+    return texts.select("k1", "text").mapInArrow(run, "k1 long, n int, prefix binary").groupBy("k1").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+
+
+def met(sets: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (u, v), u < v: rows (k1, n, prefix, label) of different labels that share a shingle of their prefixes and could be of Jaccard `similarity`."""
+
+    def spread(batches):
+        for batch in batches:
+            h = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["prefix"]]
+            times = np.array([len(x) for x in h], dtype=np.int64)
+            cols = [batch[c].to_numpy() for c in ("k1", "n", "label")]
+            # long texts have long prefixes: PIECE rows or one text at a time
+            cut = np.flatnonzero(np.diff(np.cumsum(times) // PIECE)) + 1
+            for part in np.split(np.arange(len(h)), cut):
+                if len(part):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for i in part])), *(pa.array(np.repeat(c[part], times[part])) for c in cols)], ["key", "k1", "n", "label"])
+
+    def pairs(key, k1, n, label):
+        us, vs = [], []
+        cut = np.flatnonzero(np.diff(key)) + 1
+        begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+        small = np.repeat(end - begin, end - begin) <= SMALL_RUN
+        for d in range(1, min(SMALL_RUN, len(key))):
+            at = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
+            if not len(at):
+                break
+            at = at[(label[at] != label[at + d]) & (n[at] >= similarity * n[at + d] - 1e-9)]
+            us.append(k1[at])
+            vs.append(k1[at + d])
+        for b, e in zip(begin[end - begin > SMALL_RUN], end[end - begin > SMALL_RUN]):
+            of, inverse, many = np.unique(label[b:e], return_inverse=True, return_counts=True)
+            # within the largest label nothing is open: the others are compared with all
+            most = int(np.argmax(many))
+            for i in np.flatnonzero(inverse != most):
+                lo, hi = np.minimum(n[b + i], n[b:e]), np.maximum(n[b + i], n[b:e])
+                j = np.flatnonzero((inverse != inverse[i]) & (lo >= similarity * hi - 1e-9))
+                j = j[(inverse[j] == most) | (j > i)]
+                us.append(np.full(len(j), k1[b + i]))
+                vs.append(k1[b:e][j])
+        u, v = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (us, vs))
+        both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+        return both[0], both[1]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = [batch[c].to_numpy() for c in ("key", "k1", "n", "label")]
+            if not len(now[0]):
+                continue
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            held = [x[last:] for x in now]
+            if last:
+                u, v = pairs(*(x[:last] for x in now))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        if held is not None:
+            u, v = pairs(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    rows = sets.select("k1", "n", "prefix", "label").mapInArrow(spread, "key long, k1 long, n int, label long")
+    return rows.repartition("key").sortWithinPartitions("key", "n", "k1").mapInArrow(run, "u long, v long").where("u <> v").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 16, rotations: tuple[int, ...] = (0, 4), doubt: float = 0.12) -> DataFrame:
     """doc_id, k1 of the rows to keep: of each group of documents whose shingle sets have Jaccard `similarity` at least, one.
 
-    Candidates differ in at most `most` fingerprint bits (a Jaccard of 0.8 means
-    about 10 of 64) and share two segments of either cut: complete up to 6
-    bits, most of the rest. Sketches of 256 hashes decide those farther than
-    `doubt` (about five standard errors) from the threshold; the others are
-    decided by their whole sets. A group keeps the row with the smallest
-    (doc_id, k1), nulls last.
+    Fingerprints come first: candidates differ in at most `most` bits (a Jaccard
+    of 0.8 means about 10 of 64) and share two segments of either cut. That
+    search is not complete; it ties large groups together in few rows. Then an
+    exact one: texts still in different groups that share a shingle of their
+    prefixes are compared too, so no pair is lost. Sketches of 256 hashes decide
+    pairs farther than `doubt` (about five standard errors) from the threshold;
+    the others are decided by their whole sets. A group keeps the row with the
+    smallest (doc_id, k1), nulls last.
     """
     w = materialize(fingerprints(docs, shingle, SKETCH))
     texts = w.groupBy("k1").agg(F.min("fp").alias("fp"))
@@ -332,16 +450,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("u").alias("k1")).union(pairs.select("v")).distinct()
 
-    sketches = materialize(w.join(ends(cand), "k1").groupBy("k1").agg(F.min("sketch").alias("sketch")))
-    weighed = materialize(sided(cand, sketches, "sketch").mapInArrow(weigh, "u long, v long, verdict int"))
-    open_ = weighed.where("verdict = 2")
     one = w.groupBy("k1").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("one"))
-    needed = materialize(one.join(ends(open_), "k1").select("k1", F.col("one.doc_id").alias("one")))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("kt"), "text")
-    rows = rows.join(needed, (F.col("kt") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("k1", "text")
-    sets = materialize(shingle_sets(rows, shingle).dropDuplicates(["k1"]))
-    decided = sided(open_, sets, "set").mapInArrow(compare, "u long, v long")
-    label = components(weighed.where("verdict = 1").select("u", "v").union(decided))
+
+    def verified(cand: DataFrame) -> DataFrame:
+        sketches = materialize(w.join(ends(cand), "k1").groupBy("k1").agg(F.min("sketch").alias("sketch")))
+        weighed = materialize(sided(cand, sketches, "sketch").mapInArrow(weigh, "u long, v long, verdict int"))
+        open_ = weighed.where("verdict = 2")
+        needed = materialize(one.join(ends(open_), "k1").select("k1", F.col("one.doc_id").alias("one")))
+        whole = rows.join(needed, (F.col("kt") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("k1", "text")
+        sets = materialize(shingle_sets(whole, shingle).dropDuplicates(["k1"]))
+        decided = sided(open_, sets, "set").mapInArrow(compare, "u long, v long")
+        return materialize(weighed.where("verdict = 1").select("u", "v").union(decided))
+
+    links_ = verified(cand)
+    label = materialize(components(links_))
+    all_ = rows.select(F.col("kt").alias("k1"), "text")
+    sets = prefixes(all_, shingle, similarity, commonness(all_, shingle))
+    sets = sets.join(label, sets.k1 == label.node, "left").select("k1", "n", "prefix", F.coalesce("label", "k1").alias("label"))
+    more = verified(materialize(met(sets, similarity)))
+    label = components(links_.union(more))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k1"))).alias("first")
     per = w.groupBy("k1").agg(first)
     by = per.join(label, per.k1 == label.node, "left").select("k1", "first", F.coalesce("label", "k1").alias("label"))

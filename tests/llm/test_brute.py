@@ -182,6 +182,37 @@ def test_near_duplicates(docs, empty):
     assert lonely <= set(got)
 
 
+def test_near_duplicates_are_the_components_of_all_pairs(spark):
+    """Templates tie buckets together: a nearest neighbour that isn't alike must not hide one that is."""
+    from chirpsieve.llm.simhash import dedup
+
+    r = np.random.default_rng(11)
+    texts = []
+    for _ in range(6):
+        base = [f"w{x}" for x in r.integers(0, 10**9, 150)]
+        for _ in range(60):
+            w = list(base)
+            for at in r.integers(0, 150, int(r.integers(1, 9))):
+                w[at] = f"e{r.integers(0, 10**9)}"
+            texts.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    want = sorted({find(i) for i in range(len(texts))})
+    assert 6 < len(want) < len(texts)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in dedup(df).collect()) == want
+
+
 def brute_removed(texts, n):
     seen = Counter(tuple(w[i : i + n]) for w in texts for i in range(len(w) - n + 1))
     out = []
