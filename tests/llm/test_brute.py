@@ -182,6 +182,32 @@ def test_near_duplicates(docs, empty):
     assert lonely <= set(got)
 
 
+def edited_pairs(r, n, lo, hi, size=5):
+    """Isolated pairs of texts whose shingle sets have a Jaccard in lo..hi."""
+    out = []
+    while len(out) < n:
+        w = [f"w{x}" for x in r.integers(0, 10**9, int(r.integers(60, 250)))]
+        v = list(w)
+        while True:
+            v[int(r.integers(0, len(v)))] = f"e{r.integers(0, 10**9)}"
+            a, b = ({tuple(x[i : i + size]) for i in range(len(x) - size + 1)} for x in (w, v))
+            j = len(a & b) / len(a | b)
+            if j < hi:
+                break
+        if j >= lo:
+            out.append((" ".join(w), " ".join(v)))
+    return out
+
+
+@pytest.mark.parametrize(("lo", "hi"), [(0.8, 0.85), (0.85, 0.9)])
+def test_near_duplicates_misses_no_isolated_pair(spark, lo, hi):
+    from chirpsieve.llm.simhash import dedup
+
+    pairs = edited_pairs(np.random.default_rng(8), 200, lo, hi)
+    df = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in dedup(df).collect()) == [2 * i for i in range(200)]
+
+
 def test_near_duplicates_are_the_components_of_all_pairs(spark):
     """Templates tie buckets together: a nearest neighbour that isn't alike must not hide one that is."""
     from chirpsieve.llm.simhash import dedup
