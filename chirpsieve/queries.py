@@ -28,6 +28,7 @@ GEOMETRIES = {
     "one": Geometry(nchans=1, nsamps=64, dt_max=5, **BAND),
     "two": Geometry(nchans=2, nsamps=64, dt_max=9, **BAND),
 }
+DECADE = Geometry(nchans=6, nsamps=120, dt_max=30, **BAND)  # 1992 to 2001
 DIRECT = DirectGeometry(1000.0, 1500.0, 4, 0.001, (0.0, 5.0, 10.0, 20.0))
 PULSE = dict(f_min=1104.0, f_max=1440.0, nchans=32, nsamps=256, tsamp=0.001, dm=60.0, amp=20.0, offset=180, width=2)
 
@@ -87,6 +88,18 @@ def tree_sql(name: str, wf: str) -> str:
     select cast(grid.i_dt as integer) as i_dt, cast(grid.dt as integer) as dt, round(cast(grid.dt as double) * {g.dm_step!r}, 6) as dm, grid.t, round(coalesce(sum(m), 0.0), 6) as v from grid left join means on means.i_dt = grid.i_dt and means.t = grid.t group by all"""
 
 
+def whole_sql(p: TreePlan, wf: str) -> str:
+    """The closed form for each observation of wf (obs, chan, t, x)."""
+    g, f = p.geometry, p.flatten()
+    flat = _values(zip(*(f[k].tolist() for k in ("i_dt", "dt", "chan", "w", "shift"))), "i_dt, dt, chan, w, shift")
+    return f"""
+    with wf as {wf}, flat as {flat},
+    means as (select a.obs, f.i_dt, cast(a.t + f.shift as integer) as t, avg(b.x) as m from flat f join wf a on a.chan = f.chan and a.t >= f.w join wf b on b.obs = a.obs and b.chan = a.chan and b.t between a.t - f.w and a.t
+              where a.t + f.shift < {g.nsamps} group by a.obs, f.i_dt, f.chan, a.t, f.shift),
+    grid as (select o.obs, i.i_dt, i.dt, cast(s.range as integer) as t from (select distinct obs from wf) o, (select distinct i_dt, dt from flat) i, range({g.nsamps}) s)
+    select grid.obs, cast(grid.i_dt as integer) as i_dt, cast(grid.dt as integer) as dt, round(cast(grid.dt as double) * {g.dm_step!r}, 6) as dm, grid.t, round(coalesce(sum(m), 0.0), 6) as v from grid left join means on means.obs = grid.obs and means.i_dt = grid.i_dt and means.t = grid.t group by all"""
+
+
 def init_sql(name: str, wf: str) -> str:
     p, g = plan(name).levels[0], GEOMETRIES[name]
     rows = _values(zip(p.band.tolist(), p.index.tolist(), p.delay.tolist()), "chan, i_dt, w")
@@ -240,6 +253,7 @@ def queries() -> dict:
         "tree_events": lambda s, d: _shown(tree.tree_transform(ev(s, d, 7), plan("odd"))),
         "tree_flat_events": lambda s, d: _shown(tree.flat_transform(ev(s, d, 7), plan("odd"))),
         "tree_lineitem": lambda s, d: _shown(tree.tree_transform(li(s, d, 6), plan("months"))),
+        "tree_lineitem_all": lambda s, d: _shown(tree.tree_transform(li(s, d, 6, 120, "raise"), TreePlan(DECADE))),
         "tree_blocks_embeddings": _blocks,
         "tree_init_embeddings": lambda s, d: _rounded(tree.initial_state(emb(s, d, 8), plan("small")), "v"),
         "tree_level_1_events": lambda s, d: _level_states(s, d, 1),
@@ -249,6 +263,7 @@ def queries() -> dict:
         "direct_masked_events": lambda s, d: _rounded(direct.direct_transform(ev(s, d, 4), DIRECT, 64, masked=(2,)), "v"),
         "waterfall_events": lambda s, d: ev(s, d, 7),
         "waterfall_lineitem": lambda s, d: _rounded(li(s, d, 6), "x"),
+        "waterfall_lineitem_all": lambda s, d: _rounded(li(s, d, 6, 120, "raise"), "x"),
         "plan_shape": _shapes,
         "channel_grids": _channel_grids,
         "dm_grid": _dm_grid,
@@ -280,6 +295,7 @@ def oracle_sql() -> dict[str, str]:
         "tree_events": tree_sql("odd", ev(7)),
         "tree_flat_events": tree_sql("odd", ev(7)),
         "tree_lineitem": tree_sql("months", wf_lineitem_sql(6)),
+        "tree_lineitem_all": f"select * exclude (obs) from ({whole_sql(TreePlan(DECADE), f'(select 0 as obs, * from {wf_lineitem_sql(6, 120)})')})",
         "tree_blocks_embeddings": tree_sql("small", emb(8)),
         "tree_init_embeddings": init_sql("small", emb(8)),
         "direct_embeddings": direct_sql(emb(4), 64),
@@ -287,6 +303,7 @@ def oracle_sql() -> dict[str, str]:
         "direct_masked_events": direct_sql(ev(4), 64, (2,)),
         "waterfall_events": ev(7)[1:-1],
         "waterfall_lineitem": f"select chan, t, round(x, 6) as x from {wf_lineitem_sql(6)}",
+        "waterfall_lineitem_all": f"select chan, t, round(x, 6) as x from {wf_lineitem_sql(6, 120)}",
         "plan_shape": _shapes_sql(),
         "channel_grids": _channel_grids_sql(),
         "dm_grid": _dm_grid_sql(),

@@ -13,10 +13,15 @@ def from_packed(df: DataFrame, chan: str, x: str, keep: Column | None = None) ->
     return df.select(F.col(chan).cast("int").alias("chan"), F.posexplode(x).alias("t", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-def binned(df: DataFrame, chan: Column, t: Column, x: Column, nchans: int, nsamps: int) -> DataFrame:
-    """A dense waterfall of sums over (chan, t) bins, 0 where no row fell; rows outside are left out."""
+def binned(df: DataFrame, chan: Column, t: Column, x: Column, nchans: int, nsamps: int, outside: str = "raise") -> DataFrame:
+    """A dense waterfall of sums over (chan, t) bins, 0 where no row fell; rows outside raise, or are left out with outside="drop"."""
     spark = df.sparkSession
-    got = df.select(chan.cast("int").alias("chan"), t.cast("int").alias("t"), x.cast("double").alias("x")).where((F.col("chan") >= 0) & (F.col("chan") < nchans) & (F.col("t") >= 0) & (F.col("t") < nsamps))
+    got = df.select(chan.cast("int").alias("chan"), t.cast("int").alias("t"), x.cast("double").alias("x"))
+    inside = (F.col("chan") >= 0) & (F.col("chan") < nchans) & (F.col("t") >= 0) & (F.col("t") < nsamps)
+    if outside == "drop":
+        got = got.where(inside)
+    else:
+        got = got.withColumn("t", F.when(F.coalesce(inside, F.lit(False)), F.col("t")).otherwise(F.raise_error(F.lit(f"a row lies outside the {nchans} x {nsamps} bins")).cast("int")))
     zero = spark.range(nchans * nsamps).select((F.col("id") / nsamps).cast("int").alias("chan"), (F.col("id") % nsamps).cast("int").alias("t"), F.lit(0.0).alias("x"))
     return got.unionByName(zero).groupBy("chan", "t").agg(F.sum("x").alias("x"))
 
@@ -32,10 +37,10 @@ def events(spark: SparkSession, sf_dir: str, nchans: int, nsamps: int = 64) -> D
     return binned(spark.read.parquet(f"{sf_dir}/events.parquet"), F.pmod("user_id", F.lit(nchans)), t, F.round(F.col("value") * 100), nchans, nsamps)
 
 
-def lineitem(spark: SparkSession, sf_dir: str, nchans: int, nsamps: int = 96) -> DataFrame:
-    """Channel = l_suppkey mod nchans, sample = month of shipping since 1992, quantity."""
+def lineitem(spark: SparkSession, sf_dir: str, nchans: int, nsamps: int = 96, outside: str = "drop") -> DataFrame:
+    """Channel = l_suppkey mod nchans, sample = month of shipping since 1992, quantity; 96 months end in 1999, 120 hold the whole table."""
     d = F.to_date("l_shipdate")
-    return binned(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), F.pmod("l_suppkey", F.lit(nchans)), (F.year(d) - 1992) * 12 + F.month(d) - 1, F.col("l_quantity"), nchans, nsamps)
+    return binned(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), F.pmod("l_suppkey", F.lit(nchans)), (F.year(d) - 1992) * 12 + F.month(d) - 1, F.col("l_quantity"), nchans, nsamps, outside)
 
 
 def from_matrix(spark: SparkSession, x: np.ndarray) -> DataFrame:

@@ -273,3 +273,13 @@ def test_functions_travel_by_value():
     code = "import sys, pickle, numpy as np; f, p = pickle.loads(sys.stdin.buffer.read()); print(f(np.ones((4, 16)), p).shape)"
     out = subprocess.run([sys.executable, "-c", code], input=data, capture_output=True, cwd="/", env={"PATH": "/usr/bin"})
     assert out.stdout.decode().strip() == "(7, 16)", out.stderr.decode()[-500:]
+
+
+def test_whole_lineitem_is_binned(spark):
+    from chirpsieve.queries import queries
+
+    sf = "/root/testdata/sf0.001"
+    total = spark.read.parquet(f"{sf}/lineitem.parquet").agg(F.sum("l_quantity")).first()[0]
+    assert queries()["waterfall_lineitem_all"](spark, sf).agg(F.sum("x")).first()[0] == total
+    with pytest.raises(Exception, match="outside the 6 x 96 bins"):
+        waterfall.lineitem(spark, sf, 6, 96, "raise").collect()
