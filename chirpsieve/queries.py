@@ -124,6 +124,13 @@ def _blocks(spark, sf, name="small", length=24):
     return out.select("i_dt", "dt", F.round("dm", 6).alias("dm"), F.col("t").cast("int").alias("t"), F.round("v", 6).alias("v"))
 
 
+def _blocks_all(spark, sf, name="small", length=24):
+    p, by = plan(name), ("obs",)
+    packed = waterfall.pack(waterfall.embeddings_all(spark, sf, p.geometry.nchans), length, by)
+    out = waterfall.unpack(blocks.tree_blocks(packed, p, length, by), length, "v")
+    return out.select("obs", "i_dt", "dt", F.round("dm", 6).alias("dm"), F.col("t").cast("int").alias("t"), F.round("v", 6).alias("v"))
+
+
 def _level_states(spark, sf, i):
     p = plan("odd")
     s = tree.initial_state(waterfall.events(spark, sf, 7), p)
@@ -241,6 +248,39 @@ def _recovered(spark, sf):
     return _rounded(pulse.peak(out), "dm", "v")
 
 
+# The embeddings' queries over every vector: query, form, geometry.
+WHOLE = [
+    ("tree_flat_embeddings_all", tree.flat_transform, "small"), ("tree_embeddings_all", tree.tree_transform, "small"), ("tree_wide_embeddings_all", tree.tree_transform, "wide"),
+    ("tree_stepped_embeddings_all", tree.tree_transform, "stepped"), ("tree_one_channel_all", tree.tree_transform, "one"), ("tree_two_channels_all", tree.tree_transform, "two"),
+]
+
+
+def whole_queries() -> dict:
+    emb, by = waterfall.embeddings_all, ("obs",)
+    out = {q: lambda s, d, f=f, name=name: _shown(f(emb(s, d, GEOMETRIES[name].nchans), plan(name), by)) for q, f, name in WHOLE}
+    return out | {
+        "tree_blocks_embeddings_all": _blocks_all,
+        "tree_init_embeddings_all": lambda s, d: _rounded(tree.initial_state(emb(s, d, 8), plan("small"), by), "v"),
+        "direct_embeddings_all": lambda s, d: _rounded(direct.direct_transform(emb(s, d, 4), DIRECT, 64, by), "v"),
+    }
+
+
+def whole_oracle_sql() -> dict[str, str]:
+    wf = lambda n: f"(select vec_id // {n} as obs, cast(vec_id % {n} as integer) as chan, cast(generate_subscripts(embedding, 1) - 1 as integer) as t, cast(unnest(embedding) as double) as x from embeddings)"
+    out = {q: whole_sql(plan(name), wf(GEOMETRIES[name].nchans)) for q, _, name in WHOLE}
+    p, g = plan("small").levels[0], GEOMETRIES["small"]
+    k, f = DISPERSION / DIRECT.tsamp, f"({DIRECT.f_min} + chan * {(DIRECT.f_max - DIRECT.f_min) / DIRECT.nchans})"
+    dms = ", ".join(f"({i}, {dm!r})" for i, dm in enumerate(DIRECT.dms))
+    return out | {
+        "tree_blocks_embeddings_all": whole_sql(plan("small"), wf(8)),
+        "tree_init_embeddings_all": f"""with wf as {wf(8)}, p as {_values(zip(p.band.tolist(), p.index.tolist(), p.delay.tolist()), "chan, i_dt, w")} select a.obs, cast(p.chan as integer) as i_sub, cast(p.i_dt as integer) as i_dt, a.t, round(avg(b.x), 6) as v
+    from p join wf a on a.chan = p.chan and a.t >= p.w and a.t < {g.nsamps} join wf b on b.obs = a.obs and b.chan = a.chan and b.t between a.t - p.w and a.t group by all""",
+        "direct_embeddings_all": f"""with wf as {wf(4)}, d as (select i_dm, dm, cast(range as integer) as chan, cast(round({k!r} * (1 / ({f} * {f}) - 1 / ({DIRECT.f_min} * {DIRECT.f_min})) * dm) as integer) as delay
+      from (values {dms}) as v(i_dm, dm), (select range, range as chan from range({DIRECT.nchans})))
+    select wf.obs, cast(i_dm as integer) as i_dm, cast(dm as double) as dm, cast(wf.t - delay as integer) as t, round(sum(x), 6) as v from wf join d on d.chan = wf.chan and wf.t - delay >= (select max(abs(delay)) from d) and wf.t - delay < 64 group by all""",
+    }
+
+
 def queries() -> dict:
     emb, ev, li = wf_embeddings, waterfall.events, waterfall.lineitem
     out = {
@@ -279,7 +319,7 @@ def queries() -> dict:
         "peak_search": lambda s, d: _shown(pulse.peak(tree.tree_transform(ev(s, d, 7), plan("odd")))).drop("dm"),
         "pulse_recovered": _recovered,
     }
-    return out
+    return out | whole_queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -320,7 +360,7 @@ def oracle_sql() -> dict[str, str]:
     }
     for i in (1, 2):
         out[f"tree_level_{i}_events"] = level_sql("odd", ev(7), i)
-    return out
+    return out | whole_oracle_sql()
 
 
 def level_sql(name: str, wf: str, upto: int) -> str:

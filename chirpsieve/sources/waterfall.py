@@ -31,6 +31,13 @@ def embeddings(spark: SparkSession, sf_dir: str, nchans: int) -> DataFrame:
     return from_packed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", F.col("vec_id") < nchans)
 
 
+def embeddings_all(spark: SparkSession, sf_dir: str, nchans: int) -> DataFrame:
+    """obs, chan, t, x of every vector: nchans vectors in order of vec_id are one observation."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    x = df.select(F.floor(F.col("vec_id") / nchans).alias("obs"), F.pmod("vec_id", F.lit(nchans)).cast("int").alias("chan"), F.posexplode("embedding").alias("t", "x"))
+    return x.withColumn("x", F.col("x").cast("double"))
+
+
 def events(spark: SparkSession, sf_dir: str, nchans: int, nsamps: int = 64) -> DataFrame:
     """Channel = user_id mod nchans, sample = 12-hour bin from 2024-01-01, value in whole cents."""
     t = F.floor(F.timestamp_diff("HOUR", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("ts")) / 12)

@@ -283,3 +283,12 @@ def test_whole_lineitem_is_binned(spark):
     assert queries()["waterfall_lineitem_all"](spark, sf).agg(F.sum("x")).first()[0] == total
     with pytest.raises(Exception, match="outside the 6 x 96 bins"):
         waterfall.lineitem(spark, sf, 6, 96, "raise").collect()
+
+
+def test_every_vector_is_an_observation(spark):
+    from chirpsieve.queries import queries
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    out = queries()["tree_one_channel_all"](spark, sf)
+    assert out.select("obs").distinct().count() == n > 8
