@@ -116,6 +116,19 @@ def op5(spark, sf_dir):
     return link(*exchanges(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def messages(turns: DataFrame) -> DataFrame:
+    """Rows as link() makes them for the turns that are neither call nor result: status `message`, the turn as JSON."""
+    json = F.concat(F.lit('{"role":'), _text(F.col("role")), F.lit(',"text":'), _text(F.col("text")), F.lit(',"turn":'), F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.lit("}"))
+    ident = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+    other = turns.where(F.col("role").isNull() | ~F.col("role").isin("user", "assistant"))
+    return other.select("conv_id", ident.alias("call_id"), F.lit(None).cast("int").alias("rank"), F.lit("message").alias("status"), json.alias("json"))
+
+
+def op5_turns(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return link(*exchanges(turns)).union(messages(turns))
+
+
 OP5_SQL = """
 with recursive c as (select conv_id, turn, text, conv_id || ':' || turn as call_id from conversations where role = 'user'),
 r as (select conv_id, conv_id || ':' || (turn - 1) as call_id, min(text) as content from conversations where role = 'assistant' group by all),
@@ -131,3 +144,8 @@ select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id)
 from c full outer join r on c.conv_id = r.conv_id and c.call_id = r.call_id
 left join o on o.conv_id = c.conv_id and o.call_id = c.call_id
 """
+
+OP5_TURNS_SQL = f"""select * from ({OP5_SQL}) union all
+select conv_id, conv_id || ':' || turn as call_id, cast(null as integer) as rank, 'message' as status,
+  '{{"role":' || case when role is null then 'null' else cast(to_json(role) as varchar) end || ',"text":' || case when text is null then 'null' else cast(to_json(text) as varchar) end || ',"turn":' || coalesce(cast(turn as varchar), 'null') || '}}' as json
+from conversations where role is null or role not in ('user', 'assistant')"""

@@ -402,6 +402,14 @@ def test_chat(spark):
     assert link(calls.limit(0), results.limit(0)).count() == 0
 
 
+def test_chat_keeps_every_other_turn(spark):
+    from chirpsieve.llm.chat import messages
+
+    turns = spark.createDataFrame([(1, 0, "system", 'a "b"'), (1, 1, "user", "x"), (1, 2, "assistant", "y"), (2, 0, "tool", None), (2, 1, None, "z")], "conv_id long, turn int, role string, text string")
+    got = {(r.conv_id, r.call_id): (r.status, r.json) for r in messages(turns).collect()}
+    assert got == {(1, "1:0"): ("message", '{"role":"system","text":"a \\"b\\"","turn":0}'), (2, "2:0"): ("message", '{"role":"tool","text":null,"turn":0}'), (2, "2:1"): ("message", '{"role":null,"text":"z","turn":1}')}
+
+
 def test_ranks_against_brute_force(spark):
     from chirpsieve.llm.chat import ranks
 
