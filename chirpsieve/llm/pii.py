@@ -17,6 +17,8 @@ from .common import materialize
 
 # Titles that a name follows.
 TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Господин|Госпожа|Κύριος|Κυρία"
+# A word of a name, to its end: inner capitals, hyphens and apostrophes belong to it, a final 's doesn't.
+NAME_WORD = r"\p{Lu}(?:['’]\p{L}++|[\p{L}\p{M}]++)(?:-\p{L}++|['’]\p{Lu}[\p{L}\p{M}]*+)*+"
 # The patterns of entities, most specific first (Java regular expressions).
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -27,7 +29,7 @@ PATTERNS = {
     "card": r"(?<!\d)\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
-    "name": rf"(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: (?!(?:{TITLES})\b)\p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"(?<!\p{{L}})(?:{TITLES})\.? {NAME_WORD}(?: (?!(?:{TITLES})\b){NAME_WORD})*+",
 }
 # Titles of women, and names by script and gender.
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа|Κυρία)\b"
@@ -146,7 +148,7 @@ def _surrogate(v: Column, attempt: Column, kind: Column, d: Column, key: str) ->
         last = F.when(script == s, l) if last is None else last.when(script == s, l)
     # few names exist: later attempts add letters to the surname
     tail = F.when(attempt > 0, alike(F.when(script == "cyrillic", "ааа").when(script == "greek", "ααα").otherwise("aaa"), d)).otherwise("")
-    two = v.rlike(r"^\S+ \S+ \S+$")
+    two = v.rlike(r"^\S+ \S+ \S")
     name = F.concat(part(r"^(\S+ )"), F.when(two, F.concat(given, F.lit(" "), last)).otherwise(last), tail)
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "name", name)
     out = out.when(kind == "access_key", F.concat(F.substring(v, 1, 4), rest("^.{4}(.*)$"))).when(kind == "ssn", F.concat(F.lit("9"), rest("^.(.*)$")))

@@ -453,6 +453,17 @@ def test_pii(spark, docs, empty):
     assert pii.pseudonymise(docs).count() == len(rows())
 
 
+def test_names_are_found_to_their_end(spark):
+    from chirpsieve.llm import pii
+
+    names = ["Mrs Edith Ruth Schmidt", "Mr McDonald", "Mr Smith-Jones", "Mr O'Brien", "Mr Walter Smith"]
+    df = spark.createDataFrame([(i, f"so {n} said. {n}'s hat") for i, n in enumerate(names)], "doc_id long, text string")
+    for r in pii.pseudonymise(df).collect():
+        title, *name = names[r.doc_id].split(" ")
+        assert r.n_entities_ == 2 and not any(w in r.text for w in [*name, "Donald", "Jones", "Brien"])
+        assert re.fullmatch(rf"so ({title} \w+(?: \w+)?) said\. \1's hat", r.text), r.text
+
+
 def test_found_is_the_plain_alternation(spark):
     from pyspark.sql import functions as F
 
