@@ -30,7 +30,7 @@ def problem(name: Column, arguments: Column, schemas: dict) -> Column:
     return out
 
 
-def ranks(calls: DataFrame, rounds: int = 10_000) -> DataFrame:
+def ranks(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, rank: 0 without (known) dependencies, else one more than the highest of them; null on or behind a cycle.
 
     calls: conv_id, call_id, after (array of call_ids of the same conversation).
@@ -60,7 +60,7 @@ def ranks(calls: DataFrame, rounds: int = 10_000) -> DataFrame:
         m = edges.join(many.select(F.col("conv_id").alias("mc"), F.col("call_id").alias("md")), F.col("conv_id").eqNullSafe(F.col("mc")) & (F.col("call_id") == F.col("md")), "left_semi")
         m = materialize(m.join(at, F.col("conv_id").eqNullSafe(F.col("ac")) & (F.col("dep") == F.col("ad"))).select("conv_id", "call_id", "root", "dist"))
         ranked = materialize(ranked)
-        for _ in range(rounds):
+        while True:
             got = m.join(ranked, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("root") == F.col("rd")), "left")
             ready = got.groupBy("conv_id", "call_id").agg(F.max(F.col("base").isNull()).alias("waits"), F.max(F.col("base") + F.col("dist") + 1).alias("base")).where("not waits")
             ready = materialize(ready.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("rd"), "base"))
@@ -85,7 +85,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
     """
     first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("position", "content")).alias("r")).select(F.col("conv_id").alias("rc"), F.col("call_id").alias("rd"), F.col("r.position").alias("position"), F.col("r.content").alias("content"), F.lit(True).alias("found"))
     c = calls.select("conv_id", "call_id", "name", "arguments", "after", F.lit(True).alias("called"))
-    both = c.join(first, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("rd")), "full_outer")
+    both = c.join(first, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("rd")), "left")
+    known = calls.where("call_id is not null").select(F.col("conv_id").alias("kc"), F.col("call_id").alias("kd")).distinct()
+    orphans = results.join(known, F.col("conv_id").eqNullSafe(F.col("kc")) & (F.col("call_id") == F.col("kd")), "left_anti")
+    both = both.unionByName(orphans.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("rd"), "position", "content", F.lit(True).alias("found")), allowMissingColumns=True)
     order = ranks(c.where("call_id is not null")).select(F.col("conv_id").alias("oc"), F.col("call_id").alias("od"), "rank")
     both = both.join(order, F.col("conv_id").eqNullSafe(F.col("oc")) & (F.col("call_id") == F.col("od")), "left")
     bad = problem(F.col("name"), F.col("arguments"), schemas)

@@ -402,6 +402,15 @@ def test_chat(spark):
     assert link(calls.limit(0), results.limit(0)).count() == 0
 
 
+def test_orphan_results_stay_apart(spark):
+    from chirpsieve.llm.chat import link
+
+    calls = spark.createDataFrame([(1, "a", "reply", '{"text":"y","turn":1}', None)], "conv_id long, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([(1, "a", 1, "r"), (1, "q", 1, "s"), (1, "q", 2, "t"), (1, None, 1, "u"), (1, None, 2, "v")], "conv_id long, call_id string, position long, content string")
+    got = Counter((r.call_id, r.status) for r in link(calls, results).collect())
+    assert got == {("a", "ok"): 1, ("q", "orphan result"): 2, (None, "orphan result"): 2}
+
+
 def test_chat_keeps_every_other_turn(spark):
     from chirpsieve.llm.chat import messages
 
