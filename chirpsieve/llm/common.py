@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -16,13 +19,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+
 _written: list[tuple[SparkSession, str]] = []
+_batches = threading.Lock()
+_writing: dict[int, list] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one where that is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_chirpsieve_dir", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="chirpsieve-")
@@ -30,6 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Whole texts go to Python in batches of 2,000 rows at most, until the last of concurrent writers is done."""
+    with _batches:
+        held = _writing.setdefault(id(spark), [0, spark.conf.get(ARROW_ROWS)])
+        held[0] += 1
+        spark.conf.set(ARROW_ROWS, str(min(int(held[1]), 2000) if int(held[1]) > 0 else 2000))
+    try:
+        yield
+    finally:
+        with _batches:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(ARROW_ROWS, _writing.pop(id(spark))[1])
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, executors may be lost.
 
@@ -38,27 +62,42 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/chirpsieve-{uuid.uuid4().hex}"
-    rows = spark.conf.get(ARROW_ROWS)
-    try:
-        # whole texts go to Python: batches of 10,000 would be held several times over
-        spark.conf.set(ARROW_ROWS, str(min(int(rows), 2000) if int(rows) > 0 else 2000))
+    with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, rows)
     _written.append((spark, path))
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM has gone already
-            return
+        except Exception:  # the JVM has gone already, or one folder can't be deleted
+            continue
+
+
+@contextmanager
+def scratch():
+    """Deletes at its end the tables written within: for long sessions, around a query and the write of its result."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _delete(_written[before:])
+        del _written[before:]
+
+
+@atexit.register
+def _remove_written() -> None:
+    _delete(_written)
+
+
+def boxed(df: DataFrame, **more) -> DataFrame:
+    """df as one struct column `row`, beside computed columns, so that no name of df can clash with another."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
 
 
 def words(text: bytes) -> list[bytes]:

@@ -6,10 +6,14 @@ in the next l segments add up to at most l t / 8 for every l. For t = 3 those
 budgets are 0, 0, 1, 1, 1, 2, 2, 3: two equal segments, and of the three that
 follow at least two equal. So a join on four equal segments (24 choices, 32
 bits each) meets every link, and the longer chains prune what it meets before
-all 64 bits are counted.
-
-Only distinct fingerprints are joined, and of each bucket only a spanning
-forest of its links is kept, so a group of n copies makes n rows, not n^2.
+all 64 bits are counted. Only distinct fingerprints are joined, and of each
+bucket only a spanning forest of its links is kept, so a group of n copies
+makes n rows, not n^2.
+
+Texts of Jaccard 0.8 differ in about 10 bits, and up to 27. Nothing finds all
+pairs within 27 of 64 bits in less than all comparisons, so near_duplicates
+takes its candidates from shared rare shingles, which lose nothing; there the
+same chains and the Hamming check prune groups before whole sets are compared.
 """
 
 from __future__ import annotations
@@ -22,14 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, materialize
+from .common import LOWER_AZ, boxed, materialize, text_keys
+from .groups import STRIP, as_bytes, by_task, components, in_blocks, linked, shingle_set, whole_sets
 
 SEGMENTS, BITS = 8, 8
 PIECE = 50_000  # words hashed at a time
 SMALL_RUN = 48  # buckets up to this size are compared pair by pair
-SKETCH = 256
-CELLS = 20  # bits of a shingle's cell
-COMPLETE = 6  # bits up to which candidate search misses nothing
+CELLS = 18  # bits of a shingle's cell
+SLICES = 16  # of the table of cells, while it is added up
+FEW = 64  # sets below this size are compared without a look at their fingerprints
 _BIT = np.arange(64, dtype=np.uint64)
 
 
@@ -48,33 +53,36 @@ def shingle_hashes(text: bytes, size: int):
         yield np.fromiter((h(b" ".join(r), 42) for r in rows), dtype=np.uint64, count=len(part) - size + 1)
 
 
-def fingerprint(text: bytes, size: int, sketch: int = 0) -> tuple[int, bytes]:
-    """The fingerprint as a signed long, and the `sketch` smallest distinct 32-bit hashes."""
-    ones, n, low = np.zeros(64, dtype=np.int64), 0, []
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint, as a signed long, of n hashes of which `ones` have each bit set."""
+    fp = int(((ones * 2 > n).astype(np.uint64) << _BIT).sum()) if n else 0
+    return fp - (1 << 64) * (fp >> 63)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    out = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), PIECE):
+        out += np.unpackbits(h[at : at + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return out
+
+
+def fingerprint(text: bytes, size: int) -> int:
+    """The fingerprint of all shingles, repeats included, as a signed long."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
     for h in shingle_hashes(text, size):
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += bit_counts(h)
         n += len(h)
-        if sketch:
-            low.append(np.unique((h >> np.uint64(32)).astype("<u4"))[:sketch])
-    fp = int(((ones * 2 > n).astype(np.uint64) << _BIT).sum()) if n else 0
-    small = np.unique(np.concatenate(low))[:sketch].tobytes() if low else b""
-    return fp - (1 << 64) * (fp >> 63), small
+    return majority(ones, n)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0) -> DataFrame:
-    """doc_id, k1 (native hash of the text), fp, sketch: null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, fp of each row: null and empty texts have fingerprint 0. Other columns are ignored."""
 
     def run(batches):
         for batch in batches:
-            fps, sketches = [], []
-            for t in batch["text"]:
-                fp, small = fingerprint(t.as_buffer().to_pybytes() if t.is_valid and t.as_buffer() is not None else b"", shingle, sketch)
-                fps.append(fp)
-                sketches.append(small)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["k1"], pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "k1", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([fingerprint(as_bytes(t), shingle) for t in batch["text"]], pa.int64())], ["doc_id", "fp"])
 
-    src = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), "text")
-    return src.mapInArrow(run, "doc_id long, k1 long, fp long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def budgets(most: int) -> list[int]:
@@ -84,24 +92,24 @@ def budgets(most: int) -> list[int]:
 def choices(most: int) -> list[tuple[int, tuple[int, ...]]]:
     """(first segment of the chain, segments that are equal): some choice holds for every link of at most `most` bits.
 
-    Up to 3 bits by the chain's first five segments; beyond, 8 - most segments
-    (2 at least) are free of differences by the pigeonhole principle.
+    Up to 3 bits by the chain's first five segments; up to 6, 8 - most segments
+    are free of differences by the pigeonhole principle.
     """
+    if most > 6:
+        raise ValueError("the search is complete up to 6 bits only")
     if most <= 3:
         return [(i, tuple((i + j) % SEGMENTS for j in (0, 1, *two))) for i in range(SEGMENTS) for two in combinations((2, 3, 4), 2)]
-    return [(-1, c) for c in combinations(range(SEGMENTS), max(2, SEGMENTS - most))]
+    return [(-1, c) for c in combinations(range(SEGMENTS), SEGMENTS - most)]
 
 
-def keys(fp: Column, most: int, rotations: tuple[int, ...] = (0,)) -> Column:
-    """An array of bucket keys; rotations cut the 64 bits at other places (more recall where `most` is over 6)."""
+def keys(fp: Column, most: int) -> Column:
+    """An array of bucket keys, one for each choice of equal segments."""
     out = []
-    for rot in rotations:
-        f = fp if not rot else F.shiftleft(fp, rot).bitwiseOR(F.shiftrightunsigned(fp, 64 - rot))
-        for t, (_, segs) in enumerate(choices(most)):
-            key = F.lit(len(out)).cast("long")
-            for s in segs:
-                key = F.shiftleft(key, BITS).bitwiseOR(F.shiftrightunsigned(f, BITS * s).bitwiseAND(F.lit(255)))
-            out.append(key)
+    for _, segs in choices(most):
+        key = F.lit(len(out)).cast("long")
+        for s in segs:
+            key = F.shiftleft(key, BITS).bitwiseOR(F.shiftrightunsigned(fp, BITS * s).bitwiseAND(F.lit(255)))
+        out.append(key)
     return F.array(*out)
 
 
@@ -159,15 +167,14 @@ def forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)
 
 
-def links(nodes: DataFrame, most: int, rotations: tuple[int, ...] = (0,)) -> DataFrame:
-    """Distinct (u, v), u < v: links between rows (node, fp) with at most `most` differing bits, enough to connect them.
+def links(nodes: DataFrame, most: int) -> DataFrame:
+    """Distinct (u, v), u < v: links between rows (node, fp) with at most `most` (6 at most) differing bits, enough to connect them.
 
-    Complete up to 6 bits; beyond that each row of a bucket has its nearest
-    row before it (buckets over SMALL_RUN: a spanning forest), and with many
-    buckets a row most of the texts like it are met. Either way a bucket of n
-    rows makes fewer than n SMALL_RUN links.
+    Buckets over SMALL_RUN make a spanning forest, others all their links:
+    either way a bucket of n rows makes fewer than n SMALL_RUN links, and the
+    components are those of all links.
     """
-    starts = np.array([max(0, s) for s, _ in choices(most)] * len(rotations))
+    starts = np.array([max(0, s) for s, _ in choices(most)])
 
     def pairs(key, fp, node):
         us, vs = [], []
@@ -178,22 +185,13 @@ def links(nodes: DataFrame, most: int, rotations: tuple[int, ...] = (0,)) -> Dat
         small = size <= SMALL_RUN
         # the key has the number of its choice above the segments
         start = starts[(key >> (BITS * nseg)).astype(np.int64)]
-        best, near = np.full(len(key), 65, dtype=np.int64), np.zeros(len(key), dtype=np.int64)
         for d in range(1, min(SMALL_RUN, len(key))):
             at = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
             if not len(at):
                 break
-            if most > COMPLETE:
-                h = np.bitwise_count(fp[at] ^ fp[at + d]).astype(np.int64)
-                closer = h < best[at + d]
-                best[at[closer] + d], near[at[closer] + d] = h[closer], at[closer]
-                continue
             at = at[close(fp[at], fp[at + d], most, start[at])]
             us.append(node[at])
             vs.append(node[at + d])
-        hit = np.flatnonzero(best <= most)
-        us.append(node[near[hit]])
-        vs.append(node[hit])
         for b, e in zip(begin[end - begin > SMALL_RUN], end[end - begin > SMALL_RUN]):
             u, v = forest(fp[b:e], most)
             us.append(node[b:e][u])
@@ -218,46 +216,19 @@ def links(nodes: DataFrame, most: int, rotations: tuple[int, ...] = (0,)) -> Dat
             u, v = pairs(*held)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    rows = nodes.select("node", "fp", F.explode(keys(F.col("fp"), most, rotations)).alias("key"))
+    rows = nodes.select("node", "fp", F.explode(keys(F.col("fp"), most)).alias("key"))
     found = rows.repartition("key").sortWithinPartitions("key", "fp", "node").mapInArrow(run, "u long, v long")
     return found.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, label (smallest node reachable) for every node of edges (u, v), by large-star and small-star rounds."""
-    e = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-
-    def sign(x):
-        return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    seen = sign(e)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        down = large.select(F.col("v").alias("a"), F.col("u").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select("m", F.col("b").alias("v")).where("m <> v").union(low.select("m", F.col("a").alias("v"))).distinct()
-        e = materialize(small.select(F.col("m").alias("u"), "v"))
-        now = sign(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("v").alias("node"), F.col("u").alias("label")).union(e.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
-
-
 def similar(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, n_links (other fingerprints linked within a bucket's forest).
+    """doc_id, fingerprint (16 hex digits), component_id for each row.
 
     Null and empty texts have fingerprint 0 and link like any other. A null
     doc_id keeps its row; component_id is the smallest doc_id that is not null
     (null if there is none). Repeated rows stay. Other columns are ignored.
     """
-    w = materialize(fingerprints(docs, shingle).drop("sketch", "k1"))
+    w = materialize(fingerprints(docs, shingle))
     least = w.groupBy("fp").agg(F.min("doc_id").alias("least"))
     label = components(links(w.select(F.col("fp").alias("node"), "fp").distinct(), most))
     by = least.join(label, least.fp == label.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
@@ -273,215 +244,151 @@ def op3(spark, sf_dir):
     return similar(documents(spark, sf_dir))
 
 
-def estimate(a: bytes, b: bytes, sketch: int = SKETCH) -> tuple[float, bool]:
-    """Jaccard of two sets from their bottom sketches, and whether that is exact (both sets are smaller than a sketch)."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.union1d(x, y)
-    exact = len(x) < sketch and len(y) < sketch
-    both = both if exact else both[:sketch]
-    return (len(np.intersect1d(np.intersect1d(x, y, True), both, True)) / len(both) if len(both) else 1.0), exact
+def commonness(texts: DataFrame, shingle: int) -> np.ndarray:
+    """For each of 2^CELLS cells of shingle hashes, how often it is met in all texts, 0 unless it stands out.
 
-
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """k1, set (sorted distinct 64-bit shingle hashes) of rows (k1, text)."""
-
-    def run(batches):
-        for batch in batches:
-            sets = [np.unique(np.concatenate([*shingle_hashes((t or "").encode(), shingle), np.zeros(0, np.uint64)])).tobytes() for t in (x.as_py() for x in batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["k1"], pa.array(sets, pa.binary())], ["k1", "set"])
-
-    return texts.select("k1", "text").mapInArrow(run, "k1 long, set binary")
-
-
-def commonness(texts: DataFrame, shingle: int, documents: int = 20_000) -> np.ndarray:
-    """For each of 2^20 cells of shingle hashes, how often it is met in a sample of rows (k1, text), 0 unless it stands out.
-
-    It only orders shingles, rare ones first: any table gives the same links,
-    a good one fewer pairs to compare. Its size is fixed.
+    It only orders shingles, rare ones first: any table gives the same links, a
+    good one fewer comparisons. A shingle stands out once it is met some times
+    the square root of a cell's mean. The table's size is fixed: each task adds
+    up its own, and slices of these are added up.
     """
-    n = texts.count()
-    one_in = max(1, n // documents)
+    width = (1 << CELLS) // SLICES
 
-    def run(batches):
+    def count(batches):
+        table = np.zeros(1 << CELLS, dtype=np.int32)
         for batch in batches:
-            h = [np.unique(np.concatenate([*shingle_hashes((t.as_py() or "").encode(), shingle), np.zeros(0, np.uint64)])) for t in batch["text"]]
-            cell, met = np.unique(np.concatenate([*h, np.zeros(0, np.uint64)]) >> np.uint64(64 - CELLS), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(met.astype(np.int64))], ["cell", "met"])
-
-    # copies of one text don't make its shingles common
-    sample = texts.where(F.pmod("k1", F.lit(one_in)) == 0).dropDuplicates(["k1"]).select("text")
-    per = materialize(sample.mapInArrow(run, "cell int, met long").groupBy("cell").agg(F.sum("met").alias("met")))
-    mean = per.agg(F.sum("met")).first()[0] or 0
-    mean /= 1 << CELLS
-    out = np.zeros(1 << CELLS, dtype=np.int32)
-    for r in per.where(F.col("met") > mean + 6 * mean**0.5 + 4).collect():
-        out[r.cell] = min(r.met, 2**31 - 1)
-    return out
+            cells, held = [], 0
+            for t in batch["text"]:
+                cells.append((shingle_set(as_bytes(t), shingle) >> np.uint64(64 - CELLS)).astype(np.int32))
+                held += len(cells[-1])
+                if held > 1 << CELLS:
+                    table += np.bincount(np.concatenate(cells), minlength=1 << CELLS).astype(np.int32)
+                    cells, held = [], 0
+            if held:
+                table += np.bincount(np.concatenate(cells), minlength=1 << CELLS).astype(np.int32)
+        if table.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([x.tobytes() for x in table.reshape(SLICES, width)], pa.binary())], ["slice", "met"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch["slice"].to_pylist(), batch["met"]):
+                total[k] = total.get(k, np.zeros(width, dtype=np.int64)) + np.frombuffer(x.as_buffer(), np.int32)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "met"])
 
+    rows = texts.select("text").mapInArrow(count, "slice int, met binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, met binary")
+    table = np.zeros((SLICES, width), dtype=np.int64)
+    for r in materialize(rows).collect():  # SLICES rows of a fixed size
+        table[r.slice] = np.frombuffer(r.met, np.int64)
+    mean = table.mean()
+    return np.where(table > mean + 6 * mean**0.5 + 4, table, 0).ravel()
 
-def prefixes(texts: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """k1, n (distinct shingles), prefix (the rarest of them) of rows (k1, text), one a text.
 
-    Sets of Jaccard `similarity` or more have a shingle in common among the
-    first n - similarity n + 1 of each, in whatever order all sets share.
+def survey(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """doc_id, k1, k2 (keys of the text), c1, c2 (key of its shingle set), n (its size), fp, prefix (its rarest shingles) of each row.
+
+    fp is the fingerprint of the distinct shingles. Sets of Jaccard `similarity`
+    or more have a shingle in common among the first n - similarity n + 1 of
+    each, in whatever order all sets share.
     """
-    table = texts.sparkSession.sparkContext.broadcast(common)
+    table = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        cells, seen = table.value, set()
+        cells = table.value
         for batch in batches:
-            k1, n, out = [], [], []
-            for k, t in zip(batch["k1"].to_pylist(), batch["text"]):
-                if k in seen:
-                    continue
-                seen.add(k)
-                h = np.unique(np.concatenate([*shingle_hashes((t.as_py() or "").encode(), shingle), np.zeros(0, np.uint64)]))
+            c, n, fp, out = [], [], [], []
+            for t in batch["text"]:
+                h = shingle_set(as_bytes(t), shingle)
                 size = len(h)
                 first = size - int(np.ceil(similarity * size - 1e-9)) + 1
-                h = h[np.argsort(cells[h >> np.uint64(64 - CELLS)], kind="stable")[:first]] if size else np.zeros(1, np.uint64)
-                k1.append(k)
+                c.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64))
                 n.append(size)
-                out.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.binary())], ["k1", "n", "prefix"])
+                fp.append(majority(bit_counts(h), size))
+                # sets without shingles share one that none has
+                out.append(h[np.argsort(cells[h >> np.uint64(64 - CELLS)], kind="stable")[:first]] if size else np.zeros(1, np.uint64))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)))
+            c = np.array(c, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["k1"], batch["k2"], pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), prefix], ["doc_id", "k1", "k2", "c1", "c2", "n", "fp", "prefix"])
 
-    return texts.select("k1", "text").mapInArrow(run, "k1 long, n int, prefix binary").groupBy("k1").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return docs.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, c1 long, c2 long, n int, fp long, prefix array<long>")
 
 
-def met(sets: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (u, v), u < v: rows (k1, n, prefix, label) of different labels that share a shingle of their prefixes and could be of Jaccard `similarity`."""
+def reach(similarity: float) -> int:
+    """Bits in which fingerprints of sets of Jaccard `similarity` may differ: mean and six standard deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(64 * p + 6 * (64 * p * (1 - p)) ** 0.5))
 
-    def spread(batches):
-        for batch in batches:
-            h = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["prefix"]]
-            times = np.array([len(x) for x in h], dtype=np.int64)
-            cols = [batch[c].to_numpy() for c in ("k1", "n", "label")]
-            # long texts have long prefixes: PIECE rows or one text at a time
-            cut = np.flatnonzero(np.diff(np.cumsum(times) // PIECE)) + 1
-            for part in np.split(np.arange(len(h)), cut):
-                if len(part):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for i in part])), *(pa.array(np.repeat(c[part], times[part])) for c in cols)], ["key", "k1", "n", "label"])
-
-    def pairs(key, k1, n, label):
-        us, vs = [], []
-        cut = np.flatnonzero(np.diff(key)) + 1
-        begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-        small = np.repeat(end - begin, end - begin) <= SMALL_RUN
-        for d in range(1, min(SMALL_RUN, len(key))):
-            at = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
-            if not len(at):
-                break
-            at = at[(label[at] != label[at + d]) & (n[at] >= similarity * n[at + d] - 1e-9)]
-            us.append(k1[at])
-            vs.append(k1[at + d])
-        for b, e in zip(begin[end - begin > SMALL_RUN], end[end - begin > SMALL_RUN]):
-            of, inverse, many = np.unique(label[b:e], return_inverse=True, return_counts=True)
-            # within the largest label nothing is open: the others are compared with all
-            most = int(np.argmax(many))
-            for i in np.flatnonzero(inverse != most):
-                lo, hi = np.minimum(n[b + i], n[b:e]), np.maximum(n[b + i], n[b:e])
-                j = np.flatnonzero((inverse != inverse[i]) & (lo >= similarity * hi - 1e-9))
-                j = j[(inverse[j] == most) | (j > i)]
-                us.append(np.full(len(j), k1[b + i]))
-                vs.append(k1[b:e][j])
-        u, v = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (us, vs))
-        both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-        return both[0], both[1]
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            now = [batch[c].to_numpy() for c in ("key", "k1", "n", "label")]
-            if not len(now[0]):
-                continue
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            last = int(np.searchsorted(now[0], now[0][-1]))
-            held = [x[last:] for x in now]
-            if last:
-                u, v = pairs(*(x[:last] for x in now))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-        if held is not None:
-            u, v = pairs(*held)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+def partnered(n: np.ndarray, fp: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the sets (size, fingerprint) have another that may be alike: sizes, then chains, then all 64 bits.
 
-    rows = sets.select("k1", "n", "prefix", "label").mapInArrow(spread, "key long, k1 long, n int, label long")
-    return rows.repartition("key").sortWithinPartitions("key", "n", "k1").mapInArrow(run, "u long, v long").where("u <> v").distinct()
+    Fingerprints of small sets vary too much: those pass on their size alone.
+    """
+    most, m = reach(similarity), len(n)
+    out = np.zeros(m, dtype=bool)
+    for at in range(0, m, STRIP):
+        a = slice(at, at + STRIP)
+        low, high = np.minimum(n[a, None], n[None, :]), np.maximum(n[a, None], n[None, :])
+        ok = low >= similarity * high - 1e-9
+        x = fp[a, None] ^ fp[None, :]
+        segments = np.bitwise_count(x.view(np.uint8).reshape(*x.shape, SEGMENTS))
+        chain, spent = np.ones(segments.shape, dtype=bool), np.zeros(segments.shape, dtype=np.uint8)
+        for l in range(3):
+            spent = spent + np.roll(segments, -l, axis=2)
+            chain &= spent <= most * (l + 1) / SEGMENTS
+        ok &= (low < FEW) | chain.any(axis=2)
+        ok &= (low < FEW) | (np.bitwise_count(x) <= most)
+        ok[np.arange(len(x)), np.arange(at, at + len(x))] = False
+        out[a] |= ok.any(axis=1)
+    return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 16, rotations: tuple[int, ...] = (0, 4), doubt: float = 0.12) -> DataFrame:
-    """doc_id, k1 of the rows to keep: of each group of documents whose shingle sets have Jaccard `similarity` at least, one.
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, k1, k2 (keys of the text) of the rows to keep: of each group of documents whose shingle sets have Jaccard `similarity` at least, one.
 
-    Fingerprints come first: candidates differ in at most `most` bits (a Jaccard
-    of 0.8 means about 10 of 64) and share two segments of either cut. That
-    search is not complete; it ties large groups together in few rows. Then an
-    exact one: texts still in different groups that share a shingle of their
-    prefixes are compared too, so no pair is lost. Sketches of 256 hashes decide
-    pairs farther than `doubt` (about five standard errors) from the threshold;
-    the others are decided by their whole sets. A group keeps the row with the
-    smallest (doc_id, k1), nulls last.
+    Groups are the components of all pairs of distinct sets that are alike.
+    Candidates are sets that share a shingle of their prefixes (exact: no pair
+    is missed). Within each candidate group, sets without a partner by size and
+    by the fingerprints' chains and Hamming distance go; the others are compared
+    in whole, in blocks. A group keeps the row with the smallest (doc_id, k1,
+    k2), nulls last. Null and empty texts are one group.
     """
-    w = materialize(fingerprints(docs, shingle, SKETCH))
-    texts = w.groupBy("k1").agg(F.min("fp").alias("fp"))
-    cand = materialize(links(texts.select(F.col("k1").alias("node"), "fp"), most, rotations))
-
-    def weigh(batches):
-        for batch in batches:
-            out = []
-            for a, b in zip(batch["sa"], batch["sb"]):
-                j, exact = estimate(a.as_py(), b.as_py())
-                out.append(2 if not exact and abs(j - similarity) < doubt else int(j >= similarity))
-            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], pa.array(out, pa.int32())], ["u", "v", "verdict"])
-
-    def compare(batches):
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch["sa"], batch["sb"]):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                same = len(np.intersect1d(x, y, True))
-                ok.append(same >= similarity * (len(x) + len(y) - same))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["u"].filter(ok), batch["v"].filter(ok)], ["u", "v"])
-
-    def sided(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-        a = sets.select(F.col("k1").alias("u"), F.col(column).alias("sa"))
-        b = sets.select(F.col("k1").alias("v"), F.col(column).alias("sb"))
-        return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "sa", "sb")
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("u").alias("k1")).union(pairs.select("v")).distinct()
-
-    one = w.groupBy("k1").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("one"))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("kt"), "text")
-
-    def verified(cand: DataFrame) -> DataFrame:
-        sketches = materialize(w.join(ends(cand), "k1").groupBy("k1").agg(F.min("sketch").alias("sketch")))
-        weighed = materialize(sided(cand, sketches, "sketch").mapInArrow(weigh, "u long, v long, verdict int"))
-        open_ = weighed.where("verdict = 2")
-        needed = materialize(one.join(ends(open_), "k1").select("k1", F.col("one.doc_id").alias("one")))
-        whole = rows.join(needed, (F.col("kt") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("k1", "text")
-        sets = materialize(shingle_sets(whole, shingle).dropDuplicates(["k1"]))
-        decided = sided(open_, sets, "set").mapInArrow(compare, "u long, v long")
-        return materialize(weighed.where("verdict = 1").select("u", "v").union(decided))
-
-    links_ = verified(cand)
-    label = materialize(components(links_))
-    all_ = rows.select(F.col("kt").alias("k1"), "text")
-    sets = prefixes(all_, shingle, similarity, commonness(all_, shingle))
-    sets = sets.join(label, sets.k1 == label.node, "left").select("k1", "n", "prefix", F.coalesce("label", "k1").alias("label"))
-    more = verified(materialize(met(sets, similarity)))
-    label = components(links_.union(more))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k1"))).alias("first")
-    per = w.groupBy("k1").agg(first)
-    by = per.join(label, per.k1 == label.node, "left").select("k1", "first", F.coalesce("label", "k1").alias("label"))
-    best = by.groupBy("label").agg(F.min("first").alias("best"))
-    return best.select(F.col("best.doc_id").alias("doc_id"), F.col("best.k1").alias("k1"))
+    w = materialize(survey(docs, shingle, similarity, commonness(docs, shingle)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
+    sets = w.groupBy("c1", "c2").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    sets = materialize(sets.select("first", "n", "fp", "prefix")).withColumn("node", F.monotonically_increasing_id())
+    # the numbers of rows are those of the written files: written once more, without the prefixes, they stay
+    nodes = materialize(sets.select("node", "first", "n", "fp"))
+    rows = sets.select("node", F.explode("prefix").alias("key"))
+    again = materialize(rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub"))
+    groups = materialize(rows.join(again, "key").select("hub", "node").distinct())
+
+    def prune(task, node, n, fp):
+        left = np.array(node, dtype=np.int64)[partnered(np.array(n, dtype=np.float64), np.array(fp, dtype=np.int64).view(np.uint64), similarity)]
+        return np.full(len(left), task, dtype=np.int64), left
+
+    blocks = in_blocks(groups.join(nodes.select("node", "n", "fp"), "node"))
+    blocks = materialize(by_task(blocks, prune, ["node", "n", "fp"], "task long, node long"))
+
+    whole = whole_sets(docs, nodes.join(blocks.select("node").distinct(), "node"), shingle)
+    label = components(linked(blocks.join(whole, "node"), similarity))
+    per = nodes.select("node", "first").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    best = per.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("best"))
+    return best.select(F.col("best.doc_id").alias("doc_id"), F.col("best.k1").alias("k1"), F.col("best.k2").alias("k2"))
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
-    """docs without all but one row of each group of near-duplicates; columns as they are."""
-    keep = materialize(near_duplicates(docs, **how)).select(F.col("doc_id").alias("keep_id_"), F.col("k1").alias("keep_k1_"))
-    names = docs.columns
-    d = docs.withColumn("k1_d_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    repeated = d.groupBy("doc_id", "k1_d_").count().where("count > 1").limit(1).count()
-    d = d.join(keep, d.doc_id.eqNullSafe(F.col("keep_id_")) & (F.col("k1_d_") == F.col("keep_k1_")), "left_semi")
-    return (d.dropDuplicates(["doc_id", "k1_d_"]) if repeated else d).select(*names)
+    """docs without all but one row of each group of near-duplicates; columns as they are, whatever their names.
+
+    Of rows equal in doc_id and text one stays. An empty table stays empty.
+    """
+    keep = materialize(near_duplicates(docs, **how)).select(F.col("doc_id").alias("id_"), F.col("k1").alias("n1_"), F.col("k2").alias("n2_"))
+    k1, k2 = text_keys(F.col("text"))
+    d = boxed(docs, id=F.col("doc_id"), k1=k1, k2=k2)
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("k1") == F.col("n1_")) & (F.col("k2") == F.col("n2_"))
+    d = materialize(d.join(keep, same, "left_semi"))
+    if d.groupBy("id", "k1", "k2").count().where("count > 1").limit(1).count():
+        d = d.dropDuplicates(["id", "k1", "k2"])
+    return d.select("row.*")

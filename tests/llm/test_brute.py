@@ -142,7 +142,8 @@ def test_simhash(docs, empty):
 
 @pytest.mark.parametrize("most", [3, 6])
 def test_links_connect_all_that_are_close(spark, most):
-    from chirpsieve.llm.simhash import components, forest, links
+    from chirpsieve.llm.groups import components
+    from chirpsieve.llm.simhash import forest, links
 
     r = np.random.default_rng(most)
     fps = set()
@@ -208,19 +209,22 @@ def test_near_duplicates_misses_no_isolated_pair(spark, lo, hi):
     assert sorted(r.doc_id for r in dedup(df).collect()) == [2 * i for i in range(200)]
 
 
-def test_near_duplicates_are_the_components_of_all_pairs(spark):
-    """Templates tie buckets together: a nearest neighbour that isn't alike must not hide one that is."""
-    from chirpsieve.llm.simhash import dedup
-
-    r = np.random.default_rng(11)
-    texts = []
-    for _ in range(6):
-        base = [f"w{x}" for x in r.integers(0, 10**9, 150)]
-        for _ in range(60):
+def families(seed, many, members, length, edits):
+    """Word lists: `many` texts, each with `members` copies of which fewer than `edits` words are changed."""
+    r = np.random.default_rng(seed)
+    out = []
+    for _ in range(many):
+        base = [f"w{x}" for x in r.integers(0, 10**9, length)]
+        for _ in range(members):
             w = list(base)
-            for at in r.integers(0, 150, int(r.integers(1, 9))):
+            for at in r.integers(0, length, int(r.integers(edits[0], edits[1]))):
                 w[at] = f"e{r.integers(0, 10**9)}"
-            texts.append(w)
+            out.append(w)
+    return out
+
+
+def representatives(texts):
+    """The first text of each component of all pairs of Jaccard 0.8 or more."""
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
     root = list(range(len(texts)))
 
@@ -233,10 +237,70 @@ def test_near_duplicates_are_the_components_of_all_pairs(spark):
         if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)
-    want = sorted({find(i) for i in range(len(texts))})
-    assert 6 < len(want) < len(texts)
+    return sorted({find(i) for i in range(len(texts))})
+
+
+@pytest.mark.parametrize("family", [(11, 6, 60, 150, (1, 9)), (12, 1, 300, 300, (3, 12))])
+def test_near_duplicates_are_the_components_of_all_pairs(spark, family, monkeypatch):
+    """Templates tie candidate groups together: a neighbour that isn't alike must not hide one that is; groups of several blocks lose nothing."""
+    from chirpsieve.llm import groups
+    from chirpsieve.llm.minhash import near_duplicates
+    from chirpsieve.llm.simhash import dedup
+
+    texts = families(*family)
+    want = representatives(texts)
+    assert 1 < len(want) < len(texts)
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
     assert sorted(x.doc_id for x in dedup(df).collect()) == want
+    monkeypatch.setattr(groups, "BLOCK", 20)
+    assert sorted(x.doc_id for x in dedup(df).collect()) == want
+    assert sorted({x.component_id for x in near_duplicates(df).collect()}) == want
+
+
+def test_intersections_and_forests():
+    from chirpsieve.llm.groups import alike, forest, intersections
+
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 5000, int(n)).astype(np.uint64)) for n in (0, 0, 1, 40, 3000, 3000, 4000)] + [np.arange(4000, dtype=np.uint64), np.arange(4900, dtype=np.uint64)]
+    both = intersections(sets)
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        assert both[i, j] == both[j, i] == len(np.intersect1d(sets[i], sets[j], True))
+    assert sorted(zip(*forest(alike(sets, 0.8)))) == [(0, 1), (7, 8)]
+    chain = np.zeros((50, 50), dtype=bool)
+    order = r.permutation(40)
+    chain[order[:-1], order[1:]] = chain[order[1:], order[:-1]] = True
+    u, v = forest(chain)
+    assert set(u) == {0 if 0 in order else min(order)} and len(v) == 39
+
+
+def test_pruning_keeps_all_that_are_alike():
+    from chirpsieve.llm.simhash import bit_counts, majority, partnered, reach, shingle_set
+
+    assert reach(0.8) == 27
+    pairs = edited_pairs(np.random.default_rng(9), 400, 0.8, 0.82)
+    sets = [[shingle_set(t.encode(), 5) for t in p] for p in pairs]
+    for a, b in sets:
+        fp = np.array([majority(bit_counts(x), len(x)) for x in (a, b)]).view(np.uint64)
+        assert partnered(np.array([len(a), len(b)], float), fp, 0.8).all()
+    lone = [a for a, _ in sets[:40]]
+    left = [partnered(np.array([len(a), len(b)], float), np.array([majority(bit_counts(x), len(x)) for x in (a, b)]).view(np.uint64), 0.8).any() for a, b in itertools.combinations(lone, 2) if min(len(a), len(b)) >= 64]
+    assert np.mean(left) < 0.1
+
+
+def test_dedup_of_odd_rows(spark):
+    """Nulls in any column, repeated rows, ties, empty tables and names that the code uses itself."""
+    from pyspark.sql import functions as F
+
+    from chirpsieve.llm.simhash import dedup
+
+    long = " ".join(f"w{i}" for i in range(4000))
+    data = [(None, None, 1, "a"), (None, None, 1, "a"), (None, "", 2, None), (5, "one two", 3, "b"), (4, "ONE two", 3, "b"), (4, "ONE two", 3, "b"), (None, "one two", 3, "b"), (7, long, 1, "c"), (8, long + " x", 1, "c")]
+    df = spark.createDataFrame(data, "doc_id long, text string, `row` int, `k1.x` string")
+    df = df.select("*", *[F.lit(0).alias(n) for n in ("k1", "k2", "id", "node", "hub", "task", "n")])
+    out = dedup(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str) == sorted([(4, "ONE two"), (7, long), (None, "")], key=str)
+    assert dedup(df.limit(0)).collect() == []
 
 
 def brute_removed(texts, n):
