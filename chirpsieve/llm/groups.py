@@ -36,8 +36,8 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(mix(rolling(x, min(shingle, len(x)), BASE))) if len(x) else x
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node, set of nodes (node, first: doc_id, k1, k2 of a row that has the text)."""
+def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int, repeated: bool = True) -> DataFrame:
+    """node, set of nodes (node, first: doc_id, k1, k2 of a row that has the text). repeated: docs may have equal rows."""
 
     def run(batches):
         for batch in batches:
@@ -46,8 +46,8 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     needed = materialize(nodes.select("node", F.col("first.doc_id").alias("one"), F.col("first.k1").alias("n1"), F.col("first.k2").alias("n2")))
     texts = docs.select("doc_id", *text_keys(F.col("text")), "text")
     texts = texts.join(needed, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("one")))
-    # repeated rows have one set
-    return materialize(texts.select("node", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"]))
+    sets = texts.select("node", "text").mapInArrow(run, "node long, set binary")
+    return materialize(sets.dropDuplicates(["node"]) if repeated else sets)
 
 
 def in_blocks(candidates: DataFrame) -> DataFrame:

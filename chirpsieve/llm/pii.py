@@ -1,27 +1,31 @@
 """Surrogates for personal data and secrets (DataFrame functions only).
 
-An entity's surrogate is drawn from a keyed SHA-512 of its text, in its own
-format: digits for digits, letters for letters of the same case and script,
-valid check digits, names of the title's gender. It depends on nothing else, so
-a value has one surrogate wherever it stands. A check over all distinct values
-finds surrogates that two values share, or that are values themselves; those
-values draw again until all are distinct.
+An entity has a normal form (an address in lower case, the digits of a number, a
+name's words), and its surrogate is drawn from a keyed SHA-512 of that, then put
+into the format at hand: digits for digits, letters of the same case and script,
+valid check digits, given names of the title's gender. So a value has one
+surrogate wherever and however it is written. A check over all distinct normal
+forms finds surrogates that two of them share, or that are normal forms
+themselves; those draw again until all are distinct.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import boxed, materialize
 
-# Titles that a name follows.
-TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Господин|Госпожа|Κύριος|Κυρία"
+# Titles that a name of up to six words follows.
+TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Господин|Госпожа|Κύριος|Κυρία"
 # A word of a name, to its end: inner capitals, hyphens and apostrophes belong to it, a final 's doesn't.
 NAME_WORD = r"\p{Lu}(?:['’]\p{L}++|[\p{L}\p{M}]++)(?:-\p{L}++|['’]\p{Lu}[\p{L}\p{M}]*+)*+"
-# The patterns of entities, most specific first (Java regular expressions).
+# Words that end the name of a street.
+STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Boulevard|Blvd|Square"
+# The patterns of entities, most specific first (Java regular expressions). Repeated groups are
+# possessive: Java runs those as loops, all others by recursion, which long texts overflow.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api_?key)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9_+/.\-]{8,}+[\"']?",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -29,20 +33,38 @@ PATTERNS = {
     "card": r"(?<!\d)\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
-    "name": rf"(?<!\p{{L}})(?:{TITLES})\.? {NAME_WORD}(?: (?!(?:{TITLES})\b){NAME_WORD})*+",
+    "street": rf"(?<![\p{{L}}\d])\d{{1,5}}[a-z]?+ {NAME_WORD} (?:{STREETS})\b",
+    "strasse": r"(?<!\p{L})\p{Lu}\p{Ll}++(?<=straße|strasse|weg|platz) \d{1,4}[a-z]?+(?!\d)",
+    "name": rf"(?<!\p{{L}})(?:(?:{TITLES})\.? ){{1,3}}+{NAME_WORD}(?: (?!(?:{TITLES})\b){NAME_WORD}){{0,5}}+",
 }
-# Titles of women, and names by script and gender.
+# Titles of women and of either, and country codes of one and two digits (the others have three).
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа|Κυρία)\b"
+EITHER = r"^(?:Dr|Prof)\b"
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+# Parts that surrogate names are made of, by script: beginnings, middles, and endings of
+# surnames and of given names of women and men.
 NAMES = {
-    ("latin", "f"): "Anna Clara Emma Julia Laura Maria Nora Paula Rosa Sara Sofia Vera".split(),
-    ("latin", "m"): "Adam Daniel David Felix Hugo Jonas Leo Lucas Martin Oscar Simon Victor".split(),
-    ("latin", "s"): "Adler Bauer Costa Duran Ferrer Garnier Keller Lambert Moreno Novak Olsen Weber".split(),
-    ("cyrillic", "f"): "Анна Вера Елена Ирина Мария Нина Ольга София".split(),
-    ("cyrillic", "m"): "Антон Борис Виктор Иван Николай Олег Павел Сергей".split(),
-    ("cyrillic", "s"): "Бойко Гончар Коваль Кравец Лысенко Мороз Ткач Шевчук".split(),
-    ("greek", "f"): "Άννα Ελένη Ειρήνη Μαρία Σοφία Χριστίνα".split(),
-    ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
-    ("greek", "s"): "Δημητρίου Ιωάννου Νικολάου Παύλου Πέτρου Χρήστου".split(),
+    "latin": {
+        "start": "Ab Ad Al Ar Ba Be Bo Bra Bri Ca Co Cra Da De Do Dra Du Ed El Er Fa Fe Fo Fra Ga Ge Go Gra Ha He Ho Hu Ja Jo Ka Ke Ko Kra La Le Li Lo Lu Ma Me Mo Na Ne No Os Pa Pe Po Ra Re Ro Sa Se Si So Sta Ta Te To Tra Va Ve Vi Vo Wa We Wi Za Ze",
+        "middle": "b d f g k l m n r s t v bb dd ff gg kk ll mm nn rr ss tt lb ld lm ln lt mb nd ng nk nt rb rd rg rk rl rm rn rt sk st",
+        "surname": "alder ander anger arez ari asky aux eau elius eller ello elman emann enberg enburg ender enfeld ensen enson ento erford erham ero eston eti ez ier iera iero ietti igan illo ini inski isch ison iton ivale ival oni orno ossa otti ovic owell owick owood oworth uela ulin unez usso",
+        "given_f": "a ia ina ella ette isa ika anne ine elle inda ora",
+        "given_m": "o us an in er on en el ian ert ard old",
+    },
+    "cyrillic": {
+        "start": "Ба Бо Ва Ве Во Га Го Да До За Зу Ка Ко Ла Ле Лу Ма Ми Мо На Но Па По Ра Ро Са Се Со Та То Фа Хо Ша Ше Щу",
+        "middle": "в г д ж з к л м н р с т вл др зн ль мн нд рк рт ск ст",
+        "surname": "авко айко алюк анчук аренко евич евко енко ерко ейко ивко илюк имчук инчук ирко исюк ищук ович овко ойко олюк ончук орко ушко ущенко",
+        "given_f": "а ия ина ена ица ана она ея",
+        "given_m": "ан ей ий ор им он ян ен",
+    },
+    "greek": {
+        "start": "Αν Βα Γα Γι Δε Δη Ελ Ευ Ζα Ηλ Θε Κα Κο Λα Λε Μα Με Μι Να Νι Πα Πε Ρα Σα Τα Τρι Φα Χα Χρι",
+        "middle": "β γ δ κ λ μ ν π ρ σ τ φ νδ ρδ ρτ στ",
+        "surname": "ίδη άκη ίου έα άτου άντη ώνη ούλη ίτη αίου άρη ιάδη",
+        "given_f": "α ία ίνα ένη ώ ούλα",
+        "given_m": "ος ης ίας ων ίνος άνος",
+    },
 }
 # Alphabets that a character's surrogate comes from.
 ALPHABETS = [
@@ -53,32 +75,67 @@ ALPHABETS = [
     ("[α-ωά-ώ]", "αβγδεζηθικλμνξοπρστυφχψω"),
     ("[а-я]", "абвгдежзиклмнопрстуфхцчшэюя"),
 ]
-KEY = "surrogate-key-1"  # a parameter of every function; keep the real one secret
+# Spark's setting with the secret key of registered queries; without it they draw from a key that anybody can read here.
+KEY_SETTING, DEMONSTRATION_KEY = "spark.chirpsieve.surrogate.key", "surrogate-key-1"
 
 # Within a word every position fails at the first look: only word starts try the
 # kinds that begin with a letter, and only signs and digits the others.
 # The backreference counts groups of the whole alternation: card's is the only capturing one.
-LETTERED = ["email", "access_key", "secret", "iban", "name"]
+LETTERED = ["email", "access_key", "secret", "iban", "strasse", "name"]
 PATTERN = (
     "(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS[k] for k in LETTERED) + ")"
     + r"|(?=[+(\d])(?:" + "|".join(p for k, p in PATTERNS.items() if k not in LETTERED) + ")"
 )
 # Every pattern needs one of these signs or words.
 SIGNS = "[0-9@=:]"
-NEEDED = ["AKIA", "ASIA", *TITLES.split("|")]
+NEEDED = ["AKIA", "ASIA", *TITLES.split("|")]  # all others have a digit or a sign
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def luhn_sum(v: Column) -> Column:
+    """Luhn's sum of the digits of v; other characters don't count."""
+    digits = F.reverse(F.regexp_replace(v, r"\D", ""))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(digits)))
+    d = lambda i: F.coalesce(F.substring(digits, i, F.lit(1)).try_cast("int"), F.lit(0))
+    twice = lambda i: d(i) * 2 - F.when(d(i) > 4, 9).otherwise(0)
+    return F.aggregate(at, F.lit(0), lambda s, i: s + F.when(i % 2 == 0, twice(i)).otherwise(d(i)))
 
 
 def kind_of(v: Column) -> Column:
+    """The kind of a match of PATTERN; null for numbers that only look like one (a card's check digit or issuer, an address's bytes)."""
     out = None
     for kind, p in PATTERNS.items():
         hit = v.rlike(f"^(?:{p})$")
+        if kind == "card":
+            hit &= v.rlike("^[2-6]") & (luhn_sum(v) % 10 == 0)
+        if kind == "ip":
+            hit &= F.forall(F.split(v, r"\."), lambda x: x.try_cast("int") < 256)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.otherwise("other")
+    return out
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once, however often body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def name_words(v: Column) -> Column:
+    """The words behind a name's titles."""
+    return F.split(F.regexp_replace(v, rf"^(?:(?:{TITLES})\.? )+", ""), " ")
+
+
+def parts_of(v: Column, kind: Column) -> Column:
+    """[(kind, normal form)] of an entity: one, or one for each word of a name (the last is the surname)."""
+    digits = F.regexp_replace(v, r"\D", "")
+    national = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, COUNTRY, ""), r"\D", ""), "^0+(?=.)", "")
+    normal = (
+        F.when(kind == "email", F.lower(v)).when(kind == "phone", national).when(kind.isin("card", "ssn"), digits)
+        .when(kind == "iban", F.replace(v, F.lit(" "), F.lit(""))).when(kind == "secret", F.regexp_extract(v, SECRET, 2))
+        .otherwise(v)
+    )
+    # a title of either tells nothing: there the given name's ending does
+    given = lambda w: F.when(v.rlike(FEMALE) | v.rlike(EITHER) & w.rlike("[aаαά]$"), "given_f").otherwise("given_m")
+    of_name = let(name_words(v), lambda words: F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "surname").otherwise(given(w)).alias("kind"), F.lower(w).alias("normal"))))
+    return F.when(kind == "name", of_name).otherwise(F.array(F.struct(kind.alias("kind"), normal.alias("normal"))))
 
 
 def _draw(key: str, *what: Column) -> Column:
@@ -94,6 +151,10 @@ def _one_of(texts, n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in texts]), F.pmod(n, F.lit(len(texts))) + 1)
 
 
+def chars(v: Column) -> Column:
+    return F.filter(F.split(v, ""), lambda c: c != "")
+
+
 def alike(v: Column, digest: Column) -> Column:
     """v with each character replaced by one of its own class; all others stay. Words of hex digits stay hex."""
 
@@ -103,115 +164,160 @@ def alike(v: Column, digest: Column) -> Column:
             out = out.when(c.rlike(cls), F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1)))
         return out.otherwise(c)
 
-    def all_of(s):
-        chars = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s["v"]))), lambda i: F.struct(F.substring(s["v"], i, F.lit(1)).alias("c"), _byte(s["d"], i - 1).alias("n")))
-        return F.array_join(F.transform(chars, lambda x: put(x["c"], x["n"], s["h"])), "")
-
-    return let(F.struct(v.alias("v"), digest.alias("d"), v.rlike("^[0-9a-f]+$").alias("h")), all_of)
+    return let(F.struct(v.alias("v"), digest.alias("d"), v.rlike("^[0-9a-f]+$").alias("h")), lambda s: F.array_join(F.transform(chars(s["v"]), lambda c, i: put(c, _byte(s["d"], i), s["h"])), ""))
 
 
 def luhn(v: Column) -> Column:
-    """v with its last digit set so that Luhn's sum is right; other characters don't count."""
-    digits = F.reverse(F.regexp_replace(v, r"\D", ""))
-    at = F.sequence(F.lit(2), F.greatest(F.lit(2), F.length(digits)))
-    d = lambda i: F.substring(digits, i, F.lit(1)).cast("int")
-    twice = lambda i: d(i) * 2 - F.when(d(i) > 4, 9).otherwise(0)
-    total = F.aggregate(at, F.lit(0), lambda s, i: s + F.when(i % 2 == 0, twice(i)).otherwise(d(i)))
-    return F.concat(F.substring(v, F.lit(1), F.length(v) - 1), F.pmod(-total, F.lit(10)).cast("string"))
+    """v, digits, with the last set so that Luhn's sum is right."""
+    return let(F.concat(F.substring(v, F.lit(1), F.length(v) - 1), F.lit("0")), lambda x: F.concat(F.substring(x, F.lit(1), F.length(x) - 1), F.pmod(-luhn_sum(x), F.lit(10)).cast("string")))
+
+
+def invented(kind: str, script: Column, digest: Column) -> Column:
+    """A name made of parts, each picked by two bytes of the digest."""
+    two = lambda i: _byte(digest, F.lit(2 * i)) * 256 + _byte(digest, F.lit(2 * i + 1))
+    out = None
+    for s, of in NAMES.items():
+        name = F.concat(*[_one_of(of[p].split(), two(i)) for i, p in enumerate(("start", "middle", kind))])
+        out = F.when(script == s, name) if out is None else out.when(script == s, name)
+    return out
 
 
-def surrogate(v: Column, attempt: Column, key: str = KEY) -> Column:
-    """The surrogate of a value at its attempt (0, 1, ...)."""
-    return let(F.struct(v.alias("v"), attempt.alias("a"), kind_of(v).alias("k"), _draw(key, v, attempt.cast("string")).alias("d")), lambda s: _surrogate(s["v"], s["a"], s["k"], s["d"], key))
+def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a normal form, a normal form itself, at its attempt (0, 1, ...)."""
+    drawn = F.struct(normal.alias("v"), attempt.alias("a"), kind.alias("k"), _draw(key, kind, normal, attempt.cast("string")).alias("d"), _draw(key, F.lit("more"), kind, normal, attempt.cast("string")).alias("e"))
+    return let(drawn, lambda s: _surrogate(s["v"], s["a"], s["k"], s["d"], s["e"], key))
 
 
-def _surrogate(v: Column, attempt: Column, kind: Column, d: Column, key: str) -> Column:
+def _surrogate(v: Column, attempt: Column, kind: Column, d: Column, e: Column, key: str) -> Column:
     part = lambda p: F.regexp_extract(v, p, 1)
-    rest = lambda p: alike(part(p), d)
     host = F.substring(alike(F.lit("aaaaaa"), _draw(key, part("@(.*)$"))), 1, 6)
     top = F.when(v.rlike(r"\.(com|net|org)$"), part(r"\.(\w+)$")).otherwise("com")
     # a short local part has few surrogates: later attempts lengthen it
-    more = F.when(attempt > 2, F.substring(alike(F.lit("aaaaaaaa"), _draw(key, v, F.lit("more"), attempt.cast("string"))), F.lit(1), F.least(attempt, F.lit(8)).cast("int"))).otherwise("")
-    email = F.concat(rest("^([^@]*)@"), more, F.lit("@"), host, F.lit(".example."), top)
+    more = F.when(attempt > 2, F.substring(alike(F.lit("aaaaaaaa"), e), F.lit(1), F.least(attempt, F.lit(8)).cast("int"))).otherwise("")
+    email = F.concat(alike(part("^([^@]*)@"), d), more, F.lit("@"), host, F.lit(".example."), top)
     octet = lambda i, n, low: (F.pmod(_byte(d, F.lit(i)), F.lit(n)) + low).cast("string")
     ip = F.concat_ws(".", octet(0, 223, 1), octet(1, 256, 0), octet(2, 256, 0), octet(3, 254, 1))
-    card = luhn(F.concat(F.substring(v, 1, 1), rest("^.(.*)$")))
-    phone = F.concat(part(r"^(\+\d{1,3}|)"), F.when(v.rlike(r"^\+"), rest(r"^\+\d{1,3}(.*)$")).otherwise(rest("^(.*)$")))
-    secret = F.concat(part(r"^(\w+ *[=:] *[\"']?)"), rest(r"^\w+ *[=:] *[\"']?(.*?)[\"']?$"), part(r"([\"']?)$"))
-    female = v.rlike(FEMALE)
     script = F.when(v.rlike(r"\p{IsCyrillic}"), "cyrillic").when(v.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    given = last = None
-    for s in ("latin", "cyrillic", "greek"):
-        g = F.when(female, _one_of(NAMES[s, "f"], _byte(d, F.lit(0)))).otherwise(_one_of(NAMES[s, "m"], _byte(d, F.lit(0))))
-        l = _one_of(NAMES[s, "s"], _byte(d, F.lit(1)))
-        given = F.when(script == s, g) if given is None else given.when(script == s, g)
-        last = F.when(script == s, l) if last is None else last.when(script == s, l)
-    # few names exist: later attempts add letters to the surname
-    tail = F.when(attempt > 0, alike(F.when(script == "cyrillic", "ааа").when(script == "greek", "ααα").otherwise("aaa"), d)).otherwise("")
-    two = v.rlike(r"^\S+ \S+ \S")
-    name = F.concat(part(r"^(\S+ )"), F.when(two, F.concat(given, F.lit(" "), last)).otherwise(last), tail)
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "name", name)
-    out = out.when(kind == "access_key", F.concat(F.substring(v, 1, 4), rest("^.{4}(.*)$"))).when(kind == "ssn", F.concat(F.lit("9"), rest("^.(.*)$")))
-    return out.when(kind == "iban", F.concat(F.substring(v, 1, 2), rest("^..(.*)$"))).otherwise(alike(v, d))
-
-
-def resolve(values: DataFrame, key: str = KEY, rounds: int = 40) -> DataFrame:
-    """value, attempt for the distinct values whose first surrogate is not theirs alone."""
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", luhn(F.concat(F.substring(v, 1, 1), alike(part("^.(.*)$"), d))))
+    for k in ("surname", "given_f", "given_m"):
+        # attempts behind the first are two names in one
+        out = out.when(kind == k, F.concat(invented(k, script, d), F.when(attempt > 0, F.concat(F.lit("-"), invented(k, script, e))).otherwise("")))
+    street = F.concat(alike(part(r"^(\S+ )"), d), invented("surname", F.lit("latin"), e), part(r"( \p{L}+)$"))
+    strasse = F.concat(invented("surname", F.lit("latin"), e), part(r"(straße|strasse|weg|platz) "), F.lit(" "), alike(part(r" (\S+)$"), d))
+    out = out.when(kind == "street", street).when(kind == "strasse", strasse)
+    out = out.when(kind == "access_key", F.concat(F.substring(v, 1, 4), alike(part("^.{4}(.*)$"), d))).when(kind == "ssn", F.concat(F.lit("9"), alike(part("^.(.*)$"), d)))
+    return out.when(kind == "iban", F.concat(F.substring(v, 1, 2), alike(part("^..(.*)$"), d))).otherwise(alike(v, d))
+
+
+SECRET = r"^(\w+ *[=:] *[\"']?)(.*?)([\"']?)$"
+
+
+def refill(v: Column, s: Column, signs: str) -> Column:
+    """v with its characters of a class (as in [...]) replaced by those of s in turn."""
+    so_far = lambda i: F.length(F.regexp_replace(F.substring(v, F.lit(1), i + 1), f"[^{signs}]", ""))
+    return F.array_join(F.transform(chars(v), lambda c, i: F.when(c.rlike(f"[{signs}]"), F.substring(s, so_far(i), F.lit(1))).otherwise(c)), "")
+
+
+def formatted(v: Column, kind: Column, parts: Column, drawn: Column) -> Column:
+    """The surrogate of an entity in its own format. drawn: map of kind:normal to the surrogate of that normal form."""
+    of = lambda p: F.try_element_at(drawn, F.concat_ws(":", p["kind"], p["normal"]))
+    s = of(F.element_at(parts, 1))
+    # code, brackets and leading zeros of a phone number stay
+    lead = F.regexp_extract(v, "(" + COUNTRY + r"[ .(-]*0*|^[ .(-]*0*)", 1)
+    loud = lambda p, w: F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(of(p))).otherwise(of(p))
+    names = F.array_join(F.zip_with(parts, name_words(v), loud), " ")
+    out = F.when(kind == "phone", F.concat(lead, refill(F.substring(v, F.length(lead) + 1, F.length(v)), s, "0-9"))).when(kind.isin("card", "ssn"), refill(v, s, "0-9"))
+    out = out.when(kind == "iban", refill(v, s, "A-Z0-9")).when(kind == "secret", F.concat(F.regexp_extract(v, SECRET, 1), s, F.regexp_extract(v, SECRET, 3)))
+    return out.when(kind == "name", F.concat(F.regexp_extract(v, rf"^((?:(?:{TITLES})\.? )+)", 1), names)).when(kind == "word", loud(F.element_at(parts, 1), v)).when(kind.isNull(), v).otherwise(s)
+
+
+def resolve(values: DataFrame, key: str, rounds: int = 40) -> DataFrame:
+    """kind, normal, s: the surrogates of distinct (kind, normal), all distinct within a kind and none of them a normal form of it."""
     spark = values.sparkSession
-    moved = spark.createDataFrame([], "value string, attempt int")
     # drawing is work, not bytes: one partition a core rather than one for all small values
-    values = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "value")
-    drawn = materialize(values.select("value", F.lit(0).alias("attempt"), surrogate(F.col("value"), F.lit(0), key).alias("s")))
+    values = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "normal")
+    drawn = materialize(values.select("kind", "normal", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("normal"), F.lit(0), key).alias("s")))
     for _ in range(rounds):
         # of the values that share a surrogate, the one with the fewest attempts (then the smallest) keeps it
-        first = drawn.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "value")).alias("owner"))
-        shared = first.where("n > 1").select(F.col("s").alias("s1"), F.col("owner.value").alias("owner"))
-        taken = drawn.select(F.col("value").alias("v1"))
-        bad = drawn.join(shared, (F.col("s") == F.col("s1")) & (F.col("value") != F.col("owner")), "left_semi").union(drawn.join(taken, F.col("s") == F.col("v1"), "left_semi")).select("value", "attempt").distinct()
-        bad = materialize(bad)
+        first = drawn.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "normal")).alias("owner"))
+        shared = first.where("n > 1").select(F.col("kind").alias("k1"), F.col("s").alias("s1"), F.col("owner.normal").alias("owner"))
+        taken = drawn.select(F.col("kind").alias("k1"), F.col("normal").alias("v1"))
+        kind = F.col("kind") == F.col("k1")
+        # names are compared as they are looked up, in lower case
+        bad = drawn.join(shared, kind & (F.col("s") == F.col("s1")) & (F.col("normal") != F.col("owner")), "left_semi").union(drawn.join(taken, kind & ((F.col("s") == F.col("v1")) | (F.lower("s") == F.col("v1"))), "left_semi"))
+        bad = materialize(bad.select("kind", "normal", "attempt").distinct())
         if bad.isEmpty():
-            return moved
-        again = bad.select("value", (F.col("attempt") + 1).alias("attempt"))
-        again = again.withColumn("s", surrogate(F.col("value"), F.col("attempt"), key))
-        drawn = materialize(drawn.join(bad.select("value"), "value", "left_anti").unionByName(again))
-        moved = drawn.where("attempt > 0").select("value", "attempt")
+            return drawn.select("kind", "normal", "s")
+        again = bad.select("kind", "normal", (F.col("attempt") + 1).alias("attempt"))
+        again = again.withColumn("s", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key))
+        drawn = materialize(drawn.join(bad.select("kind", "normal"), ["kind", "normal"], "left_anti").unionByName(again))
     raise ValueError(f"surrogates still collide after {rounds} rounds")
 
 
 def found(text: Column) -> Column:
-    """All entities of a text in order; the long pattern runs only where one of the signs or words that it needs is there."""
+    """All matches in a text in order; the long pattern runs only where one of the signs or words that it needs is there."""
     may = text.rlike(SIGNS)
     for word in NEEDED:
         may = may | text.contains(word)
     return F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """docs with entities of `text` replaced, and n_entities_ behind its columns.
-
-    Null and empty texts stay as they are, with 0 entities. Rows without an
-    entity pass by without a shuffle; the others are written once with a row
-    number of their own, so repeated rows and null keys are no matter.
+def entities(matches: Column) -> Column:
+    """[(v, kind, parts)] of matches in order; kind is null for what isn't an entity."""
+    typed = F.transform(matches, lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind")))
+    return F.transform(typed, lambda e: F.struct(e["v"].alias("v"), e["kind"].alias("kind"), parts_of(e["v"], e["kind"]).alias("parts")))
+
+
+def with_bare_names(d: DataFrame) -> DataFrame:
+    """(text, ents) -> adds pattern, and to ents the words of a document's names where they stand without their title."""
+    named = F.filter("ents", lambda e: e["kind"] == "name")
+    mentioned = F.flatten(F.transform(named, lambda e: F.zip_with(name_words(e["v"]), e["parts"], lambda w, p: F.struct(w.alias("w"), p.alias("p")))))
+    d = d.withColumn("mentioned", mentioned)
+    # name words are letters, hyphens and apostrophes: no sign of theirs needs quoting
+    words = F.array_join(F.array_distinct(F.transform("mentioned", lambda x: x["w"])), "|")
+    bare = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{M}])(?=\p{Lu})(?:"), words, F.lit(r")(?![\p{L}\p{M}])"))
+    d = d.withColumn("pattern", F.when(F.size("mentioned") > 0, bare).otherwise(PATTERN))
+    # a word that is some name's surname counts as that
+    surnames = F.filter("mentioned", lambda x: x["p"]["kind"] == "surname")
+    part = lambda v: F.element_at(F.filter(F.concat(surnames, F.col("mentioned")), lambda x: x["w"] == v), 1)["p"]
+    known = lambda v: F.exists("mentioned", lambda x: x["w"] == v)
+    again = F.transform(entities(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))), lambda e: F.when(e["kind"].isNull() & known(e["v"]), F.struct(e["v"].alias("v"), F.lit("word").alias("kind"), F.array(part(e["v"])).alias("parts"))).otherwise(e))
+    return d.withColumn("ents", F.when(F.size("mentioned") > 0, again).otherwise(F.col("ents")))
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_entities") -> DataFrame:
+    """docs with entities of `text` replaced, and their number as `count` behind its columns.
+
+    Null and empty texts stay as they are, with 0 entities. Each text is
+    searched once; rows without an entity pass by without a shuffle. Rows have
+    a number of their own, so repeated rows and null keys are no matter, and
+    columns may have any names (but `count`, which raises). A text of any
+    length is searched without recursion.
     """
-    names = docs.columns
-    d = docs.withColumn("found_", found(F.col(text)))
-    none = F.col("found_").isNull() | (F.size("found_") == 0)
-    clean = d.where(none).select(*names, F.lit(0).alias("n_entities_"))
-    some = materialize(d.where(~none).withColumn("row_", F.monotonically_increasing_id()))
-    values = some.select(F.explode("found_").alias("value")).distinct()
-    moved = resolve(values, key)
-    hits = some.select("row_", F.explode(F.array_distinct("found_")).alias("value")).join(moved, "value")
-    per = hits.groupBy("row_").agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("attempts_"))
-    some = some.join(per, "row_", "left")
-    gaps = F.split(F.col(text), PATTERN, -1)
-    put = F.transform(F.col("found_"), lambda m: surrogate(m, F.coalesce(F.try_element_at(F.col("attempts_"), m), F.lit(0)), key))
+    if count in docs.columns:
+        raise ValueError(f"docs have a column {count}: name another for the number of entities")
+    d = boxed(docs, text=F.col(f"`{text}`")).withColumn("matches", found(F.col("text")))
+    d = d.select("row", F.when(F.size("matches") > 0, F.col("text")).alias("text"), F.when(F.size("matches") > 0, entities(F.col("matches"))).alias("ents"))
+    d = materialize(d.withColumn("some", F.coalesce(F.exists("ents", lambda e: e["kind"].isNotNull()), F.lit(False))))
+    clean = d.where("not some").select("row.*", F.lit(0).alias(count))
+    some = materialize(with_bare_names(d.where("some").withColumn("number", F.monotonically_increasing_id())).select("row", "text", "number", "pattern", "ents"))
+    parts = some.select("number", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("ents", lambda e: e["kind"].isNotNull()), lambda e: e["parts"])))).alias("part")).select("number", "part.kind", "part.normal")
+    drawn = resolve(parts.select("kind", "normal").distinct(), key)
+    per = parts.join(drawn, ["kind", "normal"]).groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "normal").alias("k"), "s"))).alias("drawn"))
+    some = some.join(per, "number")
+    gaps = F.split("text", F.col("pattern"), -1)
+    put = F.transform("ents", lambda e: formatted(e["v"], e["kind"], e["parts"], F.col("drawn")))
     joined = F.array_join(F.zip_with(gaps, F.concat(put, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
-    some = some.withColumn("n_entities_", F.size("found_")).withColumn(text, joined)
-    return clean.unionByName(some.select(*names, "n_entities_"))
+    columns = [joined.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return clean.unionByName(some.select(*columns, F.size(F.filter("ents", lambda e: e["kind"].isNotNull())).alias(count)))
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, DEMONSTRATION_KEY)
 
 
 def op10(spark, sf_dir):
+    """doc_id, text, n_entities of all documents, as pseudonymise() does them with the session's key."""
     from .common import documents
 
-    out = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("n_entities_").alias("n_entities"))
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), session_key(spark))

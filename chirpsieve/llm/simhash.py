@@ -12,8 +12,9 @@ makes n rows, not n^2.
 
 Texts of Jaccard 0.8 differ in about 10 bits, and up to 27. Nothing finds all
 pairs within 27 of 64 bits in less than all comparisons, so near_duplicates
-takes its candidates from shared rare shingles, which lose nothing; there the
-same chains and the Hamming check prune groups before whole sets are compared.
+takes its candidates from shared rare shingles, which lose nothing; there
+chains of 128-bit fingerprints and the Hamming check prune pairs before whole
+sets are compared.
 """
 
 from __future__ import annotations
@@ -26,15 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, boxed, materialize, text_keys
-from .groups import STRIP, as_bytes, by_task, components, in_blocks, linked, shingle_set, whole_sets
+from .common import LOWER_AZ, boxed, materialize, mix, text_keys
+from .groups import STRIP, as_bytes, by_task, components, forest, in_blocks, linked, shingle_set, whole_sets
 
 SEGMENTS, BITS = 8, 8
 PIECE = 50_000  # words hashed at a time
 SMALL_RUN = 48  # buckets up to this size are compared pair by pair
 CELLS = 18  # bits of a shingle's cell
 SLICES = 16  # of the table of cells, while it is added up
-FEW = 64  # sets below this size are compared without a look at their fingerprints
+FEW = 16  # sets below this size are compared without a look at their fingerprints
 _BIT = np.arange(64, dtype=np.uint64)
 
 
@@ -130,7 +131,7 @@ def close(a: np.ndarray, b: np.ndarray, most: int, start: np.ndarray | int) -> n
 _MASKS = {l: np.array([sum(255 << (BITS * ((s + j) % SEGMENTS)) for j in range(l)) for s in range(SEGMENTS)], dtype=np.uint64) for l in (5, 7)}
 
 
-def forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """A minimum spanning forest (positions) of the links within one bucket of distinct fingerprints.
 
     Up to 4,096 by Prim's method; beyond, the bucket is cut by further equal
@@ -149,7 +150,7 @@ def forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
                 cut = np.flatnonzero(np.diff((fps & mask)[order])) + 1
                 for part in np.split(order, cut):
                     if len(part) > 1:
-                        u, v = forest(fps[part], most)
+                        u, v = bucket_forest(fps[part], most)
                         us.append(part[u])
                         vs.append(part[v])
             return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
@@ -193,7 +194,7 @@ def links(nodes: DataFrame, most: int) -> DataFrame:
             us.append(node[at])
             vs.append(node[at + d])
         for b, e in zip(begin[end - begin > SMALL_RUN], end[end - begin > SMALL_RUN]):
-            u, v = forest(fp[b:e], most)
+            u, v = bucket_forest(fp[b:e], most)
             us.append(node[b:e][u])
             vs.append(node[b:e][v])
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
@@ -286,9 +287,9 @@ def commonness(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def survey(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """doc_id, k1, k2 (keys of the text), c1, c2 (key of its shingle set), n (its size), fp, prefix (its rarest shingles) of each row.
+    """doc_id, k1, k2 (keys of the text), c1, c2 (key of its shingle set), n (its size), fp, fp2, prefix (its rarest shingles) of each row.
 
-    fp is the fingerprint of the distinct shingles. Sets of Jaccard `similarity`
+    fp and fp2 are the 128-bit fingerprint of the distinct shingles. Sets of Jaccard `similarity`
     or more have a shingle in common among the first n - similarity n + 1 of
     each, in whatever order all sets share.
     """
@@ -304,44 +305,50 @@ def survey(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray)
                 first = size - int(np.ceil(similarity * size - 1e-9)) + 1
                 c.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64))
                 n.append(size)
-                fp.append(majority(bit_counts(h), size))
+                fp.append(wide_fingerprint(h))
                 # sets without shingles share one that none has
                 out.append(h[np.argsort(cells[h >> np.uint64(64 - CELLS)], kind="stable")[:first]] if size else np.zeros(1, np.uint64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)))
-            c = np.array(c, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["k1"], batch["k2"], pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), prefix], ["doc_id", "k1", "k2", "c1", "c2", "n", "fp", "prefix"])
+            c, fp = np.array(c, dtype=np.int64).reshape(-1, 2), np.array(fp, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["k1"], batch["k2"], pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(n, pa.int32()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), prefix], ["doc_id", "k1", "k2", "c1", "c2", "n", "fp", "fp2", "prefix"])
 
-    return docs.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, c1 long, c2 long, n int, fp long, prefix array<long>")
+    return docs.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, c1 long, c2 long, n int, fp long, fp2 long, prefix array<long>")
 
 
-def reach(similarity: float) -> int:
+def reach(similarity: float, bits: int = 128) -> int:
     """Bits in which fingerprints of sets of Jaccard `similarity` may differ: mean and six standard deviations."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(64 * p + 6 * (64 * p * (1 - p)) ** 0.5))
+    return int(np.ceil(bits * p + 6 * (bits * p * (1 - p)) ** 0.5))
 
 
-def partnered(n: np.ndarray, fp: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of the sets (size, fingerprint) have another that may be alike: sizes, then chains, then all 64 bits.
+def wide_fingerprint(h: np.ndarray) -> list[int]:
+    """128 bits as two signed longs: fingerprints of distinct hashes and of the same hashes mixed."""
+    return [majority(bit_counts(h), len(h)), majority(bit_counts(mix(h)), len(h))]
 
-    Fingerprints of small sets vary too much: those pass on their size alone.
+
+def partners(n: np.ndarray, fp: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of sets (sizes, 128-bit fingerprints as rows of two) may be alike: sizes, then chains, then all bits.
+
+    Fingerprints of very small sets vary too much: those pass on their sizes.
     """
     most, m = reach(similarity), len(n)
-    out = np.zeros(m, dtype=bool)
+    rings = 2 * SEGMENTS
+    out = np.zeros((m, m), dtype=bool)
     for at in range(0, m, STRIP):
         a = slice(at, at + STRIP)
         low, high = np.minimum(n[a, None], n[None, :]), np.maximum(n[a, None], n[None, :])
         ok = low >= similarity * high - 1e-9
-        x = fp[a, None] ^ fp[None, :]
-        segments = np.bitwise_count(x.view(np.uint8).reshape(*x.shape, SEGMENTS))
+        segments = np.bitwise_count((fp[a, None] ^ fp[None, :]).view(np.uint8).reshape(*ok.shape, rings))
         chain, spent = np.ones(segments.shape, dtype=bool), np.zeros(segments.shape, dtype=np.uint8)
         for l in range(3):
             spent = spent + np.roll(segments, -l, axis=2)
-            chain &= spent <= most * (l + 1) / SEGMENTS
-        ok &= (low < FEW) | chain.any(axis=2)
-        ok &= (low < FEW) | (np.bitwise_count(x) <= most)
-        ok[np.arange(len(x)), np.arange(at, at + len(x))] = False
-        out[a] |= ok.any(axis=1)
+            chain &= spent <= most * (l + 1) / rings
+        pairs = np.nonzero(ok & (low >= FEW))
+        ok[pairs] = chain.any(axis=2)[pairs]
+        ok &= (low < FEW) | (segments.sum(axis=2, dtype=np.int64) <= most)
+        out[a] = ok
+    np.fill_diagonal(out, False)
     return out
 
 
@@ -350,29 +357,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     Groups are the components of all pairs of distinct sets that are alike.
     Candidates are sets that share a shingle of their prefixes (exact: no pair
-    is missed). Within each candidate group, sets without a partner by size and
-    by the fingerprints' chains and Hamming distance go; the others are compared
-    in whole, in blocks. A group keeps the row with the smallest (doc_id, k1,
+    is missed). Within each candidate group, pairs go that can't be alike by size
+    or by their fingerprints' chains and Hamming distance; sets that hang
+    together by the others are compared in whole, in blocks. A group keeps the row with the smallest (doc_id, k1,
     k2), nulls last. Null and empty texts are one group.
     """
     w = materialize(survey(docs, shingle, similarity, commonness(docs, shingle)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
-    sets = w.groupBy("c1", "c2").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets.select("first", "n", "fp", "prefix")).withColumn("node", F.monotonically_increasing_id())
+    sets = w.groupBy("c1", "c2").agg(first, *[F.first(c).alias(c) for c in ("n", "fp", "fp2", "prefix")])
+    sets = materialize(sets.drop("c1", "c2")).withColumn("node", F.monotonically_increasing_id())
     # the numbers of rows are those of the written files: written once more, without the prefixes, they stay
-    nodes = materialize(sets.select("node", "first", "n", "fp"))
+    nodes = materialize(sets.drop("prefix"))
     rows = sets.select("node", F.explode("prefix").alias("key"))
     again = materialize(rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub"))
     groups = materialize(rows.join(again, "key").select("hub", "node").distinct())
 
-    def prune(task, node, n, fp):
-        left = np.array(node, dtype=np.int64)[partnered(np.array(n, dtype=np.float64), np.array(fp, dtype=np.int64).view(np.uint64), similarity)]
-        return np.full(len(left), task, dtype=np.int64), left
-
-    blocks = in_blocks(groups.join(nodes.select("node", "n", "fp"), "node"))
-    blocks = materialize(by_task(blocks, prune, ["node", "n", "fp"], "task long, node long"))
-
-    whole = whole_sets(docs, nodes.join(blocks.select("node").distinct(), "node"), shingle)
+    def prune(task, node, n, fp, fp2):
+        node = np.array(node, dtype=np.int64)
+        first, other = forest(partners(np.array(n, dtype=np.float64), np.stack([fp, fp2], axis=1).astype(np.int64), similarity))
+        tasks, nodes_ = [], []
+        for f in np.unique(first):
+            part = np.sort(node[[f, *other[first == f]]])
+            # the same sets meet at several hubs: equal parts have one number
+            tasks.append(np.full(len(part), xxhash.xxh64_intdigest(part.tobytes()), dtype=np.uint64).view(np.int64))
+            nodes_.append(part)
+        return [np.concatenate([*x, np.zeros(0, np.int64)]) for x in (tasks, nodes_)]
+
+    blocks = in_blocks(groups.join(nodes.select("node", "n", "fp", "fp2"), "node"))
+    blocks = materialize(by_task(blocks, prune, ["node", "n", "fp", "fp2"], "task long, node long").distinct())
+    repeated = w.groupBy("doc_id", "k1", "k2").count().where("count > 1").limit(1).count() > 0
+    whole = whole_sets(docs, nodes.join(blocks.select("node").distinct(), "node"), shingle, repeated)
     label = components(linked(blocks.join(whole, "node"), similarity))
     per = nodes.select("node", "first").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     best = per.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("best"))

@@ -24,7 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates for personal data and secrets (op 10); n_chars follows the new text."""
-    out = pii.pseudonymise(docs.select(*COLUMNS))
+    out = pii.pseudonymise(docs.select(*COLUMNS), pii.session_key(spark))
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
