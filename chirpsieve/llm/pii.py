@@ -66,15 +66,10 @@ NAMES = {
         "given_m": "ος ης ίας ων ίνος άνος",
     },
 }
-# Alphabets that a character's surrogate comes from.
-ALPHABETS = [
-    ("[0-9]", "0123456789"),
-    ("[a-z]", "abcdefghijklmnopqrstuvwxyz"),
-    ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("[à-öø-ÿ]", "àáâäçèéêëìíîïñòóôöùúûü"),
-    ("[α-ωά-ώ]", "αβγδεζηθικλμνξοπρστυφχψω"),
-    ("[а-я]", "абвгдежзиклмнопрстуфхцчшэюя"),
-]
+# Alphabets that a character's surrogate comes from; of hexadecimal words, the first are other ones.
+ALPHABETS = "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ αβγδεζηθικλμνξοπρστυφχψωάέήίόύώς абвгдежзиклмнопрстуфхцчшщъыьэюяйё"
+HEXADECIMAL = "0123456789 abcdef"
+
 # Spark's setting with the secret key of registered queries; without it they draw from a key that anybody can read here.
 KEY_SETTING, DEMONSTRATION_KEY = "spark.chirpsieve.surrogate.key", "surrogate-key-1"
 
@@ -147,8 +142,8 @@ def _byte(digest: Column, i: Column) -> Column:
     return F.conv(F.substring(digest, F.pmod(i, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _one_of(texts, n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(t) for t in texts]), F.pmod(n, F.lit(len(texts))) + 1)
+def _one_of(texts: str, n: Column) -> Column:
+    return F.element_at(F.split(F.lit(texts), " "), F.pmod(n, F.lit(len(texts.split()))) + 1)
 
 
 def chars(v: Column) -> Column:
@@ -156,15 +151,14 @@ def chars(v: Column) -> Column:
 
 
 def alike(v: Column, digest: Column) -> Column:
-    """v with each character replaced by one of its own class; all others stay. Words of hex digits stay hex."""
+    """v with each character replaced by one of its own alphabet; all others stay. Words of hex digits stay hex."""
 
-    def put(c, n, hexes):
-        out = F.when(hexes & c.between("a", "f"), F.substring(F.lit("abcdef"), F.pmod(n, F.lit(6)) + 1, F.lit(1)))
-        for cls, letters in ALPHABETS:
-            out = out.when(c.rlike(cls), F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1)))
-        return out.otherwise(c)
+    def put(c, n, alphabets):
+        own = F.filter(alphabets, lambda a: F.contains(a, c))
+        return F.coalesce(F.try_element_at(F.transform(own, lambda a: F.substring(a, F.pmod(n, F.length(a)) + 1, F.lit(1))), F.lit(1)), c)
 
-    return let(F.struct(v.alias("v"), digest.alias("d"), v.rlike("^[0-9a-f]+$").alias("h")), lambda s: F.array_join(F.transform(chars(s["v"]), lambda c, i: put(c, _byte(s["d"], i), s["h"])), ""))
+    alphabets = F.split(F.when(v.rlike("^[0-9a-f]+$"), HEXADECIMAL).otherwise(ALPHABETS), " ")
+    return let(F.struct(v.alias("v"), digest.alias("d"), alphabets.alias("a")), lambda s: F.array_join(F.transform(chars(s["v"]), lambda c, i: put(c, _byte(s["d"], i), s["a"])), ""))
 
 
 def luhn(v: Column) -> Column:
@@ -177,7 +171,7 @@ def invented(kind: str, script: Column, digest: Column) -> Column:
     two = lambda i: _byte(digest, F.lit(2 * i)) * 256 + _byte(digest, F.lit(2 * i + 1))
     out = None
     for s, of in NAMES.items():
-        name = F.concat(*[_one_of(of[p].split(), two(i)) for i, p in enumerate(("start", "middle", kind))])
+        name = F.concat(*[_one_of(of[p], two(i)) for i, p in enumerate(("start", "middle", kind))])
         out = F.when(script == s, name) if out is None else out.when(script == s, name)
     return out
 
