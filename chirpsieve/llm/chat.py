@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-# Schemas: tool -> argument -> (type of a JSON value, required).
+# Schemas: tool -> argument -> (type of a JSON value, required) or (type, required, rules). Rules: "enum" (allowed
+# values), "least" and "most" (bounds of a number), "fields" (a nested schema). "*": False among the arguments
+# forbids those that the schema doesn't name.
 SCHEMAS = {"reply": {"text": ("STRING", True), "turn": ("BIGINT", True)}}
 
 
@@ -22,11 +24,38 @@ def problem(name: Column, arguments: Column, schemas: dict) -> Column:
     out = F.when(v.isNull(), F.lit("not json")).when(~F.schema_of_variant(v).startswith("OBJECT"), F.lit("not an object"))
     out = out.when(name.isNull() | ~name.isin(*schemas), F.lit("unknown tool"))
     for tool, fields in sorted(schemas.items()):
-        for field, (kind, required) in sorted(fields.items()):
-            got = F.schema_of_variant(F.try_variant_get(v, f"$['{field}']", "variant"))
-            if required:
-                out = out.when((name == tool) & (got.isNull() | (got == "VOID")), F.lit(f"missing {field}"))
-            out = out.when((name == tool) & (got != "VOID") & (got != kind), F.lit(f"wrong type of {field}"))
+        for wrong, what in _violations(v, fields, "$", ""):
+            out = out.when((name == tool) & wrong, F.lit(what))
+    return out
+
+
+def _violations(v: Column, fields: dict, path: str, label: str) -> list[tuple[Column, str]]:
+    """(condition, message) for each rule of a schema at a path of the arguments."""
+    out = []
+    for field, spec in sorted(fields.items()):
+        if field == "*":
+            continue
+        kind, required, rules = (*spec, {})[:3]
+        at, shown = f"{path}['{field}']", f"{label}{field}"
+        got = F.schema_of_variant(F.try_variant_get(v, at, "variant"))
+        there = got.isNotNull() & (got != "VOID")
+        if required:
+            out.append((~F.coalesce(there, F.lit(False)), f"missing {shown}"))
+        # whole numbers are numbers too, and objects are told by their beginning
+        right = got.startswith(kind) if kind in ("OBJECT", "ARRAY") else got.rlike("^(?:BIGINT|DECIMAL|DOUBLE)") if kind == "DOUBLE" else got == kind
+        out.append((there & ~right, f"wrong type of {shown}"))
+        if "enum" in rules:
+            out.append((there & ~F.try_variant_get(v, at, "string").isin(*map(str, rules["enum"])), f"value of {shown} not allowed"))
+        number = F.try_variant_get(v, at, "double")
+        for rule, beyond in (("least", lambda bound, number=number: number < bound), ("most", lambda bound, number=number: number > bound)):
+            if rule in rules:
+                out.append((there & beyond(rules[rule]), f"{shown} out of bounds"))
+        if "fields" in rules:
+            out += [(there & wrong, what) for wrong, what in _violations(v, rules["fields"], at, f"{shown}.")]
+    if fields.get("*") is False:
+        names = F.map_keys(F.try_variant_get(v, path, "map<string,variant>"))
+        known = [f for f in fields if f != "*"]
+        out.append((F.exists(names, lambda n: ~n.isin(*known) if known else F.lit(True)), f"unknown argument in {label.rstrip('.') or 'arguments'}"))
     return out
 
 
@@ -115,10 +144,6 @@ def exchanges(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
-def op5(spark, sf_dir):
-    return link(*exchanges(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
-
-
 def messages(turns: DataFrame) -> DataFrame:
     """Rows as link() makes them for the turns that are neither call nor result: status `message`, the turn as JSON."""
     json = F.concat(F.lit('{"role":'), _text(F.col("role")), F.lit(',"text":'), _text(F.col("text")), F.lit(',"turn":'), F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.lit("}"))
@@ -127,12 +152,13 @@ def messages(turns: DataFrame) -> DataFrame:
     return other.select("conv_id", ident.alias("call_id"), F.lit(None).cast("int").alias("rank"), F.lit("message").alias("status"), json.alias("json"))
 
 
-def op5_turns(spark, sf_dir):
+def op5(spark, sf_dir):
+    """conv_id, call_id, rank, status, json for every turn of `conversations`: exchanges() linked, and messages()."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return link(*exchanges(turns)).union(messages(turns))
 
 
-OP5_SQL = """
+LINKED_SQL = """
 with recursive c as (select conv_id, turn, text, conv_id || ':' || turn as call_id from conversations where role = 'user'),
 r as (select conv_id, conv_id || ':' || (turn - 1) as call_id, min(text) as content from conversations where role = 'assistant' group by all),
 o(conv_id, turn, call_id, rank) as (
@@ -148,7 +174,7 @@ from c full outer join r on c.conv_id = r.conv_id and c.call_id = r.call_id
 left join o on o.conv_id = c.conv_id and o.call_id = c.call_id
 """
 
-OP5_TURNS_SQL = f"""select * from ({OP5_SQL}) union all
+OP5_SQL = f"""select * from ({LINKED_SQL}) union all
 select conv_id, conv_id || ':' || turn as call_id, cast(null as integer) as rank, 'message' as status,
   '{{"role":' || case when role is null then 'null' else cast(to_json(role) as varchar) end || ',"text":' || case when text is null then 'null' else cast(to_json(text) as varchar) end || ',"turn":' || coalesce(cast(turn as varchar), 'null') || '}}' as json
 from conversations where role is null or role not in ('user', 'assistant')"""

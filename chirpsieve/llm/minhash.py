@@ -202,3 +202,10 @@ def op9(spark, sf_dir):
     from .common import documents
 
     return edited_fingerprints(documents(spark, sf_dir))
+
+
+def all_near_duplicates(spark, sf_dir):
+    """near_duplicates() of all documents: the rest of the method, bands joined and Jaccard verified."""
+    from .common import documents
+
+    return near_duplicates(documents(spark, sf_dir))

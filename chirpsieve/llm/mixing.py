@@ -18,10 +18,6 @@ from .common import WORD, materialize
 BLOCK = 64
 SHARD_WORDS = 65_536
 MAX_SHARDS = 16_384
-# Primes above any number of blocks in a shard.
-PRIMES = [2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497]
-
-
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -52,6 +48,7 @@ def targets(totals: DataFrame, weights: list[int], share: tuple[int, int], cap:
 def apportion(units: DataFrame, by: list[str], seats: str, weight: str, most: str, order: list[str]) -> DataFrame:
     """Adds q: `seats` seats within each group `by`, by highest quotients weight / (2 s + 1), at most `most` a unit.
 
+    No unit's share of the seats may be above its `most` (targets() sees to that).
     Divisors (sum + n/2) and (sum - n/2) bracket the last quotient, so only
     about two quotients a unit are ranked.
     """
@@ -73,8 +70,16 @@ def apportion(units: DataFrame, by: list[str], seats: str, weight: str, most: st
     return u.join(won, cond, "left").withColumn("q", F.col("lo_") + F.coalesce("won_", F.lit(0))).drop("n_", "sum_", "lo_", "hi_", "free_", "won_", *[f"{c}_k" for c in order])
 
 
+def multiplier(seed: int, n: Column, *key: str) -> Column:
+    """A seeded number below n that has no factor in common with it: the first such of 64 draws (1 if none is)."""
+    draws = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.pmod(F.xxhash64(F.lit(seed), i, *key), n))
+    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.when(s["y"] != 0, s["x"] % s["y"]).otherwise(F.lit(0).cast("long")).alias("y")))
+    gcd = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(96)), F.struct(x.alias("x"), n.cast("long").alias("y")), step)["x"]
+    return F.coalesce(F.try_element_at(F.filter(draws, lambda x: gcd(x) == 1), F.lit(1)), F.lit(1).cast("long"))
+
+
 def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), cap: int = 2, block: int = BLOCK, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, seed: int = 42, keep: list[str] = ()) -> DataFrame:
-    """doc_id, source, k1, size, source_size, target, taken, first_word, shard and the block numbers of each row.
+    """doc_id, source, k1, size, source_size, target, taken, shard and runs (words lo..hi - 1 of a block, and how often they are taken) of each row.
 
     share = (3, 2): 150 % of all words are asked for. Columns other than
     doc_id, text and source are ignored. Null text counts no words; null source
@@ -101,8 +106,7 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: tuple[int, int]
     src = apportion(src, ["one"], "seats", "wt", "most", ["source"]).select(F.col("source").alias("source_s"), F.col("q").alias("source_q"))
     units = units.join(src, F.col("source").eqNullSafe(F.col("source_s"))).drop("source_s").withColumn("most", F.col("blocks") * cap)
     units = apportion(units, ["source"], "source_q", "weight", "most", ["source", "shard"])
-    pick = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.lit(len(PRIMES))) + 1
-    units = units.select(F.col("source").alias("source_u"), F.col("shard").alias("shard_u"), "words", "blocks", "q", F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), pick.cast("int")).alias("a"), F.pmod(F.xxhash64(F.lit(seed + 1), "source", "shard"), F.col("blocks")).alias("c"))
+    units = units.select(F.col("source").alias("source_u"), F.col("shard").alias("shard_u"), "words", "blocks", "q", multiplier(seed, F.col("blocks"), "source", "shard").alias("a"), F.pmod(F.xxhash64(F.lit(seed + 1), "source", "shard"), F.col("blocks")).alias("c"))
     d = d.join(units, F.col("source").eqNullSafe(F.col("source_u")) & (F.col("shard") == F.col("shard_u")), "left").drop("source_u", "shard_u")
     # block k of a shard holds words floor(k W / B) .. floor((k + 1) W / B) - 1
     d = d.withColumn("runs", F.expr("""
@@ -116,6 +120,7 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: tuple[int, int]
 
 
 def op1(spark, sf_dir):
+    """doc_id, source, size, source_size, target, taken of all documents, as mix() defines them."""
     from .common import documents
 
     return mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -125,7 +130,9 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: a row for each pass over a document, with the words of the blocks taken in that pass.
 
     A whole document keeps its text as it is; of a cut one, words keep the white
-    space behind them. Rows equal in doc_id, source and text take the same blocks.
+    space behind them. Rows equal in doc_id, source and text take the same blocks
+    (so only of tables without repeated rows the words are those of mix()). Null
+    and empty texts have no words and go; no rows give no rows.
     """
     names = docs.columns
     m = mix(docs, **how).where("taken > 0")

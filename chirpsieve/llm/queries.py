@@ -12,14 +12,15 @@ def queries() -> dict:
         "op3_simhash": simhash.op3,
         "op4_quality": quality.op4,
         "op5_chat": chat.op5,
-        "op5_chat_turns": chat.op5_turns,
         "op6_sharding": sharding.op6,
         "op7_substrings": substrings.op7,
         "op8_packing": packing.op8,
         "op9_minhash": minhash.op9,
         "op10_pii": pii.op10,
+        "minhash_near_duplicates": minhash.all_near_duplicates,
+        "media_identified": media.identified,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": chat.OP5_SQL, "op5_chat_turns": chat.OP5_TURNS_SQL, "op6_sharding": sharding.op6_sql(), "op7_substrings": substrings.OP7_SQL}
+    return {"op5_chat": chat.OP5_SQL, "op6_sharding": sharding.op6_sql(), "op7_substrings": substrings.OP7_SQL}

@@ -50,8 +50,12 @@ def place(df: DataFrame, key: str, shards: list[str] = SHARDS, slots: int = SLOT
     """Adds `name` to df; the table is a literal of `slots` entries and travels with the plan.
 
     No shuffle. Null keys go to the slot of the empty text, equal keys to one
-    shard (as placement by key must); any other column is untouched.
+    shard (as placement by key must); no column is overwritten: a df that has
+    `name` already raises, whatever the case of its letters. An empty df stays
+    empty.
     """
+    if name.lower() in map(str.lower, df.columns):
+        raise ValueError(f"df has a column {name}: choose another name for the shard")
     table = lookup_table(shards, slots, turns)
     names = F.array(*[F.lit(s) for s in shards])
     row = F.split(F.lit(",".join(map(str, table))), ",")
@@ -59,12 +63,15 @@ def place(df: DataFrame, key: str, shards: list[str] = SHARDS, slots: int = SLOT
 
 
 def write(df: DataFrame, key: str, path: str, files: int = 1, **how) -> None:
-    """Writes df below path, a folder for each shard. A shard's rows are salted over `files` files."""
-    placed = place(df, key, name="shard", **how)
-    placed.repartition(files * len(how.get("shards", SHARDS)), "shard", F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.partitionBy("shard").parquet(path)
+    """Writes df below path, a folder for each shard (`name`, "shard" if not given). A shard's rows, equal ones too, are salted over `files` files; null keys as in place()."""
+    name = how.setdefault("name", "shard")
+    placed = place(df, key, **how)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(files))
+    placed.repartition(files * len(how.get("shards", SHARDS)), name, salt).write.partitionBy(name).parquet(path)
 
 
 def op6(spark, sf_dir):
+    """doc_id, slot, shard, shard_if_last_lost of all documents; null ids as in place()."""
     from .common import documents
 
     d = documents(spark, sf_dir).select("doc_id", slot_of(F.col("doc_id")).alias("slot"))

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import materialize, mix, rolling, text_keys, word_hashes, words
 
 WINDOW = 35
-# Odd multipliers of the two polynomial hashes.
-BASE_GRAM, BASE_WINDOW = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+# Odd multipliers of the polynomial hashes.
+BASE_GRAM, BASE_WINDOW, BASE_CHECK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
 def gram_size(window: int) -> int:
@@ -46,8 +46,9 @@ def anchors(ws: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return x, g, at
 
 
-def windows(x: np.ndarray, window: int) -> np.ndarray:
-    return mix(rolling(x, window, BASE_WINDOW))
+def windows(x: np.ndarray, y: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each window, of word hashes with two seeds: 128 bits in all."""
+    return mix(rolling(x, window, BASE_WINDOW)), mix(rolling(y, window, BASE_CHECK))
 
 
 def _bytes(scalar) -> bytes:
@@ -82,7 +83,7 @@ def survey(docs: DataFrame, window: int) -> DataFrame:
 
 
 def window_rows(texts: DataFrame, window: int) -> DataFrame:
-    """k1, k2, h, s: the windows (hash and start) of texts whose anchor is among the row's repeated ones."""
+    """k1, k2, h, h2, s: the windows (hashes and start) of texts whose anchor is among the row's repeated ones."""
 
     def run(batches):
         for batch in batches:
@@ -90,13 +91,13 @@ def window_rows(texts: DataFrame, window: int) -> DataFrame:
                 ws = words(_bytes(batch["text"][i]))
                 x, g, at = anchors(ws, window)
                 hit = np.flatnonzero(np.isin(g[at], np.asarray(batch["repeated"][i].values).view(np.uint64)))
-                h = windows(x, window)[hit]
+                h, h2 = (v[hit] for v in windows(x, word_hashes(ws, 43), window))
                 for p in range(0, len(hit), 65536):
                     m = len(hit[p : p + 65536])
                     key = [pa.array(np.full(m, batch[c][i].as_py(), np.int64)) for c in ("k1", "k2")]
-                    yield pa.RecordBatch.from_arrays([*key, pa.array(h[p : p + m].view(np.int64)), pa.array(hit[p : p + m].astype(np.int32))], ["k1", "k2", "h", "s"])
+                    yield pa.RecordBatch.from_arrays([*key, pa.array(h[p : p + m].view(np.int64)), pa.array(h2[p : p + m].view(np.int64)), pa.array(hit[p : p + m].astype(np.int32))], ["k1", "k2", "h", "h2", "s"])
 
-    return texts.select("k1", "k2", "text", "repeated").mapInArrow(run, "k1 long, k2 long, h long, s int")
+    return texts.select("k1", "k2", "text", "repeated").mapInArrow(run, "k1 long, k2 long, h long, h2 long, s int")
 
 
 def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -129,8 +130,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     single = docs.select("doc_id", *text_keys(F.col("text")), "text").join(c, same, "left").where(F.col("m").isNull() | F.col("doc_id").eqNullSafe(F.col("one"))).select("k1", "k2", "text")
     texts = materialize(single.join(cand, ["k1", "k2"]).select("k1", "k2", "text", "repeated").dropDuplicates(["k1", "k2"]))
     rows = materialize(window_rows(texts, window))
-    twice = materialize(rows.groupBy("h").count().where("count > 1").select("h"))
-    hits = rows.join(twice, "h").groupBy("k1", "k2").agg(F.collect_list("s").alias("starts"))
+    twice = materialize(rows.groupBy("h", "h2").count().where("count > 1").select("h", "h2"))
+    hits = rows.join(twice, ["h", "h2"]).groupBy("k1", "k2").agg(F.collect_list("s").alias("starts"))
 
     def cut(batches):
         for batch in batches:

@@ -115,6 +115,58 @@ def test_media(docs, empty, spark):
     assert media.store(empty).count() == 0
 
 
+def test_each_format_is_confirmed_to_its_end(spark):
+    from chirpsieve.llm import media
+
+    a = media.automaton()
+    body = b"RIFF GIF89a some \xff\xd8\xff text BM" * 9
+    for kind in media.VALID:
+        blob = media.built(kind, body)
+        other = media.wav(b"next")
+        assert media.sniff(b"x" + blob + other, a) == [(kind, 1, len(blob)), ("wav", 1 + len(blob), len(other))], kind
+        for cut in (1, 4, len(blob) // 2):
+            assert (kind, 1, len(blob)) not in media.sniff(b"x" + blob[:-cut], a)
+    two = media.built("flac", b"")
+    assert media.sniff(two[:-1] + bytes([two[-1] ^ 1]) + two, a) == [("flac", len(two), len(two))]
+    got = media.identified(spark, "/root/testdata/sf0.001").collect()
+    kinds = list(media.VALID)
+    assert len(got) == 200 and all(r.media_type == kinds[r.doc_id % 6] and r.corrected == (r.media_type != "wav") and r.parts == 1 for r in got)
+
+
+def test_apportion_is_highest_quotients(spark):
+    from chirpsieve.llm.mixing import apportion
+
+    r = np.random.default_rng(4)
+    data, want = [], {}
+    for g in range(60):
+        n = int(r.integers(1, 9))
+        w, seats = r.integers(1, 1000, n) / 7, int(r.integers(0, 80))
+        # as in a mix, no share is above its unit's limit; rounding up may be
+        most = np.floor(seats * w / w.sum()).astype(int) + r.integers(0, 3, n)
+        most[most < seats * w / w.sum() - 1e-9] += 1
+        data += [(g, i, seats, float(w[i]), int(most[i])) for i in range(n)]
+        q = [0] * n
+        for _ in range(seats):
+            i = max((i for i in range(n) if q[i] < most[i]), key=lambda i: (w[i] / (2 * q[i] + 1), -i))
+            q[i] += 1
+        want |= {(g, i): q[i] for i in range(n)}
+    df = spark.createDataFrame(data, "g int, i int, seats long, w double, most long")
+    free = {(x.g, x.i): x.q for x in apportion(df, ["g"], "seats", "w", "most", ["g", "i"]).collect()}
+    assert free == want
+
+
+def test_multiplier_has_no_common_factor(spark):
+    from math import gcd
+
+    from pyspark.sql import functions as F
+
+    from chirpsieve.llm.mixing import multiplier
+
+    rows_ = spark.range(1, 3000).select(F.col("id").alias("n"), multiplier(7, F.col("id"), "id").alias("a")).collect()
+    assert all(gcd(r.a, r.n) == 1 for r in rows_)
+    assert len({r.a for r in spark.range(400).select(multiplier(7, F.lit(1024), "id").alias("a")).collect()}) > 100
+
+
 def test_simhash(docs, empty):
     from chirpsieve.llm.simhash import similar
 
@@ -437,6 +489,8 @@ def test_place_and_write(docs, empty, tmp_path):
 
     assert place(docs, "doc_id").where("shard is null").count() == 0
     assert place(empty, "doc_id").count() == 0
+    with pytest.raises(ValueError):
+        place(docs, "doc_id", name="SIZE")
     write(docs, "doc_id", str(tmp_path / "out"), 2)
     assert docs.sparkSession.read.parquet(str(tmp_path / "out")).count() == len(rows())
 
@@ -464,6 +518,21 @@ def test_chat(spark):
     assert link(calls.limit(0), results.limit(0)).count() == 0
 
 
+def test_schemas_with_rules(spark):
+    from chirpsieve.llm.chat import problem
+    from pyspark.sql import functions as F
+
+    schemas = {"f": {"*": False, "unit": ("STRING", True, {"enum": ["c", "f"]}), "n": ("DOUBLE", False, {"least": 0, "most": 10}), "at": ("OBJECT", False, {"fields": {"city": ("STRING", True)}}), "tags": ("ARRAY", False)}}
+    cases = {
+        '{"unit":"c"}': None, '{"unit":"c","n":3,"at":{"city":"x","zip":1},"tags":[1]}': None, '{"unit":"k"}': "value of unit not allowed", '{"n":3}': "missing unit",
+        '{"unit":"c","n":11}': "n out of bounds", '{"unit":"c","n":-0.5}': "n out of bounds", '{"unit":"c","n":"3"}': "wrong type of n", '{"unit":"c","at":{}}': "missing at.city",
+        '{"unit":"c","at":{"city":2}}': "wrong type of at.city", '{"unit":"c","tags":"x"}': "wrong type of tags", '{"unit":"c","more":1}': "unknown argument in arguments", '{"unit":null}': "missing unit", "[1]": "not an object", "{": "not json",
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "arguments string")
+    got = {r.arguments: r.p for r in df.select("arguments", problem(F.lit("f"), F.col("arguments"), schemas).alias("p")).collect()}
+    assert got == cases
+
+
 def test_orphan_results_stay_apart(spark):
     from chirpsieve.llm.chat import link
 
