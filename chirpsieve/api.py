@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import blocks, direct
 from .plans import frames
-from .plans.geometry import DirectGeometry, Geometry
+from .plans.geometry import SIMULATOR_DISPERSION, DirectGeometry, Geometry
 from .plans.tree import TreePlan
 
 
@@ -51,10 +52,21 @@ class DirectTransform:
     dm_grid = property(lambda self: np.array(self.geometry.dms))
     delays = property(lambda self: self.geometry.delays())
 
-    def execute(self, waterfall, length: int | None = None):
+    def execute(self, waterfall, length: int | None = None, masked: tuple[int, ...] = ()):
+        """Samples of masked channels count as zeros. length: samples of a block of a DataFrame, its longest row's if not given."""
         if isinstance(waterfall, DataFrame):
-            return blocks.direct_blocks(waterfall, self.geometry, length)
-        return direct.direct_matrix(np.asarray(waterfall, dtype=np.float32), self.geometry)
+            length = length or waterfall.agg(F.max(F.size("x"))).first()[0] or 1
+            return blocks.direct_blocks(waterfall, self.geometry, length, masked=masked)
+        return direct.direct_matrix(np.asarray(waterfall, dtype=np.float32), self.geometry, masked)
+
+
+def generate_pulse(f_min, f_max, nchans, nsamps, tsamp, dm, amp=1.0, offset=0, width=1, noise_rms=0.0, seed=0) -> np.ndarray:
+    """A (channel, sample) array of a dispersed boxcar in seeded noise; pulse.simulate_pulse makes it as a DataFrame."""
+    f = f_min + np.arange(nchans) * ((f_max - f_min) / nchans)
+    shift = np.rint(SIMULATOR_DISPERSION * dm * (f_min**-2.0 - f**-2.0) / tsamp).astype(np.int64)
+    source = (np.arange(nsamps) + shift[:, None]) % nsamps
+    x = np.where((source >= offset) & (source < offset + width), float(amp), 0.0)
+    return (x + np.random.default_rng(seed).normal(0, noise_rms, x.shape) if noise_rms else x).astype(np.float32)
 
 
 def set_log_level(spark: SparkSession, level: str) -> None:

@@ -64,13 +64,19 @@ def transform_matrix(x: np.ndarray, plan: TreePlan) -> np.ndarray:
     return run_levels(channel_means(x, plan), plan)
 
 
-def with_halo(packed: DataFrame, halo: int, length: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Each row once for its own block, and its tail again for the blocks that need it (lag 0, 1, ...); one scan."""
+def with_halo(packed: DataFrame, halo: int, length: int, nchans: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each row once for its own block, and its tail again for the blocks that need it (lag 0, 1, ...); one scan.
+
+    A channel that isn't the geometry's, or a row longer than a block, raises.
+    """
     parts = [F.struct(F.col("block"), F.col("x"), F.lit(0).alias("lag"))]
     for k in range(1, -(-halo // length) + 1):
         keep = min(length, halo - (k - 1) * length)
         tail = F.slice("x", F.greatest(F.lit(1), F.size("x") - keep + 1), F.lit(keep))
         parts.append(F.struct((F.col("block") + k).alias("block"), tail.alias("x"), F.lit(k).alias("lag")))
+    fits = F.coalesce(F.col("chan").between(0, nchans - 1) & (F.size("x") <= length), F.lit(False))
+    wrong = F.raise_error(F.lit(f"channels 0 to {nchans - 1} in blocks of {length} samples at most are needed")).cast("boolean")
+    packed = packed.where(F.when(fits, True).otherwise(wrong))
     return packed.select(*by, "chan", F.explode(F.array(*parts)).alias("part")).select(*by, "chan", "part.block", "part.x", "part.lag")
 
 
@@ -125,19 +131,20 @@ def tree_blocks(packed: DataFrame, plan: TreePlan, length: int, by: tuple[str, .
             v = run_levels(channel_means(m, plan), plan)[:, m.shape[1] - n :]
         return _answer(table, by, rows, {"i_dt": pa.array(np.arange(rows, dtype=np.int32)), "dt": pa.array(trials[:rows]), "dm": pa.array(dms[:rows]), "v": _lists(v)})
 
-    return with_halo(packed, halo, length, by).groupBy(*by, "block").applyInArrow(run, _schema(packed, by, f"i_dt int, dt int, dm double, v array<{kind}>"))
+    return with_halo(packed, halo, length, nchans, by).groupBy(*by, "block").applyInArrow(run, _schema(packed, by, f"i_dt int, dt int, dm double, v array<{kind}>"))
 
 
-def direct_blocks(packed: DataFrame, g: DirectGeometry, length: int, by: tuple[str, ...] = ()) -> DataFrame:
+def direct_blocks(packed: DataFrame, g: DirectGeometry, length: int, by: tuple[str, ...] = (), masked: tuple[int, ...] = ()) -> DataFrame:
     """*by, block, i_dm, dm, first, v array<double>: the direct transform, `first` being the block-relative sample of v[0].
 
-    Cells that would need samples before the recording are left out, as in one matrix.
+    Cells that would need samples before the recording are left out, as in one
+    matrix; masked channels count as zeros.
     """
     d = g.delays()
     halo = int(np.abs(d).max())
     if (d > 0).any():
         raise ValueError("blocks look back only: DMs must not be negative")
-    dms = np.array(g.dms)
+    dms, used = np.array(g.dms), [c for c in range(g.nchans) if c not in masked]
 
     def run(table: pa.Table) -> pa.Table:
         got = _matrix(table, g.nchans, halo, length, np.float64)
@@ -147,9 +154,9 @@ def direct_blocks(packed: DataFrame, g: DirectGeometry, length: int, by: tuple[s
             skip, rows = min(n, max(0, halo - known)), len(dms)
             v = np.zeros((rows, n - skip))
             for i in range(rows):
-                for c in range(g.nchans):
+                for c in used:
                     at = halo + skip + d[i, c]
                     v[i] += m[c, at : at + n - skip]
         return _answer(table, by, rows, {"i_dm": pa.array(np.arange(rows, dtype=np.int32)), "dm": pa.array(dms[:rows]), "first": pa.array(np.full(rows, skip, np.int32)), "v": _lists(v)})
 
-    return with_halo(packed, halo, length, by).groupBy(*by, "block").applyInArrow(run, _schema(packed, by, "i_dm int, dm double, first int, v array<double>"))
+    return with_halo(packed, halo, length, g.nchans, by).groupBy(*by, "block").applyInArrow(run, _schema(packed, by, "i_dm int, dm double, first int, v array<double>"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans import frames
 from ..plans.geometry import DirectGeometry
+from .tree import inside
 
 
 def direct_transform(wf: DataFrame, g: DirectGeometry, nsamps: int, by: tuple[str, ...] = (), masked: tuple[int, ...] = ()) -> DataFrame:
@@ -21,7 +22,8 @@ def direct_transform(wf: DataFrame, g: DirectGeometry, nsamps: int, by: tuple[st
     if lo >= hi:
         raise ValueError("the recording is shorter than the largest delay")
     p = F.broadcast(frames.delays(wf.sparkSession, g))
-    x = wf.where(~F.col("chan").isin(list(masked))) if masked else wf
+    x = inside(wf, g.nchans, nsamps)
+    x = x.where(~F.col("chan").isin(list(masked))) if masked else x
     x = x.join(p, "chan").withColumn("t", (F.col("t") - F.col("delay")).cast("int")).where((F.col("t") >= lo) & (F.col("t") < hi))
     return x.groupBy(*by, "i_dm", "dm", "t").agg(F.sum("x").alias("v"))
 

@@ -13,16 +13,33 @@ from ..plans import frames
 from ..plans.tree import TreePlan
 
 
-def initial_state(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = ()) -> DataFrame:
-    """*by, i_sub, i_dt, t, v: mean of the last w + 1 samples of each channel, for each w of its grid, where they all exist.
+def inside(wf: DataFrame, nchans: int, nsamps: int) -> DataFrame:
+    """wf, whose rows raise where their channel or sample is not one of the geometry's (checked as rows pass; no job of its own)."""
+    ok = F.col("chan").between(0, nchans - 1) & F.col("t").between(0, nsamps - 1)
+    wrong = F.raise_error(F.lit(f"a waterfall of {nchans} x {nsamps} is needed: a row lies outside")).cast(wf.schema["chan"].dataType)
+    # in the key of the joins that follow, so that no row is lost before it is looked at
+    return wf.withColumn("chan", F.when(F.coalesce(ok, F.lit(False)), F.col("chan")).otherwise(wrong))
+
+
+def means(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = ()) -> DataFrame:
+    """*by, chan, i_dt, w, t, v: mean of the last w + 1 samples of each channel, for each w of its grid, where they all exist.
 
-    Every sample is dealt to the w + 1 means that hold it, so no window over a
-    whole channel is sorted, and partial sums are made before the shuffle.
+    Every sample goes once to each of the cells that look back on it, so no
+    window over a whole channel is sorted; a cell holds its channel's longest
+    delay of samples, from which all its means are taken.
     """
-    p = F.broadcast(frames.channels(wf.sparkSession, plan))
-    x = wf.join(p, "chan").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("w"))))
-    x = x.withColumn("t2", F.col("t") + F.col("k")).where((F.col("t2") >= F.col("w")) & (F.col("t2") < plan.geometry.nsamps))
-    return x.groupBy(*by, F.col("chan").alias("i_sub"), "i_dt", F.col("t2").cast("int").alias("t")).agg((F.sum("x") / (F.max("w") + 1)).alias("v"))
+    p, g = frames.channels(wf.sparkSession, plan), plan.geometry
+    longest = F.broadcast(p.groupBy("chan").agg(F.max("w").alias("most")))
+    x = inside(wf, g.nchans, g.nsamps).join(longest, "chan").withColumn("k", F.explode(F.sequence(F.lit(0), F.least("most", g.nsamps - 1 - F.col("t")).cast("int"))))
+    cells = x.groupBy(*by, "chan", (F.col("t") + F.col("k")).cast("int").alias("t")).agg(F.collect_list(F.struct("k", "x")).alias("held"))
+    held = F.filter("held", lambda e: e["k"] <= F.col("w"))
+    out = cells.join(F.broadcast(p), "chan").where(F.col("t") >= F.col("w")).withColumn("held", held).where(F.size("held") > 0)
+    return out.select(*by, "chan", "i_dt", "w", "t", (F.aggregate("held", F.lit(0.0), lambda s, e: s + e["x"]) / (F.col("w") + 1)).alias("v"))
+
+
+def initial_state(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = ()) -> DataFrame:
+    """*by, i_sub, i_dt, t, v: level 0, the means of each channel."""
+    return means(wf, plan, by).select(*by, F.col("chan").alias("i_sub"), "i_dt", "t", "v")
 
 
 def merge_level(state: DataFrame, plan: TreePlan, i: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -36,10 +53,9 @@ def merge_level(state: DataFrame, plan: TreePlan, i: int, by: tuple[str, ...] =
 def densify(out: DataFrame, plan: TreePlan, by: tuple[str, ...] = ()) -> DataFrame:
     """Every (trial, sample) cell, 0 where nothing contributed: zero rows join the last sum instead of an outer join."""
     spark, n = out.sparkSession, plan.geometry.nsamps
-    cells = F.broadcast(frames.trials(spark, plan).select("i_dt")).crossJoin(spark.range(n).select(F.col("id").cast("int").alias("t")))
-    zero = cells.withColumn("v", F.lit(0.0))
-    if by:
-        zero = out.select(*by).distinct().crossJoin(F.broadcast(zero))
+    # only the keys are rows beforehand: the grid is made where it is needed, not broadcast
+    keys = out.select(*by).distinct() if by else spark.range(1).select()
+    zero = keys.withColumn("i_dt", F.explode(F.sequence(F.lit(0), F.lit(len(plan.dt_grid) - 1)))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("v", F.lit(0.0))
     full = out.select(*by, "i_dt", "t", "v").unionByName(zero.select(*by, "i_dt", "t", "v")).groupBy(*by, "i_dt", "t").agg(F.sum("v").alias("v"))
     return full.join(F.broadcast(frames.trials(spark, plan)), "i_dt").select(*by, "i_dt", "dt", "dm", "t", "v")
 
@@ -55,17 +71,18 @@ def tree_transform(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = (), dens
 
 def flat_transform(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = (), dense: bool = True) -> DataFrame:
     """The same in one join and one sum; for small grids (frames.MOST_FLAT)."""
-    p = F.broadcast(frames.flat(wf.sparkSession, plan))
-    x = wf.join(p, "chan").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("w"))))
-    x = x.where(F.col("t") + F.col("k") >= F.col("w")).withColumn("t", (F.col("t") + F.col("k") + F.col("shift")).cast("int")).where(F.col("t") < plan.geometry.nsamps)
-    out = x.groupBy(*by, "i_dt", "t").agg(F.sum(F.col("x") / (F.col("w") + 1)).alias("v"))
+    p = F.broadcast(frames.flat(wf.sparkSession, plan).select("i_dt", "chan", "w", "shift"))
+    x = means(wf, plan, by).drop("i_dt").join(p, ["chan", "w"]).withColumn("t", (F.col("t") + F.col("shift")).cast("int")).where(F.col("t") < plan.geometry.nsamps)
+    out = x.groupBy(*by, "i_dt", "t").agg(F.sum("v").alias("v"))
     return densify(out, plan, by) if dense else out.join(F.broadcast(frames.trials(wf.sparkSession, plan)), "i_dt").select(*by, "i_dt", "dt", "dm", "t", "v")
 
 
-def check_waterfall(wf: DataFrame, plan: TreePlan) -> None:
-    """Raises unless every channel has each sample once (one aggregation)."""
+def check_waterfall(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = ()) -> None:
+    """Raises unless every channel of each key has each sample once (one aggregation)."""
     g = plan.geometry
-    bad = wf.groupBy("chan").agg(F.count("t").alias("n"), F.countDistinct("t").alias("d"), F.min("t").alias("a"), F.max("t").alias("b"))
-    r = bad.agg(F.count(F.lit(1)).alias("chans"), F.min("chan").alias("c0"), F.max("chan").alias("c1"), F.sum(((F.col("n") != g.nsamps) | (F.col("d") != g.nsamps) | (F.col("a") != 0) | (F.col("b") != g.nsamps - 1)).cast("int")).alias("bad")).first()
-    if (r.chans, r.c0, r.c1) != (g.nchans, 0, g.nchans - 1) or r.bad:
+    per = wf.groupBy(*by, "chan").agg(F.count("t").alias("n"), F.countDistinct("t").alias("d"), F.min("t").alias("a"), F.max("t").alias("b"))
+    odd = (F.col("n") != g.nsamps) | (F.col("d") != g.nsamps) | (F.col("a") != 0) | (F.col("b") != g.nsamps - 1)
+    keys = per.groupBy(*by).agg(F.count(F.lit(1)).alias("chans"), F.min("chan").alias("c0"), F.max("chan").alias("c1"), F.sum(odd.cast("int")).alias("odd"))
+    good = (F.col("chans") == g.nchans) & (F.col("c0") == 0) & (F.col("c1") == g.nchans - 1) & (F.col("odd") == 0)
+    if not keys.agg(F.coalesce(F.bool_and(F.coalesce(good, F.lit(False))), F.lit(False))).first()[0]:
         raise ValueError(f"a waterfall of {g.nchans} x {g.nsamps} is needed")

@@ -24,24 +24,22 @@ GEOMETRIES = {
     "wide": Geometry(nchans=4, nsamps=64, dt_max=60, **BAND),
     "odd": Geometry(nchans=7, nsamps=64, dt_max=40, **BAND),
     "stepped": Geometry(nchans=8, nsamps=64, dt_max=16, dt_step=3, dt_min=2, **BAND),
-    "months": Geometry(nchans=6, nsamps=96, dt_max=30, **BAND),
+    "months": Geometry(nchans=6, nsamps=120, dt_max=30, **BAND),  # 1992 to 2001
     "one": Geometry(nchans=1, nsamps=64, dt_max=5, **BAND),
     "two": Geometry(nchans=2, nsamps=64, dt_max=9, **BAND),
 }
-DECADE = Geometry(nchans=6, nsamps=120, dt_max=30, **BAND)  # 1992 to 2001
 DIRECT = DirectGeometry(1000.0, 1500.0, 4, 0.001, (0.0, 5.0, 10.0, 20.0))
 PULSE = dict(f_min=1104.0, f_max=1440.0, nchans=32, nsamps=256, tsamp=0.001, dm=60.0, amp=20.0, offset=180, width=2)
 
 
+GEOMETRIES["pulse"] = Geometry(PULSE["f_min"], PULSE["f_max"], PULSE["nchans"], PULSE["nsamps"], PULSE["tsamp"], 128)
+
+
 @functools.cache
 def plan(name: str) -> TreePlan:
     return TreePlan(GEOMETRIES[name])
 
 
-def wf_embeddings(spark: SparkSession, sf: str, n: int) -> DataFrame:
-    return waterfall.embeddings(spark, sf, n)
-
-
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -61,10 +59,6 @@ def _flat_sql(name: str) -> str:
     return _values(zip(*(p[k].tolist() for k in ("i_dt", "dt", "chan", "w", "shift"))), "i_dt, dt, chan, w, shift")
 
 
-def wf_embeddings_sql(n: int) -> str:
-    return f"(select cast(vec_id as integer) as chan, cast(generate_subscripts(embedding, 1) - 1 as integer) as t, cast(unnest(embedding) as double) as x from embeddings where vec_id < {n})"
-
-
 def _dense_sql(n: int, samples: int, inner: str) -> str:
     return f"(select g.chan, g.t, coalesce(sum(b.x), 0.0) as x from (select cast(c.range as integer) as chan, cast(s.range as integer) as t from range({n}) c, range({samples}) s) g left join ({inner}) b on b.chan = g.chan and b.t = g.t group by 1, 2)"
 
@@ -73,7 +67,7 @@ def wf_events_sql(n: int, samples: int = 64) -> str:
     return _dense_sql(n, samples, f"select cast(user_id % {n} as integer) as chan, cast(floor(epoch(ts - timestamp '2024-01-01 00:00:00') / 43200) as integer) as t, round(value * 100) as x from events")
 
 
-def wf_lineitem_sql(n: int, samples: int = 96) -> str:
+def wf_lineitem_sql(n: int, samples: int = 120) -> str:
     return _dense_sql(n, samples, f"select cast(l_suppkey % {n} as integer) as chan, cast((year(cast(l_shipdate as date)) - 1992) * 12 + month(cast(l_shipdate as date)) - 1 as integer) as t, l_quantity as x from lineitem")
 
 
@@ -100,13 +94,6 @@ def whole_sql(p: TreePlan, wf: str) -> str:
     select grid.obs, cast(grid.i_dt as integer) as i_dt, cast(grid.dt as integer) as dt, round(cast(grid.dt as double) * {g.dm_step!r}, 6) as dm, grid.t, round(coalesce(sum(m), 0.0), 6) as v from grid left join means on means.obs = grid.obs and means.i_dt = grid.i_dt and means.t = grid.t group by all"""
 
 
-def init_sql(name: str, wf: str) -> str:
-    p, g = plan(name).levels[0], GEOMETRIES[name]
-    rows = _values(zip(p.band.tolist(), p.index.tolist(), p.delay.tolist()), "chan, i_dt, w")
-    return f"""with wf as {wf}, p as {rows} select cast(p.chan as integer) as i_sub, cast(p.i_dt as integer) as i_dt, a.t, round(avg(b.x), 6) as v
-    from p join wf a on a.chan = p.chan and a.t >= p.w and a.t < {g.nsamps} join wf b on b.chan = a.chan and b.t between a.t - p.w and a.t group by all"""
-
-
 def direct_sql(wf: str, nsamps: int, masked: tuple = ()) -> str:
     k, f = DISPERSION / DIRECT.tsamp, f"({DIRECT.f_min} + chan * {(DIRECT.f_max - DIRECT.f_min) / DIRECT.nchans})"
     dms = ", ".join(f"({i}, {dm!r})" for i, dm in enumerate(DIRECT.dms))
@@ -118,15 +105,8 @@ def direct_sql(wf: str, nsamps: int, masked: tuple = ()) -> str:
 
 
 def _blocks(spark, sf, name="small", length=24):
-    p = plan(name)
-    packed = waterfall.pack(wf_embeddings(spark, sf, p.geometry.nchans), length)
-    out = waterfall.unpack(blocks.tree_blocks(packed, p, length), length, "v")
-    return out.select("i_dt", "dt", F.round("dm", 6).alias("dm"), F.col("t").cast("int").alias("t"), F.round("v", 6).alias("v"))
-
-
-def _blocks_all(spark, sf, name="small", length=24):
     p, by = plan(name), ("obs",)
-    packed = waterfall.pack(waterfall.embeddings_all(spark, sf, p.geometry.nchans), length, by)
+    packed = waterfall.pack(waterfall.embeddings(spark, sf, p.geometry.nchans), length, by)
     out = waterfall.unpack(blocks.tree_blocks(packed, p, length, by), length, "v")
     return out.select("obs", "i_dt", "dt", F.round("dm", 6).alias("dm"), F.col("t").cast("int").alias("t"), F.round("v", 6).alias("v"))
 
@@ -243,25 +223,24 @@ def _numbers_sql() -> str:
 
 def _recovered(spark, sf):
     """A noiseless pulse is found again: the peak's trial and sample."""
-    g = Geometry(_P["f_min"], _P["f_max"], _P["nchans"], _P["nsamps"], _P["tsamp"], 128)
-    out = tree.tree_transform(pulse.simulate_pulse(spark, **_P), TreePlan(g))
+    out = tree.tree_transform(pulse.simulate_pulse(spark, **_P), plan("pulse"))
     return _rounded(pulse.peak(out), "dm", "v")
 
 
 # The embeddings' queries over every vector: query, form, geometry.
 WHOLE = [
-    ("tree_flat_embeddings_all", tree.flat_transform, "small"), ("tree_embeddings_all", tree.tree_transform, "small"), ("tree_wide_embeddings_all", tree.tree_transform, "wide"),
-    ("tree_stepped_embeddings_all", tree.tree_transform, "stepped"), ("tree_one_channel_all", tree.tree_transform, "one"), ("tree_two_channels_all", tree.tree_transform, "two"),
+    ("tree_flat_embeddings", tree.flat_transform, "small"), ("tree_embeddings", tree.tree_transform, "small"), ("tree_wide_embeddings", tree.tree_transform, "wide"),
+    ("tree_stepped_embeddings", tree.tree_transform, "stepped"), ("tree_one_channel", tree.tree_transform, "one"), ("tree_two_channels", tree.tree_transform, "two"),
 ]
 
 
 def whole_queries() -> dict:
-    emb, by = waterfall.embeddings_all, ("obs",)
+    emb, by = waterfall.embeddings, ("obs",)
     out = {q: lambda s, d, f=f, name=name: _shown(f(emb(s, d, GEOMETRIES[name].nchans), plan(name), by)) for q, f, name in WHOLE}
     return out | {
-        "tree_blocks_embeddings_all": _blocks_all,
-        "tree_init_embeddings_all": lambda s, d: _rounded(tree.initial_state(emb(s, d, 8), plan("small"), by), "v"),
-        "direct_embeddings_all": lambda s, d: _rounded(direct.direct_transform(emb(s, d, 4), DIRECT, 64, by), "v"),
+        "tree_blocks_embeddings": _blocks,
+        "tree_init_embeddings": lambda s, d: _rounded(tree.initial_state(emb(s, d, 8), plan("small"), by), "v"),
+        "direct_embeddings": lambda s, d: _rounded(direct.direct_transform(emb(s, d, 4), DIRECT, 64, by), "v"),
     }
 
 
@@ -272,38 +251,27 @@ def whole_oracle_sql() -> dict[str, str]:
     k, f = DISPERSION / DIRECT.tsamp, f"({DIRECT.f_min} + chan * {(DIRECT.f_max - DIRECT.f_min) / DIRECT.nchans})"
     dms = ", ".join(f"({i}, {dm!r})" for i, dm in enumerate(DIRECT.dms))
     return out | {
-        "tree_blocks_embeddings_all": whole_sql(plan("small"), wf(8)),
-        "tree_init_embeddings_all": f"""with wf as {wf(8)}, p as {_values(zip(p.band.tolist(), p.index.tolist(), p.delay.tolist()), "chan, i_dt, w")} select a.obs, cast(p.chan as integer) as i_sub, cast(p.i_dt as integer) as i_dt, a.t, round(avg(b.x), 6) as v
+        "tree_blocks_embeddings": whole_sql(plan("small"), wf(8)),
+        "tree_init_embeddings": f"""with wf as {wf(8)}, p as {_values(zip(p.band.tolist(), p.index.tolist(), p.delay.tolist()), "chan, i_dt, w")} select a.obs, cast(p.chan as integer) as i_sub, cast(p.i_dt as integer) as i_dt, a.t, round(avg(b.x), 6) as v
     from p join wf a on a.chan = p.chan and a.t >= p.w and a.t < {g.nsamps} join wf b on b.obs = a.obs and b.chan = a.chan and b.t between a.t - p.w and a.t group by all""",
-        "direct_embeddings_all": f"""with wf as {wf(4)}, d as (select i_dm, dm, cast(range as integer) as chan, cast(round({k!r} * (1 / ({f} * {f}) - 1 / ({DIRECT.f_min} * {DIRECT.f_min})) * dm) as integer) as delay
+        "direct_embeddings": f"""with wf as {wf(4)}, d as (select i_dm, dm, cast(range as integer) as chan, cast(round({k!r} * (1 / ({f} * {f}) - 1 / ({DIRECT.f_min} * {DIRECT.f_min})) * dm) as integer) as delay
       from (values {dms}) as v(i_dm, dm), (select range, range as chan from range({DIRECT.nchans})))
     select wf.obs, cast(i_dm as integer) as i_dm, cast(dm as double) as dm, cast(wf.t - delay as integer) as t, round(sum(x), 6) as v from wf join d on d.chan = wf.chan and wf.t - delay >= (select max(abs(delay)) from d) and wf.t - delay < 64 group by all""",
     }
 
 
 def queries() -> dict:
-    emb, ev, li = wf_embeddings, waterfall.events, waterfall.lineitem
+    ev, li = waterfall.events, waterfall.lineitem
     out = {
-        "tree_flat_embeddings": lambda s, d: _shown(tree.flat_transform(emb(s, d, 8), plan("small"))),
-        "tree_embeddings": lambda s, d: _shown(tree.tree_transform(emb(s, d, 8), plan("small"))),
-        "tree_wide_embeddings": lambda s, d: _shown(tree.tree_transform(emb(s, d, 4), plan("wide"))),
-        "tree_stepped_embeddings": lambda s, d: _shown(tree.tree_transform(emb(s, d, 8), plan("stepped"))),
-        "tree_one_channel": lambda s, d: _shown(tree.tree_transform(emb(s, d, 1), plan("one"))),
-        "tree_two_channels": lambda s, d: _shown(tree.tree_transform(emb(s, d, 2), plan("two"))),
         "tree_events": lambda s, d: _shown(tree.tree_transform(ev(s, d, 7), plan("odd"))),
         "tree_flat_events": lambda s, d: _shown(tree.flat_transform(ev(s, d, 7), plan("odd"))),
         "tree_lineitem": lambda s, d: _shown(tree.tree_transform(li(s, d, 6), plan("months"))),
-        "tree_lineitem_all": lambda s, d: _shown(tree.tree_transform(li(s, d, 6, 120, "raise"), TreePlan(DECADE))),
-        "tree_blocks_embeddings": _blocks,
-        "tree_init_embeddings": lambda s, d: _rounded(tree.initial_state(emb(s, d, 8), plan("small")), "v"),
         "tree_level_1_events": lambda s, d: _level_states(s, d, 1),
         "tree_level_2_events": lambda s, d: _level_states(s, d, 2),
-        "direct_embeddings": lambda s, d: _rounded(direct.direct_transform(emb(s, d, 4), DIRECT, 64), "v"),
         "direct_events": lambda s, d: _rounded(direct.direct_transform(ev(s, d, 4), DIRECT, 64), "v"),
         "direct_masked_events": lambda s, d: _rounded(direct.direct_transform(ev(s, d, 4), DIRECT, 64, masked=(2,)), "v"),
         "waterfall_events": lambda s, d: ev(s, d, 7),
         "waterfall_lineitem": lambda s, d: _rounded(li(s, d, 6), "x"),
-        "waterfall_lineitem_all": lambda s, d: _rounded(li(s, d, 6, 120, "raise"), "x"),
         "plan_shape": _shapes,
         "channel_grids": _channel_grids,
         "dm_grid": _dm_grid,
@@ -323,27 +291,16 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    emb, ev = wf_embeddings_sql, wf_events_sql
+    ev = wf_events_sql
     g = GEOMETRIES["odd"]
     out = {
-        "tree_flat_embeddings": tree_sql("small", emb(8)),
-        "tree_embeddings": tree_sql("small", emb(8)),
-        "tree_wide_embeddings": tree_sql("wide", emb(4)),
-        "tree_stepped_embeddings": tree_sql("stepped", emb(8)),
-        "tree_one_channel": tree_sql("one", emb(1)),
-        "tree_two_channels": tree_sql("two", emb(2)),
         "tree_events": tree_sql("odd", ev(7)),
         "tree_flat_events": tree_sql("odd", ev(7)),
         "tree_lineitem": tree_sql("months", wf_lineitem_sql(6)),
-        "tree_lineitem_all": f"select * exclude (obs) from ({whole_sql(TreePlan(DECADE), f'(select 0 as obs, * from {wf_lineitem_sql(6, 120)})')})",
-        "tree_blocks_embeddings": tree_sql("small", emb(8)),
-        "tree_init_embeddings": init_sql("small", emb(8)),
-        "direct_embeddings": direct_sql(emb(4), 64),
         "direct_events": direct_sql(ev(4), 64),
         "direct_masked_events": direct_sql(ev(4), 64, (2,)),
         "waterfall_events": ev(7)[1:-1],
         "waterfall_lineitem": f"select chan, t, round(x, 6) as x from {wf_lineitem_sql(6)}",
-        "waterfall_lineitem_all": f"select chan, t, round(x, 6) as x from {wf_lineitem_sql(6, 120)}",
         "plan_shape": _shapes_sql(),
         "channel_grids": _channel_grids_sql(),
         "dm_grid": _dm_grid_sql(),
@@ -356,6 +313,7 @@ def oracle_sql() -> dict[str, str]:
         "add_offset": ADD_OFFSET_SQL,
         "copy_rows": COPY_SQL,
         "simulate_pulse": PULSE_SQL,
+        "pulse_recovered": f"select i_dt, dt, dm, t, v from ({tree_sql('pulse', '(' + PULSE_SQL + ')')}) order by v desc, i_dt, t limit 1",
         "peak_search": f"select i_dt, dt, t, v from ({tree_sql('odd', ev(7))}) order by v desc, i_dt, t limit 1",
     }
     for i in (1, 2):

@@ -27,11 +27,6 @@ def binned(df: DataFrame, chan: Column, t: Column, x: Column, nchans: int, nsamp
 
 
 def embeddings(spark: SparkSession, sf_dir: str, nchans: int) -> DataFrame:
-    """Channel = vec_id, sample = position in the vector (64 of them)."""
-    return from_packed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", F.col("vec_id") < nchans)
-
-
-def embeddings_all(spark: SparkSession, sf_dir: str, nchans: int) -> DataFrame:
     """obs, chan, t, x of every vector: nchans vectors in order of vec_id are one observation."""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     x = df.select(F.floor(F.col("vec_id") / nchans).alias("obs"), F.pmod("vec_id", F.lit(nchans)).cast("int").alias("chan"), F.posexplode("embedding").alias("t", "x"))
@@ -44,10 +39,10 @@ def events(spark: SparkSession, sf_dir: str, nchans: int, nsamps: int = 64) -> D
     return binned(spark.read.parquet(f"{sf_dir}/events.parquet"), F.pmod("user_id", F.lit(nchans)), t, F.round(F.col("value") * 100), nchans, nsamps)
 
 
-def lineitem(spark: SparkSession, sf_dir: str, nchans: int, nsamps: int = 96, outside: str = "drop") -> DataFrame:
-    """Channel = l_suppkey mod nchans, sample = month of shipping since 1992, quantity; 96 months end in 1999, 120 hold the whole table."""
+def lineitem(spark: SparkSession, sf_dir: str, nchans: int, nsamps: int = 120) -> DataFrame:
+    """Channel = l_suppkey mod nchans, sample = month of shipping since 1992 (to 2001; other rows raise), quantity."""
     d = F.to_date("l_shipdate")
-    return binned(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), F.pmod("l_suppkey", F.lit(nchans)), (F.year(d) - 1992) * 12 + F.month(d) - 1, F.col("l_quantity"), nchans, nsamps, outside)
+    return binned(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), F.pmod("l_suppkey", F.lit(nchans)), (F.year(d) - 1992) * 12 + F.month(d) - 1, F.col("l_quantity"), nchans, nsamps)
 
 
 def from_matrix(spark: SparkSession, x: np.ndarray) -> DataFrame:

@@ -16,10 +16,11 @@ from ..operators.blocks import channel_means, run_levels
 from ..plans.tree import TreePlan
 
 
-def tree_stream(blocks: DataFrame, plan: TreePlan) -> DataFrame:
+def tree_stream(blocks: DataFrame, plan: TreePlan, look_ahead: int = 64) -> DataFrame:
     """obs, block, i_dt, dt, v of a stream of (obs string, block long, x array<array<float>>), starting at block 0.
 
-    State: the next block's number, the halo, and blocks that came early. A
+    State: the next block's number, the halo, and at most `look_ahead` blocks
+    that came early: a block farther ahead raises, for one before it is lost. A
     block that came before is ignored (a source may repeat it).
     """
     halo, trials, nchans = plan.halo(), plan.dt_grid, plan.geometry.nchans
@@ -30,6 +31,8 @@ def tree_stream(blocks: DataFrame, plan: TreePlan) -> DataFrame:
         waiting = {int(b): np.frombuffer(x, np.float32).reshape(nchans, -1) for b, x in early}
         for pdf in parts:
             for b, x in zip(pdf.block, pdf.x):
+                if b > at + look_ahead:
+                    raise ValueError(f"block {b} of {key[0]} came while {at} was missing")
                 if b >= at:
                     waiting.setdefault(int(b), np.stack([np.asarray(r, dtype=np.float32) for r in x]))
         out = []
