@@ -469,6 +469,35 @@ def test_quality(spark, docs, empty):
     assert sum(r.predicted == r.quality for r in got) >= 0.97 * len(got)
 
 
+def test_votes_are_those_of_a_loop():
+    from chirpsieve.llm.quality import basis_of, fit, vote
+
+    r = np.random.default_rng(6)
+    rows_ = r.random((80, 40)).astype(np.float32) * (r.random((80, 40)) < 0.4)
+    y = (r.random(80) < 0.5).astype(np.float32)
+    m = fit(rows_, y, 8)
+    q = r.random((30, 40)).astype(np.float32)
+    for got, row in zip(vote(m, q, 7), q):
+        v = row @ m["map"]
+        cos = [float(v @ z / np.linalg.norm(v) / np.linalg.norm(z)) for z in m["z"]]
+        near = sorted(range(80), key=lambda i: -cos[i])[:7]
+        w = [max(cos[i], 0) ** 8 + 1e-9 for i in near]
+        assert abs(got - sum(a * y[i] for a, i in zip(w, near)) / sum(w)) < 1e-4
+    b = basis_of(rows_.astype(float), 8)
+    _, _, exact = np.linalg.svd(rows_.astype(float), full_matrices=False)
+    assert np.allclose(np.abs(np.diag(b[:, :3].T @ exact[:3].T)), 1, atol=1e-3)
+
+
+def test_contradicting_labels_and_repeated_ids_decide_nothing_by_chance(spark):
+    from chirpsieve.llm.quality import training_rows
+
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in range(40) for k in range(2)], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (5, 1)], "doc_id long, quality int")
+    a, b = training_rows(docs, labels), training_rows(docs.repartition(3), labels.repartition(5))
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2 and i != 3]
+    assert len(a[0]) == len(free) and (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
 def test_sharding():
     from chirpsieve.llm.sharding import lookup_table
 
