@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+SLOTS = 1 << 18
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -145,3 +146,17 @@ def text_keys(text) -> list:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def slots(keys: DataFrame, key: str = "k1") -> DataFrame:
+    """The hash slots that keys (64-bit) fall in, to be broadcast: SLOTS rows at most, however many keys there are.
+
+    Rows of another slot have none of the keys, so a large table needs to
+    shuffle only the others for an exact join; with very many keys all slots
+    are taken, and nothing but the saving is lost.
+    """
+    return F.broadcast(keys.select(F.pmod(key, F.lit(SLOTS)).cast("int").alias("slot_")).distinct())
+
+
+def slot(key: str = "k1"):
+    return F.pmod(key, F.lit(SLOTS)).cast("int")

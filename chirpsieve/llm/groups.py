@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, materialize, mix, rolling, text_keys, word_hashes, words
+from .common import LOWER_AZ, materialize, mix, rolling, slot, slots, text_keys, word_hashes, words
 
 BLOCK = 1024  # nodes of a block
 BLOCK_ITEMS = 4_000_000  # items of all its sets
@@ -45,6 +45,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int, repeated: bool =
 
     needed = materialize(nodes.select("node", F.col("first.doc_id").alias("one"), F.col("first.k1").alias("n1"), F.col("first.k2").alias("n2")))
     texts = docs.select("doc_id", *text_keys(F.col("text")), "text")
+    texts = texts.join(slots(needed, "n1"), slot("k1") == F.col("slot_"), "left_semi")
     texts = texts.join(needed, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("one")))
     sets = texts.select("node", "text").mapInArrow(run, "node long, set binary")
     return materialize(sets.dropDuplicates(["node"]) if repeated else sets)

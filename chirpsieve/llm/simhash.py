@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, boxed, materialize, mix, text_keys
+from .common import LOWER_AZ, boxed, materialize, mix, slot, slots, text_keys
 from .groups import STRIP, as_bytes, by_task, components, forest, in_blocks, linked, shingle_set, whole_sets
 
 SEGMENTS, BITS = 8, 8
@@ -353,7 +353,7 @@ def partners(n: np.ndarray, fp: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, k1, k2 (keys of the text) of the rows to keep: of each group of documents whose shingle sets have Jaccard `similarity` at least, one.
+    """doc_id, k1, k2 (keys of the text), times (rows equal in these), keep for each of docs' rows: of each group of documents whose shingle sets have Jaccard `similarity` at least, one is kept.
 
     Groups are the components of all pairs of distinct sets that are alike.
     Candidates are sets that share a shingle of their prefixes (exact: no pair
@@ -385,24 +385,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     blocks = in_blocks(groups.join(nodes.select("node", "n", "fp", "fp2"), "node"))
     blocks = materialize(by_task(blocks, prune, ["node", "n", "fp", "fp2"], "task long, node long").distinct())
-    repeated = w.groupBy("doc_id", "k1", "k2").count().where("count > 1").limit(1).count() > 0
+    each = materialize(w.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("times")))
+    repeated = not each.where("times > 1").isEmpty()
     whole = whole_sets(docs, nodes.join(blocks.select("node").distinct(), "node"), shingle, repeated)
     label = components(linked(blocks.join(whole, "node"), similarity))
     per = nodes.select("node", "first").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     best = per.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("best"))
-    return best.select(F.col("best.doc_id").alias("doc_id"), F.col("best.k1").alias("k1"), F.col("best.k2").alias("k2"))
+    best = best.select(F.col("best.doc_id").alias("b_id"), F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"))
+    same = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2"))
+    return each.join(best, same, "left").select("doc_id", "k1", "k2", "times", F.col("b1").isNotNull().alias("keep"))
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """docs without all but one row of each group of near-duplicates; columns as they are, whatever their names.
 
-    Of rows equal in doc_id and text one stays. An empty table stays empty.
+    Of rows equal in doc_id and text one stays. An empty table stays empty. Only
+    rows that may have to go are shuffled.
     """
-    keep = materialize(near_duplicates(docs, **how)).select(F.col("doc_id").alias("id_"), F.col("k1").alias("n1_"), F.col("k2").alias("n2_"))
+    marks = materialize(near_duplicates(docs, **how))
     k1, k2 = text_keys(F.col("text"))
-    d = boxed(docs, id=F.col("doc_id"), k1=k1, k2=k2)
+    d = boxed(docs, id=F.col("doc_id"), k1=k1, k2=k2).join(slots(marks.where("not keep or times > 1")), slot() == F.col("slot_"), "left")
+    keep = marks.where("keep").select(F.col("doc_id").alias("id_"), F.col("k1").alias("n1_"), F.col("k2").alias("n2_"), "times")
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("k1") == F.col("n1_")) & (F.col("k2") == F.col("n2_"))
-    d = materialize(d.join(keep, same, "left_semi"))
-    if d.groupBy("id", "k1", "k2").count().where("count > 1").limit(1).count():
-        d = d.dropDuplicates(["id", "k1", "k2"])
-    return d.select("row.*")
+    open_ = d.where("slot_ is not null").join(keep, same)
+    if not keep.where("times > 1").isEmpty():
+        one = open_.where("times = 1").select("row")
+        open_ = one.union(open_.where("times > 1").dropDuplicates(["id", "k1", "k2"]).select("row"))
+    return d.where("slot_ is null").select("row").union(open_.select("row")).select("row.*")
