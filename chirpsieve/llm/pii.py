@@ -237,8 +237,9 @@ def resolve(values: DataFrame, key: str, rounds: int = 40) -> DataFrame:
         shared = first.where("n > 1").select(F.col("kind").alias("k1"), F.col("s").alias("s1"), F.col("owner.normal").alias("owner"))
         taken = drawn.select(F.col("kind").alias("k1"), F.col("normal").alias("v1"))
         kind = F.col("kind") == F.col("k1")
-        # names are compared as they are looked up, in lower case
-        bad = drawn.join(shared, kind & (F.col("s") == F.col("s1")) & (F.col("normal") != F.col("owner")), "left_semi").union(drawn.join(taken, kind & ((F.col("s") == F.col("v1")) | (F.lower("s") == F.col("v1"))), "left_semi"))
+        # normal forms of names are in lower case
+        as_normal = F.when(F.col("kind").isin("surname", "given_f", "given_m"), F.lower("s")).otherwise(F.col("s"))
+        bad = drawn.join(shared, kind & (F.col("s") == F.col("s1")) & (F.col("normal") != F.col("owner")), "left_semi").union(drawn.join(taken, kind & (as_normal == F.col("v1")), "left_semi"))
         bad = materialize(bad.select("kind", "normal", "attempt").distinct())
         if bad.isEmpty():
             return drawn.select("kind", "normal", "s")
