@@ -47,7 +47,7 @@ def shingles(t):
 
 
 def test_near_duplicates(stages):
-    """Candidates are complete up to 6 bits only, so a few pairs near the threshold may stay; none is dropped without cause."""
+    """No pair is left standing, none is dropped without cause, and what stays are the components' first documents."""
     before, after = stages[1], set(stages[2].doc_id)
     s = {d: shingles(t) for d, t in zip(before.doc_id, before.text)}
     like = lambda a, b: len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])
@@ -59,22 +59,43 @@ def test_near_duplicates(stages):
             linked[a] += 1
             linked[b] += 1
     assert all(linked[d] for d in s if d not in after)
-    assert met > 5 and missed <= max(1, 0.03 * met)
+    assert met > 5 and missed == 0
+    root = {d: d for d in s}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(s, 2):
+        if like(a, b):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    assert after == {find(d) for d in s}
 
 
 def test_private(stages):
     before, after = stages[2].set_index("doc_id"), stages[3].set_index("doc_id")
     assert set(before.index) == set(after.index)
     known = re.compile(r"\S+@mail\d\.example\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\d)\d{16}(?!\d)|(?<![\d.])\d+\.\d+\.\d+\.\d+(?![\d.])|AKIA[0-9A-Z]{16}|password=\w+|token = \"\w+\"")
+
+    def luhn(v):
+        return v[0] in "23456" and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(v))) % 10 == 0
+
+    def parts(t):
+        """Entities and the text around them; numbers of 16 digits that are no card's stay."""
+        hits = [m for m in known.finditer(t) if not re.fullmatch(r"\d{16}", m[0]) or luhn(m[0])]
+        ends = [0, *(m.end() for m in hits)]
+        return [m[0] for m in hits], [t[a:b] for a, b in zip(ends, [*(m.start() for m in hits), len(t)])]
+
     seen = {}
     for d, t in before.text.items():
-        old, new = known.findall(t), after.text[d]
+        (old, gaps), new = parts(t), after.text[d]
         assert after.n_chars[d] == len(new)
         if not old:
             assert new == t
         for v in old:
             assert v not in new
-        gaps = known.split(t)
         at = 0
         for g, v in zip(gaps, [*old, None]):
             assert new.startswith(g, at) or v is None
@@ -130,3 +151,22 @@ def test_run_is_the_stages(spark, stages):
     import corpus_pipeline as c
 
     assert c.run(spark, SF).count() == len(stages[5])
+
+
+@pytest.mark.parametrize("rows", ["none", "odd"])
+def test_odd_tables_pass_all_stages(spark, tmp_path, rows):
+    import corpus_pipeline as c
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, k1 string"
+    say = "the quick brown fox jumps over the lazy dog and some more words of an ordinary text. "
+    data = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", "en", None, 0), (2, "", "en", None, 0), (3, say * 3, "en", "a", None), (3, say * 3, "en", "a", None), (None, say * 3, None, "b", 5), (4, say * 2000, "en", "", 9), (5, " \n ", "en", "b", 3)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in data] if rows == "odd" else [], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    (labels if rows == "odd" else labels.limit(0)).write.parquet(str(tmp_path / "labels.parquet"))
+    out = c.run(spark, str(tmp_path)).collect()
+    assert rows == "odd" or out == []
+    for name, stage in c.STAGES[1:]:
+        left = stage(spark, docs, str(tmp_path)).collect()
+        n = {"near_duplicates": 2, "private": 9}.get(name)
+        assert rows == "none" and left == [] or rows == "odd" and (n is None or len(left) == n), name
