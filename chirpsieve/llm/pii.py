@@ -35,7 +35,7 @@ PATTERNS = {
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "street": rf"(?<![\p{{L}}\d])\d{{1,5}}[a-z]?+ {NAME_WORD} (?:{STREETS})\b",
     "strasse": r"(?<!\p{L})\p{Lu}\p{Ll}++(?<=straße|strasse|weg|platz) \d{1,4}[a-z]?+(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:(?:{TITLES})\.? ){{1,3}}+{NAME_WORD}(?: (?!(?:{TITLES})\b){NAME_WORD}){{0,5}}+",
+    "name": rf"(?<!\p{{L}})(?:(?:{TITLES})\.? ){{1,3}}+(?!(?:{TITLES})\b){NAME_WORD}(?: (?!(?:{TITLES})\b){NAME_WORD}){{0,5}}+",
 }
 # Titles of women and of either, and country codes of one and two digits (the others have three).
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа|Κυρία)\b"
