@@ -134,7 +134,11 @@ def _text(c: Column) -> Column:
 
 
 def exchanges(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain conversations: a user's turn t calls `reply`, the assistant's turn t + 1 is its result, and a call follows that of turn t - 2."""
+    """Calls and results of plain conversations: a user's turn t calls `reply`, the assistant's turn t + 1 is its result, and a call follows that of turn t - 2.
+
+    A null conversation or turn is left out of the identifier; null texts stay
+    null in the JSON; rows of other roles are left to messages().
+    """
     ident = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     calls = turns.where("role = 'user'").select(
         "conv_id", ident.alias("call_id"), F.lit("reply").alias("name"),

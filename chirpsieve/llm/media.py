@@ -322,3 +322,14 @@ def op2(spark, sf_dir):
     from .common import documents
 
     return store(documents(spark, sf_dir))
+
+
+def payloads(spark, sf_dir):
+    """doc_id, n_bytes, payload_bytes, payload_sha256 of op2: the part that SQL can check."""
+    return op2(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PAYLOADS_SQL = """
+with d as (select doc_id, coalesce(text, '') as text, octet_length(encode(coalesce(text, ''))) as n from documents)
+select doc_id, n as n_bytes, greatest(1, (n + 191) // 192) * 192 as payload_bytes, sha256(text || repeat(' ', greatest(1, (n + 191) // 192) * 192 - n)) as payload_sha256 from d
+"""

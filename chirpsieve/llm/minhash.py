@@ -199,6 +199,7 @@ def edited_fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def op9(spark, sf_dir):
+    """The fingerprints of all documents and of their edited texts, as edited_fingerprints() defines them."""
     from .common import documents
 
     return edited_fingerprints(documents(spark, sf_dir))

@@ -126,6 +126,24 @@ def op1(spark, sf_dir):
     return mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def all_targets(spark, sf_dir):
+    """source, source_size, target of all documents: the part of op1 that SQL can check."""
+    from .common import documents
+
+    sizes = documents(spark, sf_dir).groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("source_size"))
+    return targets(sizes, [3, 1, 2], (3, 2), 2).select("source", "source_size", F.round("target", 6).alias("target"))
+
+
+TARGETS_SQL = r"""
+with t as (select source, cast(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) as bigint) as source_size from documents group by source),
+r as (select *, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from t),
+o as (select *, sum(source_size) over () * 1.5 as asked, sum(w) over () as all_w, coalesce(sum(2 * source_size) over before, 0) as capped, coalesce(sum(w) over before, 0) as capped_w
+      from r window before as (order by source_size / w, source nulls last rows between unbounded preceding and 1 preceding)),
+l as (select *, (asked - capped) / (all_w - capped_w) as level from o)
+select source, source_size, round(least(2.0 * source_size, w * coalesce((select level from l where w * level < 2 * source_size order by source_size / w, source nulls last limit 1), 1e300)), 6) as target from l
+"""
+
+
 def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: a row for each pass over a document, with the words of the blocks taken in that pass.
 

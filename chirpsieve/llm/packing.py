@@ -61,7 +61,7 @@ class Encoder:
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
-        """One for a vocabulary and process: kept with the library, it outlives a task in a reused worker."""
+        """One for a vocabulary and process. This package travels by value, its modules end with a task; kept with the library, an encoder outlives it in a reused worker."""
         import tokenizers
 
         kept = tokenizers.__dict__.setdefault("chirpsieve_encoders", {})
@@ -180,6 +180,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, e
 
 
 def op8(spark, sf_dir):
+    """The pieces of all documents, as pack() cuts them."""
     from .common import documents
 
     return pack(documents(spark, sf_dir))

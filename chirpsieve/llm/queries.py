@@ -19,8 +19,10 @@ def queries() -> dict:
         "op10_pii": pii.op10,
         "minhash_near_duplicates": minhash.all_near_duplicates,
         "media_identified": media.identified,
+        "media_payloads": media.payloads,
+        "mixing_targets": mixing.all_targets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": chat.OP5_SQL, "op6_sharding": sharding.op6_sql(), "op7_substrings": substrings.OP7_SQL}
+    return {"media_payloads": media.PAYLOADS_SQL, "mixing_targets": mixing.TARGETS_SQL, "op5_chat": chat.OP5_SQL, "op6_sharding": sharding.op6_sql(), "op7_substrings": substrings.OP7_SQL}

@@ -240,6 +240,7 @@ def similar(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
 
 
 def op3(spark, sf_dir):
+    """doc_id, fingerprint, component_id of all documents, as similar() defines them."""
     from .common import documents
 
     return similar(documents(spark, sf_dir))
@@ -355,7 +356,7 @@ def partners(n: np.ndarray, fp: np.ndarray, similarity: float) -> np.ndarray:
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, k1, k2 (keys of the text), times (rows equal in these), keep for each of docs' rows: of each group of documents whose shingle sets have Jaccard `similarity` at least, one is kept.
 
-    Groups are the components of all pairs of distinct sets that are alike.
+    Repeated rows are one row; an empty table has none. Groups are the components of all pairs of distinct sets that are alike.
     Candidates are sets that share a shingle of their prefixes (exact: no pair
     is missed). Within each candidate group, pairs go that can't be alike by size
     or by their fingerprints' chains and Hamming distance; sets that hang

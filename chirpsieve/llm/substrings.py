@@ -153,6 +153,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
 
 
 def op7(spark, sf_dir):
+    """doc_id, n_words, n_removed, kept_sha256 of all documents, as remove_repeats() defines them."""
     from .common import documents
 
     return remove_repeats(documents(spark, sf_dir))
