@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, words
 
-CLASSES, WORDS = 12, 2048
+CLASSES, WORDS = 12, 1024
 WORD_WEIGHT = 0.5  # beside byte classes, which tell more
 SAMPLE = 1500  # labelled documents of each class at most
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 15, 8
@@ -78,16 +78,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
             yield pa.RecordBatch.from_arrays([batch["quality_"], batch["doc_id"], batch["k_"], pa.array([r.tobytes() for r in m], pa.binary())], ["y", "id", "k", "x"])
 
     found = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("id_")).select("quality_", "doc_id", F.xxhash64("text").alias("k_"), "text").mapInArrow(run, "y int, id long, k long, x binary")
-    got = found.groupBy("id").agg(F.min(F.struct("k", "x", "y")).alias("r")).collect()
-    got = sorted(((r.id, r.r.x, r.r.y) for r in got), key=lambda r: r[0])
-    rows = np.stack([np.frombuffer(x, np.float32) for _, x, _ in got]) if got else np.zeros((0, TERMS), np.float32)
-    return rows, np.array([y for *_, y in got], dtype=np.float32)
+    got = found.groupBy("id").agg(F.min(F.struct("k", "x", "y")).alias("r")).select("id", "r.x", "r.y").orderBy("id")
+    # sample rows a class at most; one partition's rows at a time, so that no second copy of all is held
+    rows, y = np.zeros((ids.shape[0], TERMS), np.float32), np.zeros(ids.shape[0], np.float32)
+    n = 0
+    for r in got.toLocalIterator():
+        rows[n], y[n] = np.frombuffer(r.x, np.float32), r.y
+        n += 1
+    return rows[:n], y[:n]
 
 
 def basis_of(x: np.ndarray, dimensions: int, rounds: int = 6) -> np.ndarray:
     """The leading right singular vectors of x, by seeded subspace iteration."""
     k = min(dimensions, *x.shape)
-    q = np.random.default_rng(0).standard_normal((x.shape[1], min(k + 16, *x.shape)))
+    q = np.random.default_rng(0).standard_normal((x.shape[1], min(k + 16, *x.shape))).astype(x.dtype)
     for _ in range(rounds):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, vectors = np.linalg.eigh((x @ q).T @ (x @ q))
@@ -100,7 +104,7 @@ def fit(rows: np.ndarray, y: np.ndarray, dimensions: int = DIMENSIONS) -> dict:
     idf = np.where(seen > 0, np.log((1 + len(rows)) / (1 + seen)) + 1, 0).astype(np.float32)
     x = rows * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    basis = np.zeros((rows.shape[1], 1)) if not len(rows) else basis_of(x.astype(np.float64), dimensions)
+    basis = np.zeros((rows.shape[1], 1)) if not len(rows) else basis_of(x, dimensions)
     z = x @ basis
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
     return {"map": (idf[:, None] * basis).astype(np.float32), "z": z.astype(np.float32), "y": y}
