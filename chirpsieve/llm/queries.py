@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, media, minhash, mixing, packing, pii, quality, sharding, simhash, substrings
+from . import chat, language, media, minhash, mixing, packing, pii, quality, repair, search, sharding, simhash, substrings
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_packing": packing.op8,
         "op9_minhash": minhash.op9,
         "op10_pii": pii.op10,
+        "op11_language": language.op11,
+        "op12_repair": repair.op12,
+        "op13_search": search.op13,
         "minhash_near_duplicates": minhash.all_near_duplicates,
         "media_identified": media.identified,
         "media_payloads": media.payloads,
@@ -25,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"media_payloads": media.PAYLOADS_SQL, "mixing_targets": mixing.TARGETS_SQL, "op5_chat": chat.OP5_SQL, "op6_sharding": sharding.op6_sql(), "op7_substrings": substrings.OP7_SQL}
+    return {"media_payloads": media.PAYLOADS_SQL, "mixing_targets": mixing.TARGETS_SQL, "op5_chat": chat.OP5_SQL, "op6_sharding": sharding.op6_sql(), "op7_substrings": substrings.OP7_SQL, "op13_search": search.OP13_SQL}
