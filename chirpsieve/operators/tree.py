@@ -6,12 +6,14 @@ columns (an observation, a beam) are carried through as further group keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import frames
 from ..plans.tree import TreePlan
 
+BLOCK = 1024  # samples of a channel whose sums are made together
+
 
 def inside(wf: DataFrame, nchans: int, nsamps: int) -> DataFrame:
     """wf, whose rows raise where their channel or sample is not one of the geometry's (checked as rows pass; no job of its own)."""
@@ -21,60 +23,96 @@ def inside(wf: DataFrame, nchans: int, nsamps: int) -> DataFrame:
     return wf.withColumn("chan", F.when(F.coalesce(ok, F.lit(False)), F.col("chan")).otherwise(wrong))
 
 
-def means(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = ()) -> DataFrame:
-    """*by, chan, i_dt, w, t, v: mean of the last w + 1 samples of each channel, for each w of its grid, where they all exist.
+def means(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = (), dense: bool = False, block: int = BLOCK) -> DataFrame:
+    """*by, chan, i_dt, w, t, v: mean of the last w + 1 samples of each channel, for each w of its grid, where they all exist (dense: 0 before).
 
-    Every sample goes once to each of the cells that look back on it, so no
-    window over a whole channel is sorted; a cell holds its channel's longest
-    delay of samples, from which all its means are taken.
+    A channel is cut into blocks, each with as many samples before it as the
+    longest w, so no window is longer than that. Sums from a block's beginning
+    are made once; a mean is the difference of two of them, whatever its w. A
+    cell that is missing or repeated raises; a null sample counts as 0.
     """
     p, g = frames.channels(wf.sparkSession, plan), plan.geometry
-    longest = F.broadcast(p.groupBy("chan").agg(F.max("w").alias("most")))
-    x = inside(wf, g.nchans, g.nsamps).join(longest, "chan").withColumn("k", F.explode(F.sequence(F.lit(0), F.least("most", g.nsamps - 1 - F.col("t")).cast("int"))))
-    cells = x.groupBy(*by, "chan", (F.col("t") + F.col("k")).cast("int").alias("t")).agg(F.collect_list(F.struct("k", "x")).alias("held"))
-    held = F.filter("held", lambda e: e["k"] <= F.col("w"))
-    out = cells.join(F.broadcast(p), "chan").where(F.col("t") >= F.col("w")).withColumn("held", held).where(F.size("held") > 0)
-    return out.select(*by, "chan", "i_dt", "w", "t", (F.aggregate("held", F.lit(0.0), lambda s, e: s + e["x"]) / (F.col("w") + 1)).alias("v"))
+    reach = int(plan.levels[0].delay.max())
+    length, t = max(block, reach, 1), F.col("t")
+    last = (g.nsamps - 1) // length
+    b = F.col("block") if last else F.lit(0)
+    x = inside(wf, g.nchans, g.nsamps).select(*by, "chan", "t", F.coalesce("x", F.lit(0.0)).alias("x"))
+    if last:
+        x = x.withColumn("block", F.explode(F.sequence(F.floor(t / length).cast("int"), F.least(F.lit(last), F.floor((t + reach) / length).cast("int")))))
+    keys = (*by, "chan", "block") if last else (*by, "chan")
+    # many cells come of a sample: as many tasks as shuffles have, however few the samples' bytes are
+    x = x.repartition(int(wf.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    over = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    sums = x.select(*keys, "t", F.sum("x").over(over).alias("s"))
+    # rows of a block lie together already: nothing is shuffled here
+    packed = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "s"))).alias("held"))
+    start, stop = F.greatest(F.lit(0), b * length - reach), F.least(F.lit(g.nsamps), (b + 1) * length) - 1
+    whole = (F.size("held") == stop - start + 1) & F.forall(F.transform("held", lambda e, i: e["t"] == start + i), lambda ok: ok)
+    held = F.when(whole, F.col("held")).otherwise(F.raise_error(F.lit(f"a waterfall of {g.nchans} x {g.nsamps} is needed: a cell is missing or repeated")))
+    packed = packed.select(*by, "chan", start.alias("start"), (b * length).alias("own"), stop.alias("stop"), held["s"].alias("s"))
+    first = F.col("own") if dense else F.greatest("own", "w")
+    upto = lambda u: F.coalesce(F.get("s", u - F.col("start")), F.lit(0.0))
+    mean = lambda u: (upto(u) - upto(u - F.col("w") - 1)) / (F.col("w") + 1)
+    cells = F.transform(F.sequence(first, "stop"), lambda u: F.when(u >= F.col("w"), mean(u)).otherwise(0.0) if dense else mean(u))
+    out = packed.join(F.broadcast(p), "chan").where(first <= F.col("stop"))
+    out = out.select(*by, "chan", "i_dt", "w", first.alias("first"), F.posexplode(cells).alias("at", "v"))
+    return out.select(*by, "chan", "i_dt", "w", (F.col("first") + F.col("at")).cast("int").alias("t"), "v")
+
+
+def initial_state(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = (), dense: bool = False) -> DataFrame:
+    """*by, i_sub, i_dt, t, v: level 0, the means of each channel."""
+    return means(wf, plan, by, dense).select(*by, F.col("chan").alias("i_sub"), "i_dt", "t", "v")
 
 
-def initial_state(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = ()) -> DataFrame:
-    """*by, i_sub, i_dt, t, v: level 0, the means of each channel."""
-    return means(wf, plan, by).select(*by, F.col("chan").alias("i_sub"), "i_dt", "t", "v")
+def moved(rows: DataFrame, nsamps: int, dense: bool) -> DataFrame:
+    """Cells (t, v) moved by `shift`; what is moved beyond the end goes. dense: a row's first cell also makes the zeros before it."""
+    t, shift = F.col("t"), F.col("shift")
+    if not dense:
+        return rows.withColumn("t", (t + shift).cast("int")).where(t < nsamps)
+    rows = rows.withColumn("t", F.explode(F.when(t == 0, F.sequence(F.lit(0), shift)).otherwise(F.array(t + shift))))
+    return rows.where(t < nsamps).withColumn("v", F.when(t < shift, 0.0).otherwise(F.col("v")))
 
 
-def merge_level(state: DataFrame, plan: TreePlan, i: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """State of level i from that of level i - 1: tails, and heads moved by their offset, added up."""
+def merge_level(state: DataFrame, plan: TreePlan, i: int, by: tuple[str, ...] = (), dense: bool = False) -> DataFrame:
+    """State of level i from that of level i - 1: tails, and heads moved by their offset, added up (and so is `channels`, if there)."""
     p = F.broadcast(frames.level(state.sparkSession, plan, i))
     s = state.withColumnsRenamed({"i_sub": "src_sub", "i_dt": "src_dt"}).join(p, ["src_sub", "src_dt"])
-    s = s.withColumn("t", (F.col("t") + F.col("shift")).cast("int")).where(F.col("t") < plan.geometry.nsamps)
-    return s.groupBy(*by, F.col("out_sub").alias("i_sub"), F.col("out_dt").alias("i_dt"), "t").agg(F.sum("v").alias("v"))
-
-
-def densify(out: DataFrame, plan: TreePlan, by: tuple[str, ...] = ()) -> DataFrame:
-    """Every (trial, sample) cell, 0 where nothing contributed: zero rows join the last sum instead of an outer join."""
-    spark, n = out.sparkSession, plan.geometry.nsamps
-    # only the keys are rows beforehand: the grid is made where it is needed, not broadcast
-    keys = out.select(*by).distinct() if by else spark.range(1).select()
-    zero = keys.withColumn("i_dt", F.explode(F.sequence(F.lit(0), F.lit(len(plan.dt_grid) - 1)))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("v", F.lit(0.0))
-    full = out.select(*by, "i_dt", "t", "v").unionByName(zero.select(*by, "i_dt", "t", "v")).groupBy(*by, "i_dt", "t").agg(F.sum("v").alias("v"))
-    return full.join(F.broadcast(frames.trials(spark, plan)), "i_dt").select(*by, "i_dt", "dt", "dm", "t", "v")
-
-
-def tree_transform(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = (), dense: bool = True) -> DataFrame:
-    """*by, i_dt, dt, dm, t, v by log2(nchans) merges, each row of a band shared by all trials above it."""
-    state = initial_state(wf, plan, by)
+    more = [F.sum("channels").alias("channels")] if "channels" in state.columns else []
+    return moved(s, plan.geometry.nsamps, dense).groupBy(*by, F.col("out_sub").alias("i_sub"), F.col("out_dt").alias("i_dt"), "t").agg(F.sum("v").alias("v"), *more)
+
+
+def finished(out: DataFrame, plan: TreePlan, by: tuple[str, ...], dense: bool, absent: str) -> DataFrame:
+    """*by, i_dt, dt, dm, t, v of dense sums (*by, i_dt, t, v, channels: of how many)."""
+    g, i_dt = plan.geometry, F.col("i_dt")
+    if absent == "raise":
+        wrong = F.raise_error(F.lit(f"a waterfall of {g.nchans} x {g.nsamps} is needed: a channel is missing")).cast("double")
+        out = out.withColumn("v", F.when(F.col("channels") != g.nchans, wrong).otherwise(F.col("v")))
+    elif absent != "zero":
+        raise ValueError("absent channels raise, or count as zero")
+    if not dense:
+        out = out.where(F.col("t") >= F.get(F.lit([int(x) for x in plan.lowest()]), i_dt))
+    dt = (F.lit(int(plan.dt_grid[0])) + i_dt * g.dt_step).cast("int")
+    return out.select(*by, "i_dt", dt.alias("dt"), (dt * F.lit(g.dm_step)).alias("dm"), "t", "v")
+
+
+def tree_transform(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = (), dense: bool = True, absent: str = "raise") -> DataFrame:
+    """*by, i_dt, dt, dm, t, v by log2(nchans) merges, each row of a band shared by all trials above it.
+
+    Cells that no sample reaches are 0 (dense=False: left out). A cell that is
+    missing or repeated raises, and so does a channel without any, unless
+    absent="zero"; a key without rows has none.
+    """
+    state = initial_state(wf, plan, by, True).withColumn("channels", F.lit(1).cast("long"))
     for i in range(1, plan.geometry.niters + 1):
-        state = merge_level(state, plan, i, by)
-    out = state.drop("i_sub")
-    return densify(out, plan, by) if dense else out.join(F.broadcast(frames.trials(wf.sparkSession, plan)), "i_dt").select(*by, "i_dt", "dt", "dm", "t", "v")
+        state = merge_level(state, plan, i, by, True)
+    return finished(state.drop("i_sub"), plan, by, dense, absent)
 
 
-def flat_transform(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = (), dense: bool = True) -> DataFrame:
+def flat_transform(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = (), dense: bool = True, absent: str = "raise") -> DataFrame:
     """The same in one join and one sum; for small grids (frames.MOST_FLAT)."""
     p = F.broadcast(frames.flat(wf.sparkSession, plan).select("i_dt", "chan", "w", "shift"))
-    x = means(wf, plan, by).drop("i_dt").join(p, ["chan", "w"]).withColumn("t", (F.col("t") + F.col("shift")).cast("int")).where(F.col("t") < plan.geometry.nsamps)
-    out = x.groupBy(*by, "i_dt", "t").agg(F.sum("v").alias("v"))
-    return densify(out, plan, by) if dense else out.join(F.broadcast(frames.trials(wf.sparkSession, plan)), "i_dt").select(*by, "i_dt", "dt", "dm", "t", "v")
+    x = moved(means(wf, plan, by, True).drop("i_dt").join(p, ["chan", "w"]), plan.geometry.nsamps, True)
+    return finished(x.groupBy(*by, "i_dt", "t").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("channels")), plan, by, dense, absent)
 
 
 def check_waterfall(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = ()) -> None:

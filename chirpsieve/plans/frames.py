@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .geometry import DirectGeometry
@@ -14,7 +15,10 @@ MOST_FLAT = 2_000_000
 
 
 def _frame(spark: SparkSession, columns: dict, schema: str) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame(columns), schema)
+    """From Arrow: a relation that the driver holds, so broadcasting it needs no job."""
+    kinds = {"int": pa.int32(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    return spark.createDataFrame(pa.table({n: pa.array(columns[n], kinds[k]) for n, k in fields}), schema)
 
 
 def flat(spark: SparkSession, plan: TreePlan) -> DataFrame:

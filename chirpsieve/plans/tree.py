@@ -145,6 +145,13 @@ class TreePlan:
             reach = np.maximum(reach[level.tail], up)
         return int(reach.max())
 
+    def lowest(self) -> np.ndarray:
+        """For each trial, the first sample that any channel reaches."""
+        low = self.levels[0].delay
+        for level in self.levels[1:]:
+            low = np.minimum(low[level.tail], np.where(level.head >= 0, low[level.head] + level.offset, low[level.tail]))
+        return low
+
     def cost(self) -> tuple[int, int]:
         """Row operations of the tree and of the flat form, for each sample."""
         merges = sum(len(x.delay) for x in self.levels[1:])

@@ -227,7 +227,7 @@ def _recovered(spark, sf):
     return _rounded(pulse.peak(out), "dm", "v")
 
 
-# The embeddings' queries over every vector: query, form, geometry.
+# The embeddings' queries over every vector: query, form, geometry. The last observation may lack channels.
 WHOLE = [
     ("tree_flat_embeddings", tree.flat_transform, "small"), ("tree_embeddings", tree.tree_transform, "small"), ("tree_wide_embeddings", tree.tree_transform, "wide"),
     ("tree_stepped_embeddings", tree.tree_transform, "stepped"), ("tree_one_channel", tree.tree_transform, "one"), ("tree_two_channels", tree.tree_transform, "two"),
@@ -236,11 +236,11 @@ WHOLE = [
 
 def whole_queries() -> dict:
     emb, by = waterfall.embeddings, ("obs",)
-    out = {q: lambda s, d, f=f, name=name: _shown(f(emb(s, d, GEOMETRIES[name].nchans), plan(name), by)) for q, f, name in WHOLE}
+    out = {q: lambda s, d, f=f, name=name: _shown(f(emb(s, d, GEOMETRIES[name].nchans), plan(name), by, absent="zero")) for q, f, name in WHOLE}
     return out | {
         "tree_blocks_embeddings": _blocks,
         "tree_init_embeddings": lambda s, d: _rounded(tree.initial_state(emb(s, d, 8), plan("small"), by), "v"),
-        "direct_embeddings": lambda s, d: _rounded(direct.direct_transform(emb(s, d, 4), DIRECT, 64, by), "v"),
+        "direct_embeddings": lambda s, d: _rounded(direct.direct_transform(emb(s, d, 4), DIRECT, 64, by, absent="zero"), "v"),
     }
 
 

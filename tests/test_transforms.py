@@ -225,6 +225,7 @@ def test_scan_is_pruned(spark):
     p = TreePlan(Geometry(1000, 1500, 8, 64, 0.001, 16))
     q = tree.tree_transform(waterfall.embeddings(spark, "/root/testdata/sf0.001", 8), p, ("obs",))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in q and "SortMergeJoin" not in q
+    assert q.count("FileScan") == 1 and q.count("Exchange hashpartitioning") == 1 + 3  # means, and a sum for each merge
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -308,24 +309,46 @@ def test_inputs_of_another_shape_raise(spark):
     for bad in (wf.where("not (obs = 1 and chan = 2)"), wf.where("t < 15"), wf.limit(0), wf.union(wf.limit(1))):
         with pytest.raises(ValueError):
             tree.check_waterfall(bad, p, ("obs",))
+    for bad in (wf.where("not (obs = 1 and chan = 2)"), wf.where("t < 15"), wf.where("not (obs = 0 and chan = 1 and t = 7)"), wf.union(wf.where("obs = 0 and chan = 0 and t = 9")), wf.union(wf)):
+        for run in (tree.tree_transform, tree.flat_transform):
+            with pytest.raises(Exception, match="4 x 16 is needed"):
+                run(bad, p, ("obs",)).collect()
+        with pytest.raises(Exception, match="4 x 16 is needed"):
+            direct.direct_transform(bad, DirectGeometry(1000, 1500, 4, 0.001, (0.0, 2.0)), 16, ("obs",)).collect()
+    assert tree.tree_transform(wf.limit(0), p, ("obs",)).count() == 0
+    lacking = wf.where("not (obs = 1 and chan in (0, 2))")
+    got = {(r.obs, r.i_dt, r.t): r.v for r in tree.tree_transform(lacking, p, ("obs",), absent="zero").collect()}
+    m = np.ones((4, 16))
+    m[[0, 2]] = 0
+    for o, x in ((0, np.ones((4, 16))), (1, m)):
+        for (i, t), v in np.ndenumerate(blocks.transform_matrix(x, p)):
+            assert abs(got[o, i, t] - v) < 1e-9
     packed = spark.createDataFrame([(4, 0, [1.0] * 16)], "chan int, block long, x array<float>")
     with pytest.raises(Exception, match="channels 0 to 3"):
         blocks.tree_blocks(packed, p, 16).collect()
 
 
-def test_means_are_those_of_a_loop(spark):
-    """Gaps count as nothing but as part of the divisor, and nothing is made where no sample stands."""
+@pytest.mark.parametrize("block", [1, 7, 24, 1024])
+def test_means_are_those_of_a_loop(spark, block):
     p = TreePlan(Geometry(1000, 1500, 4, 24, 0.001, 20))
-    x = {(c, t): float(c * 100 + t) for c in range(4) for t in range(24) if (c + t) % 5 != 2 and not (c == 1 and t < 9)}
+    x = {(c, t): float(c * 100 + t * t) for c in range(4) for t in range(24)}
     wf = spark.createDataFrame([(c, t, v) for (c, t), v in x.items()], "chan int, t int, x double")
-    got = {(r.i_sub, r.i_dt, r.t): r.v for r in tree.initial_state(wf, p).collect()}
-    base, want = p.levels[0], {}
-    for c, i, w in zip(base.band.tolist(), base.index.tolist(), base.delay.tolist()):
-        for t in range(w, 24):
-            held = [x[c, u] for u in range(t - w, t + 1) if (c, u) in x]
-            if held:
-                want[c, i, t] = sum(held) / (w + 1)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    base = p.levels[0]
+    for dense in (False, True):
+        got = {(r.chan, r.i_dt, r.t): r.v for r in tree.means(wf, p, (), dense, block).collect()}
+        want = {}
+        for c, i, w in zip(base.band.tolist(), base.index.tolist(), base.delay.tolist()):
+            for t in range(0 if dense else w, 24):
+                want[c, i, t] = sum(x[c, u] for u in range(t - w, t + 1)) / (w + 1) if t >= w else 0.0
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_work_on_means_does_not_grow_with_the_square_of_the_delay(spark):
+    """A sample is shuffled once, plus once for the block behind it; not once for each cell that looks back on it."""
+    wf = spark.range(256).selectExpr("0 as chan", "cast(id as int) as t", "double(id) as x")
+    p = TreePlan(Geometry(1000, 1500, 1, 256, 0.001, 63))
+    plan = tree.means(wf, p)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate explode(sequence" not in plan.split("Exchange hashpartitioning")[1]
 
 
 def test_direct_class_takes_masks_and_frames_without_length(spark):
