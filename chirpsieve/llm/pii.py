@@ -11,6 +11,8 @@ themselves; those draw again until all are distinct.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from .common import boxed, materialize
 
 # Titles that a name of up to six words follows.
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Господин|Госпожа|Κύριος|Κυρία"
+# Words that end a name in front of them, capitals or not.
+STOPS = "And|The|Of|At|In|On|For|From|To|With|By|But|Or|Is|Was|Has|He|She|They|It|We|You|His|Her|Our|Who|Und|Der|Die|Das|Mit|Von|Aus|Ist|Et|Le|La|Les|Des|Du|Avec|Est|Y|El|Los|Las|Con|Es"
 # A word of a name, to its end: inner capitals, hyphens and apostrophes belong to it, a final 's doesn't.
 NAME_WORD = r"\p{Lu}(?:['’]\p{L}++|[\p{L}\p{M}]++)(?:-\p{L}++|['’]\p{Lu}[\p{L}\p{M}]*+)*+"
 # Words that end the name of a street.
@@ -35,7 +39,7 @@ PATTERNS = {
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "street": rf"(?<![\p{{L}}\d])\d{{1,5}}[a-z]?+ {NAME_WORD} (?:{STREETS})\b",
     "strasse": r"(?<!\p{L})\p{Lu}\p{Ll}++(?<=straße|strasse|weg|platz) \d{1,4}[a-z]?+(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:(?:{TITLES})\.? ){{1,3}}+(?!(?:{TITLES})\b){NAME_WORD}(?: (?!(?:{TITLES})\b){NAME_WORD}){{0,5}}+",
+    "name": rf"(?<!\p{{L}})(?:(?:{TITLES})\.? ){{1,3}}+(?!(?:{TITLES}|{STOPS})\b){NAME_WORD}(?: (?!(?:{TITLES}|{STOPS})\b){NAME_WORD}){{0,5}}+",
 }
 # Titles of women and of either, and country codes of one and two digits (the others have three).
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа|Κυρία)\b"
@@ -81,6 +85,8 @@ PATTERN = (
     "(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS[k] for k in LETTERED) + ")"
     + r"|(?=[+(\d])(?:" + "|".join(p for k, p in PATTERNS.items() if k not in LETTERED) + ")"
 )
+# In a text with a name: any other word that begins with a capital may be a part of it, standing alone.
+WIDE = PATTERN + r"|(?<![\p{L}\p{M}])" + NAME_WORD
 # Every pattern needs one of these signs or words.
 SIGNS = "[0-9@=:]"
 NEEDED = ["AKIA", "ASIA", *TITLES.split("|")]  # all others have a digit or a sign
@@ -100,13 +106,22 @@ def luhn_sum(v: Column) -> Column:
     return F.aggregate(at, F.lit(0), lambda s, i: s + F.when(i % 2 == 0, twice(i)).otherwise(d(i)))
 
 
+def mod97(v: Column) -> Column:
+    """An account number's remainder: letters count 10 to 35, the first four characters come last; 1 where its check digits are right."""
+    turned = F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, F.lit(1), F.lit(4)))
+    value = lambda c: F.coalesce(c.try_cast("int"), F.ascii(c) - 55)
+    return F.aggregate(chars(turned), F.lit(0), lambda s, c: (s * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+
+
 def kind_of(v: Column) -> Column:
-    """The kind of a match of PATTERN; null for numbers that only look like one (a card's check digit or issuer, an address's bytes)."""
+    """The kind of a match of PATTERN; null for numbers that only look like one (check digits of cards and accounts, a card's issuer, an address's bytes)."""
     out = None
     for kind, p in PATTERNS.items():
         hit = v.rlike(f"^(?:{p})$")
         if kind == "card":
             hit &= v.rlike("^[2-6]") & (luhn_sum(v) % 10 == 0)
+        if kind == "iban":
+            hit = F.when(hit, mod97(F.replace(v, F.lit(" "), F.lit(""))) == 1).otherwise(False)
         if kind == "ip":
             hit &= F.forall(F.split(v, r"\."), lambda x: x.try_cast("int") < 256)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
@@ -200,9 +215,16 @@ def _surrogate(v: Column, attempt: Column, kind: Column, d: Column, e: Column, k
     strasse = F.concat(invented("surname", F.lit("latin"), e), part(r"(straße|strasse|weg|platz) "), F.lit(" "), alike(part(r" (\S+)$"), d))
     out = out.when(kind == "street", street).when(kind == "strasse", strasse)
     out = out.when(kind == "access_key", F.concat(F.substring(v, 1, 4), alike(part("^.{4}(.*)$"), d))).when(kind == "ssn", F.concat(F.lit("9"), alike(part("^.(.*)$"), d)))
-    return out.when(kind == "iban", F.concat(F.substring(v, 1, 2), alike(part("^..(.*)$"), d))).otherwise(alike(v, d))
+    return out.when(kind == "iban", account(F.substring(v, 1, 2), alike(part("^....(.*)$"), d))).otherwise(alike(v, d))
+
+
+def account(country: Column, body: Column) -> Column:
+    """An account number with the check digits that its country and body ask for."""
+    return let(F.concat(country, F.lit("00"), body), lambda x: F.concat(F.substring(x, F.lit(1), F.lit(2)), F.lpad((98 - mod97(x)).cast("string"), 2, "0"), F.substring(x, F.lit(5), F.length(x))))
 
 
+# Pieces of a word, and the signs between them.
+JOINTS = "(?<=[-'’])|(?=[-'’])"
 SECRET = r"^(\w+ *[=:] *[\"']?)(.*?)([\"']?)$"
 
 
@@ -212,17 +234,21 @@ def refill(v: Column, s: Column, signs: str) -> Column:
     return F.array_join(F.transform(chars(v), lambda c, i: F.when(c.rlike(f"[{signs}]"), F.substring(s, so_far(i), F.lit(1))).otherwise(c)), "")
 
 
-def formatted(v: Column, kind: Column, parts: Column, drawn: Column) -> Column:
-    """The surrogate of an entity in its own format. drawn: map of kind:normal to the surrogate of that normal form."""
-    of = lambda p: F.try_element_at(drawn, F.concat_ws(":", p["kind"], p["normal"]))
-    s = of(F.element_at(parts, 1))
+def formatted(v: Column, kind: Column, drawn: Column) -> Column:
+    """The surrogate of an entity in its own format. drawn: the surrogates of its parts, in order.
+
+    Of a `word` these are its own and those of its pieces (JOINTS), null where there is none.
+    """
+    s = F.get(drawn, F.lit(0))
     # code, brackets and leading zeros of a phone number stay
     lead = F.regexp_extract(v, "(" + COUNTRY + r"[ .(-]*0*|^[ .(-]*0*)", 1)
-    loud = lambda p, w: F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(of(p))).otherwise(of(p))
-    names = F.array_join(F.zip_with(parts, name_words(v), loud), " ")
+    loud = lambda p, w: F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(p)).otherwise(p)
+    names = F.array_join(F.zip_with(drawn, name_words(v), loud), " ")
     out = F.when(kind == "phone", F.concat(lead, refill(F.substring(v, F.length(lead) + 1, F.length(v)), s, "0-9"))).when(kind.isin("card", "ssn"), refill(v, s, "0-9"))
     out = out.when(kind == "iban", refill(v, s, "A-Z0-9")).when(kind == "secret", F.concat(F.regexp_extract(v, SECRET, 1), s, F.regexp_extract(v, SECRET, 3)))
-    return out.when(kind == "name", F.concat(F.regexp_extract(v, rf"^((?:(?:{TITLES})\.? )+)", 1), names)).when(kind == "word", loud(F.element_at(parts, 1), v)).when(kind.isNull(), v).otherwise(s)
+    pieces = F.array_join(F.zip_with(F.slice(drawn, F.lit(2), F.size(drawn)), F.split(v, JOINTS), lambda p, w: F.coalesce(loud(p, w), w)), "")
+    word = F.when(s.isNotNull(), loud(s, v)).when(F.size(drawn) > 1, pieces).otherwise(v)
+    return out.when(kind == "name", F.concat(F.regexp_extract(v, rf"^((?:(?:{TITLES})\.? )+)", 1), names)).when(kind == "word", word).otherwise(s)
 
 
 def resolve(values: DataFrame, key: str, rounds: int = 40) -> DataFrame:
@@ -263,31 +289,35 @@ def entities(matches: Column) -> Column:
     return F.transform(typed, lambda e: F.struct(e["v"].alias("v"), e["kind"].alias("kind"), parts_of(e["v"], e["kind"]).alias("parts")))
 
 
-def with_bare_names(d: DataFrame) -> DataFrame:
-    """(text, ents) -> adds pattern, and to ents the words of a document's names where they stand without their title."""
-    named = F.filter("ents", lambda e: e["kind"] == "name")
-    mentioned = F.flatten(F.transform(named, lambda e: F.zip_with(name_words(e["v"]), e["parts"], lambda w, p: F.struct(w.alias("w"), p.alias("p")))))
-    d = d.withColumn("mentioned", mentioned)
-    # name words are letters, hyphens and apostrophes: no sign of theirs needs quoting
-    words = F.array_join(F.array_distinct(F.transform("mentioned", lambda x: x["w"])), "|")
-    bare = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{M}])(?=\p{Lu})(?:"), words, F.lit(r")(?![\p{L}\p{M}])"))
-    d = d.withColumn("pattern", F.when(F.size("mentioned") > 0, bare).otherwise(PATTERN))
-    # a word that is some name's surname counts as that
-    surnames = F.filter("mentioned", lambda x: x["p"]["kind"] == "surname")
-    part = lambda v: F.element_at(F.filter(F.concat(surnames, F.col("mentioned")), lambda x: x["w"] == v), 1)["p"]
-    known = lambda v: F.exists("mentioned", lambda x: x["w"] == v)
-    again = F.transform(entities(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))), lambda e: F.when(e["kind"].isNull() & known(e["v"]), F.struct(e["v"].alias("v"), F.lit("word").alias("kind"), F.array(part(e["v"])).alias("parts"))).otherwise(e))
-    return d.withColumn("ents", F.when(F.size("mentioned") > 0, again).otherwise(F.col("ents")))
+def parts_in_place(some: DataFrame) -> DataFrame:
+    """number, pos, idx, v (or null), kind, part: every part of the matches of texts (number, ents), in place; part is null where there is no entity.
+
+    A match without a kind may be the word of a name that the same text has
+    behind a title, as a whole (idx 0) or by its pieces (1, 2, ...): an equi-join on the text's number and the word finds it. Where words of
+    given names and surnames are the same, the surname counts, then the first.
+    """
+    e = materialize(some.select("number", F.posexplode("ents").alias("pos", "e")).select("number", "pos", "e.*"))
+    typed = e.where("kind is not null").select("number", "pos", F.posexplode("parts").alias("idx", "part"), "v", "kind").select("number", "pos", "idx", "v", "kind", "part")
+    first = F.min(F.struct((F.col("part.kind") != "surname").alias("given"), "pos", "idx", "part")).alias("m")
+    named = typed.where("kind = 'name'").groupBy(F.col("number").alias("n_"), F.get(name_words(F.col("v")), F.col("idx")).alias("w_")).agg(first).select("n_", "w_", "m.part")
+    bare = e.where("kind is null").select("number", "pos", "v")
+    # rows of pieces are without v, which may be as long as a text
+    pieces = bare.where(F.col("v").rlike("[-'’]")).select("number", "pos", F.posexplode(F.split("v", JOINTS)).alias("idx", "w")).withColumn("idx", F.col("idx") + 1)
+    bare = bare.select("number", "pos", F.lit(0).alias("idx"), F.col("v").alias("w"), "v").unionByName(pieces.withColumn("v", F.lit(None).cast("string")))
+    bare = bare.join(named, (F.col("number") == F.col("n_")) & (F.col("w") == F.col("w_")), "left")
+    return typed.unionByName(bare.select("number", "pos", "idx", "v", F.lit("word").alias("kind"), "part"))
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_entities") -> DataFrame:
     """docs with entities of `text` replaced, and their number as `count` behind its columns.
 
     Null and empty texts stay as they are, with 0 entities. Each text is
-    searched once; rows without an entity pass by without a shuffle. Rows have
-    a number of their own, so repeated rows and null keys are no matter, and
-    columns may have any names (but `count`, which raises). A text of any
-    length is searched without recursion.
+    searched once, and once more by a wider pattern if it has a name; rows
+    without an entity pass by without a shuffle. Rows have a number of their
+    own, so repeated rows and null keys are no matter, and columns may have any
+    names (but `count`, which raises). A text of any length, with any number of
+    names, is searched without recursion and in time linear in both: what is
+    drawn comes back to its place by joins.
     """
     if count in docs.columns:
         raise ValueError(f"docs have a column {count}: name another for the number of entities")
@@ -295,20 +325,29 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_
     d = d.select("row", F.when(F.size("matches") > 0, F.col("text")).alias("text"), F.when(F.size("matches") > 0, entities(F.col("matches"))).alias("ents"))
     d = materialize(d.withColumn("some", F.coalesce(F.exists("ents", lambda e: e["kind"].isNotNull()), F.lit(False))))
     clean = d.where("not some").select("row.*", F.lit(0).alias(count))
-    some = materialize(with_bare_names(d.where("some").withColumn("number", F.monotonically_increasing_id())).select("row", "text", "number", "pattern", "ents"))
-    parts = some.select("number", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("ents", lambda e: e["kind"].isNotNull()), lambda e: e["parts"])))).alias("part")).select("number", "part.kind", "part.normal")
-    drawn = resolve(parts.select("kind", "normal").distinct(), key)
-    per = parts.join(drawn, ["kind", "normal"]).groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "normal").alias("k"), "s"))).alias("drawn"))
-    some = some.join(per, "number")
-    gaps = F.split("text", F.col("pattern"), -1)
-    put = F.transform("ents", lambda e: formatted(e["v"], e["kind"], e["parts"], F.col("drawn")))
-    joined = F.array_join(F.zip_with(gaps, F.concat(put, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
+    named = F.exists("ents", lambda e: e["kind"] == "name")
+    some = d.where("some").select("row", "text", named.alias("named"), F.when(named, entities(F.regexp_extract_all("text", F.lit(WIDE), F.lit(0)))).otherwise(F.col("ents")).alias("ents"))
+    some = materialize(some.withColumn("number", F.monotonically_increasing_id()))
+    parts = materialize(parts_in_place(some))
+    drawn = resolve(parts.where("part is not null").select("part.kind", "part.normal").distinct(), key).withColumnsRenamed({"kind": "k_", "normal": "v_"})
+    placed = parts.join(drawn, (F.col("part.kind") == F.col("k_")) & (F.col("part.normal") == F.col("v_")), "left").select("number", "pos", "idx", "v", "kind", "s")
+    # a text's parts, then its matches, come together in one shuffle
+    each = placed.repartition("number").groupBy("number", "pos").agg(F.first("v", True).alias("v"), F.first("kind").alias("kind"), F.sort_array(F.collect_list(F.struct("idx", "s")))["s"].alias("s"))
+    each = each.select("number", "pos", F.exists("s", lambda x: x.isNotNull()).alias("hit"), formatted(F.col("v"), F.col("kind"), F.col("s")).alias("put"))
+    per = each.groupBy(F.col("number").alias("n_")).agg(F.sort_array(F.collect_list(F.struct("pos", "put")))["put"].alias("put"), F.count_if("hit").cast("int").alias("hits_"))
+    some = some.join(per, F.col("number") == F.col("n_"))
+    gaps = F.when(F.col("named"), F.split("text", F.lit(WIDE), -1)).otherwise(F.split("text", F.lit(PATTERN), -1))
+    joined = F.array_join(F.zip_with(gaps, F.concat("put", F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
     columns = [joined.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return clean.unionByName(some.select(*columns, F.size(F.filter("ents", lambda e: e["kind"].isNotNull())).alias(count)))
+    return clean.unionByName(some.select(*columns, F.col("hits_").alias(count)))
 
 
 def session_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, DEMONSTRATION_KEY)
+    """The session's secret key; without one a key that is no secret, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        logging.getLogger(__name__).warning("%s is not set: surrogates are drawn from a key that anybody can read", KEY_SETTING)
+    return key or DEMONSTRATION_KEY
 
 
 def op10(spark, sf_dir):

@@ -685,12 +685,28 @@ def test_surrogates_stay_distinct_and_names_look_like_names(spark):
     assert sum("-" in x for x in out) < n // 2
 
 
+def test_account_numbers_have_check_digits(spark):
+    texts = ["DE89370400440532013000 GB29 NWBK 6016 1331 9268 19", "DE00370400440532013000 stays", "Mr Smith And The Whole Big Company Of London"]
+    out = pii_texts(spark, texts)
+    for v in re.fullmatch(r"(DE\d{20}) (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d)", out[0]).groups():
+        v = v.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    assert out[1] == texts[1] and "370400440532013000" not in out[0] and out[2].endswith(" And The Whole Big Company Of London") and "Smith" not in out[2]
+
+
 def test_texts_of_a_megabyte(spark):
     """Nothing recurses or grows with the square of a text."""
     n = 1 << 20
     say = lambda x: (x * (n // len(x) + 1))[:n]
     texts = ["x@a" + say(".a"), say("a") + "@b.c", say("1"), say("é"), say("@"), say(" "), say("Mr "), say("Mr A"), "Mr " + say("Aa "), "Mr Aa" + say("-a"), "token=" + say("a1"), say("1.1."), say("+1 "), say("(111) "), say("A"), say("Aa-'"), say("1-"), "DE12" + say(" ABCD")]
+    # 40,000 names, each in a text once behind a title and once bare, and a word with many pieces
+    names = [f"B{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 17576)}" for i in range(40_000)]
+    texts += [" ".join(f"Mr {x} spoke." for x in names) + " " + " ".join(names), "Mr Ab and Ab" + "-Ab" * 100_000]
     out = pii_texts(spark, texts)
+    told, bare = out[-2].split(". B")[0], out[-2].split(" ")[-40_000:]
+    assert not set(names) & set(out[-2].replace(".", " ").split()) and len(set(bare)) == 40_000 and told.startswith(f"Mr {bare[0]} spoke. Mr {bare[1]} spoke.")
+    new = re.match(r"Mr (\w+) and", out[-1])[1]
+    assert new != "Ab" and out[-1] == f"Mr {new} and {new}" + f"-{new}" * 100_000
     assert len(out) == len(texts) and len(out[1]) > n
     for i in (2, 3, 4, 5, 6):
         assert out[i] == texts[i]
