@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.geometry import DirectGeometry
 from ..plans.tree import TreePlan
+from ..sources.recording import read_recording
 
 
 def channel_means(x: np.ndarray, plan: TreePlan) -> np.ndarray:
@@ -43,10 +44,16 @@ def channel_means(x: np.ndarray, plan: TreePlan) -> np.ndarray:
 
 
 def run_levels(state: np.ndarray, plan: TreePlan) -> np.ndarray:
-    """All merges of one block in memory, row by row into the next level."""
+    """All merges of one block in memory, row by row into the next level.
+
+    Two buffers take turns, so that no level touches new memory. A row's sources
+    are read while they are in the cache: gathers of many rows of one offset
+    made copies of both and took longer (README).
+    """
     n = state.shape[1]
-    for level in plan.levels[1:]:
-        out = np.empty((len(level.tail), n), dtype=state.dtype)
+    turns = [np.empty((max(len(x.tail) for x in plan.levels[k::2]), n), dtype=state.dtype) if len(plan.levels) > k else None for k in (1, 2)]
+    for i, level in enumerate(plan.levels[1:]):
+        out = turns[i % 2][: len(level.tail)]
         for row, (tail, head, off) in enumerate(zip(level.tail.tolist(), level.head.tolist(), level.offset.tolist())):
             if head < 0 or off >= n:
                 out[row] = state[tail]
@@ -80,13 +87,21 @@ def with_halo(packed: DataFrame, halo: int, length: int, nchans: int, by: tuple[
     return packed.select(*by, "chan", F.explode(F.array(*parts)).alias("part")).select(*by, "chan", "part.block", "part.x", "part.lag")
 
 
-def _matrix(table: pa.Table, nchans: int, halo: int, length: int, real) -> tuple[np.ndarray, int, int] | None:
+def _matrix(table: pa.Table, nchans: int, halo: int, length: int, real, absent: str) -> tuple[np.ndarray, int, int] | None:
     """A block's samples behind those before it: the matrix, the block's own length, and how many samples before it exist."""
     chan, lag, lists = table["chan"].to_numpy(), table["lag"].to_numpy(), table["x"].combine_chunks()
-    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    if pa.types.is_binary(lists.type):  # float32 samples as they lie in memory
+        ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1] // 4
+        values = np.frombuffer(lists.buffers()[2], np.float32)
+    else:
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
     own = np.flatnonzero(lag == 0)
     if not len(own):
         return None  # only the tail of the last block came here
+    mine = np.bincount(chan[own], minlength=nchans)
+    if mine.max() > 1 or absent == "raise" and (mine.min() < 1 or len(set((ends[1:] - ends[:-1])[own].tolist())) > 1):
+        raise ValueError(f"a block needs each of {nchans} channels once, all of one length")
     n = int((ends[1:] - ends[:-1])[own].max())
     m, known = np.zeros((nchans, halo + n), dtype=real), 0
     for c, k, a, b in zip(chan.tolist(), lag.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
@@ -113,17 +128,15 @@ def _schema(packed: DataFrame, by: tuple[str, ...], more: str) -> str:
     return ", ".join([*(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in (*by, "block")), more])
 
 
-def tree_blocks(packed: DataFrame, plan: TreePlan, length: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """*by, block, i_dt, dt, dm, v (an array of the geometry's precision): the tree transform of a recording of any length.
-
-    The first block ramps up from zero samples, as one matrix would. Channels
-    that a block lacks count as zeros.
-    """
+def _tree_of(plan: TreePlan, length: int, absent: str):
+    """A function from a block's table (keys, block, chan, lag, x) to the table of its trials."""
+    if absent not in ("raise", "zero"):
+        raise ValueError("absent channels raise, or count as zero")
     halo, nchans, trials, dms = plan.halo(), plan.geometry.nchans, plan.dt_grid.astype(np.int32), plan.dm_grid
-    real, kind = (np.float32, "float") if plan.geometry.precision == "float32" else (np.float64, "double")
+    real = np.float32 if plan.geometry.precision == "float32" else np.float64
 
-    def run(table: pa.Table) -> pa.Table:
-        got = _matrix(table, nchans, halo, length, real)
+    def run(table: pa.Table, by: tuple[str, ...]) -> pa.Table:
+        got = _matrix(table, nchans, halo, length, real, absent)
         rows, v = (len(trials), None) if got else (0, np.zeros((0, 1), real))
         if got:
             m, n, known = got
@@ -131,14 +144,48 @@ def tree_blocks(packed: DataFrame, plan: TreePlan, length: int, by: tuple[str, .
             v = run_levels(channel_means(m, plan), plan)[:, m.shape[1] - n :]
         return _answer(table, by, rows, {"i_dt": pa.array(np.arange(rows, dtype=np.int32)), "dt": pa.array(trials[:rows]), "dm": pa.array(dms[:rows]), "v": _lists(v)})
 
-    return with_halo(packed, halo, length, nchans, by).groupBy(*by, "block").applyInArrow(run, _schema(packed, by, f"i_dt int, dt int, dm double, v array<{kind}>"))
+    return run, f"i_dt int, dt int, dm double, v array<{'float' if real is np.float32 else 'double'}>"
+
+
+def tree_blocks(packed: DataFrame, plan: TreePlan, length: int, by: tuple[str, ...] = (), absent: str = "raise") -> DataFrame:
+    """*by, block, i_dt, dt, dm, v (an array of the geometry's precision): the tree transform of a recording of any length.
+
+    The first block ramps up from zero samples, as one matrix would. A block
+    with a channel twice raises, and so does one without a channel, or with
+    rows of several lengths, unless absent="zero".
+    """
+    run, columns = _tree_of(plan, length, absent)
+    rows = with_halo(packed, plan.halo(), length, plan.geometry.nchans, by)
+    return rows.groupBy(*by, "block").applyInArrow(lambda table: run(table, by), _schema(packed, by, columns))
+
+
+def tree_recording(spark: SparkSession, path: str, plan: TreePlan, length: int, absent: str = "raise") -> DataFrame:
+    """obs, block, i_dt, dt, dm, v: the same of a recording as sources.recording has it, whose blocks have `length` samples; nothing is shuffled."""
+    run, columns = _tree_of(plan, length, absent)
+
+    def blocks(batches):
+        held, key = [], None
+        for batch in batches:  # a task has whole blocks, one after the other
+            if not batch.num_rows:
+                continue
+            now = (batch["obs"][0].as_py(), batch["block"][0].as_py())
+            if held and now != key:
+                yield from run(pa.Table.from_batches(held), ("obs",)).to_batches()
+                held = []
+            key = now
+            held.append(batch)
+        if held:
+            yield from run(pa.Table.from_batches(held), ("obs",)).to_batches()
+
+    return read_recording(spark, path, plan.halo(), True).mapInArrow(blocks, f"obs long, block long, {columns}")
 
 
-def direct_blocks(packed: DataFrame, g: DirectGeometry, length: int, by: tuple[str, ...] = (), masked: tuple[int, ...] = ()) -> DataFrame:
+def direct_blocks(packed: DataFrame, g: DirectGeometry, length: int, by: tuple[str, ...] = (), masked: tuple[int, ...] = (), absent: str = "raise") -> DataFrame:
     """*by, block, i_dm, dm, first, v array<double>: the direct transform, `first` being the block-relative sample of v[0].
 
     Cells that would need samples before the recording are left out, as in one
-    matrix; masked channels count as zeros.
+    matrix; masked channels count as zeros, and with absent="zero" so do those
+    that a block lacks.
     """
     d = g.delays()
     halo = int(np.abs(d).max())
@@ -147,7 +194,7 @@ def direct_blocks(packed: DataFrame, g: DirectGeometry, length: int, by: tuple[s
     dms, used = np.array(g.dms), [c for c in range(g.nchans) if c not in masked]
 
     def run(table: pa.Table) -> pa.Table:
-        got = _matrix(table, g.nchans, halo, length, np.float64)
+        got = _matrix(table, g.nchans, halo, length, np.float64, absent)
         rows, skip, v = 0, 0, np.zeros((0, 1))
         if got:
             m, n, known = got

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dispersion import delay_seconds
@@ -24,13 +24,19 @@ def simulate_pulse(spark: SparkSession, f_min: float, f_max: float, nchans: int,
 
 
 def peak(out: DataFrame, row: str = "i_dt", k: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
-    """The k largest cells, ties by trial then sample (by: one best of each key, k must be 1). Nulls never win."""
-    if by:
-        if k != 1:
-            raise ValueError("by a key only the best cell is kept")
+    """The k largest cells (of each key, if any), ties by trial then sample. Nulls never win; fewer cells than k are all there.
+
+    With keys and k > 1 each task keeps the k best of a key before the shuffle
+    (for k up to 1,000), so a key of any size sends k rows a task.
+    """
+    out = out.where("v is not null")
+    if by and k == 1:
         best = F.max(F.struct(F.col("v"), -F.col(row), -F.col("t"))).alias("b")
-        return out.where("v is not null").groupBy(*by).agg(best).select(*by, (-F.col(f"b.col2")).alias(row), (-F.col("b.col3")).alias("t"), F.col("b.v").alias("v"))
-    return out.where("v is not null").orderBy(F.desc("v"), row, "t").limit(k)
+        return out.groupBy(*by).agg(best).select(*by, (-F.col("b.col2")).alias(row), (-F.col("b.col3")).alias("t"), F.col("b.v").alias("v"))
+    if by:
+        at = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("v"), row, "t"))
+        return out.select(*by, row, "t", "v").withColumn("place", at).where(F.col("place") <= k)
+    return out.orderBy(F.desc("v"), row, "t").limit(k)
 
 
 def dm_bounds(trials: DataFrame) -> DataFrame:

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dispersion as fn
-from .operators import blocks, direct, pulse, tree
+from .operators import blocks, direct, joins, pulse, table_function, tree
 from .plans import frames
 from .plans.geometry import DISPERSION, SIMULATOR_DISPERSION, DirectGeometry, Geometry
 from .plans.tree import TreePlan
-from .sources import waterfall
+from .sources import recording, waterfall
+from .streaming import timed
 
 BAND = dict(f_min=1000.0, f_max=1500.0, tsamp=0.001)
 GEOMETRIES = {
@@ -107,7 +108,7 @@ def direct_sql(wf: str, nsamps: int, masked: tuple = ()) -> str:
 def _blocks(spark, sf, name="small", length=24):
     p, by = plan(name), ("obs",)
     packed = waterfall.pack(waterfall.embeddings(spark, sf, p.geometry.nchans), length, by)
-    out = waterfall.unpack(blocks.tree_blocks(packed, p, length, by), length, "v")
+    out = waterfall.unpack(blocks.tree_blocks(packed, p, length, by, absent="zero"), length, "v")
     return out.select("obs", "i_dt", "dt", F.round("dm", 6).alias("dm"), F.col("t").cast("int").alias("t"), F.round("v", 6).alias("v"))
 
 
@@ -260,6 +261,98 @@ def whole_oracle_sql() -> dict[str, str]:
     }
 
 
+CYCLE = 30 * 86400  # the days that `events` covers: other tables' times are taken modulo these
+
+
+def _events_at(spark, sf):
+    """event_id, user_id, cents, sec: seconds from 2024-01-01."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select("event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("cents"), F.timestamp_diff("SECOND", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("ts")).alias("sec"))
+
+
+EVENTS_AT = "(select event_id, user_id, cast(round(value * 100) as bigint) as cents, cast(floor(epoch(ts - timestamp '2024-01-01 00:00:00')) as bigint) as sec from events)"
+
+
+def _nearest(side):
+    def run(spark, sf):
+        """Each order, moved into the events' days, with the nearest event."""
+        o = spark.read.parquet(f"{sf}/orders.parquet")
+        day = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1990-01-01 00:00:00'"), F.col("o_orderdate").cast("timestamp_ntz"))
+        o = o.select("o_orderkey", F.pmod(day + F.pmod(F.col("o_orderkey") * 7919, F.lit(86400)), F.lit(CYCLE)).alias("sec"))
+        return joins.nearest_join(o, _events_at(spark, sf), "sec", "event_id", side=side)
+
+    return run
+
+
+def _nearest_sql(side):
+    o = f"(select o_orderkey, ((cast(floor(epoch(cast(o_orderdate as timestamp) - timestamp '1990-01-01 00:00:00')) as bigint) + (o_orderkey * 7919) % 86400) % {CYCLE}) as sec from orders)"
+    a, b = (f"(select o.o_orderkey, e.event_id, e.sec from o asof join e on o.sec {sign} e.sec)" for sign in (">=", "<="))
+    pick = {"before": ("a.event_id", "a.sec"), "after": ("b.event_id", "b.sec"), "nearest": tuple(f"case when a.sec is null or b.sec - o.sec <= o.sec - a.sec then b.{c} else a.{c} end" for c in ("event_id", "sec"))}[side]
+    return f"""with o as {o}, e as (select sec, min(event_id) as event_id from {EVENTS_AT} group by sec)
+    select o.o_orderkey, o.sec, {pick[0]} as nearest_event_id, {pick[1]} as nearest_sec from o left join {a} a on a.o_orderkey = o.o_orderkey left join {b} b on b.o_orderkey = o.o_orderkey"""
+
+
+def _windows(spark, sf):
+    """For each line, the events of its customers' group in the l_quantity hours from its shipping (moved into the events' days): how many, and their cents."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    ship = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1990-01-01 00:00:00'"), F.col("l_shipdate").cast("timestamp_ntz"))
+    li = li.select("l_orderkey", "l_linenumber", F.pmod("l_partkey", F.lit(500)).alias("grp"), F.pmod(ship, F.lit(CYCLE)).alias("lo"), F.col("l_quantity").cast("long").alias("hours")).withColumn("hi", F.col("lo") + F.col("hours") * 3600)
+    ev = _events_at(spark, sf).withColumn("grp", F.pmod("user_id", F.lit(500)))
+    met = joins.interval_join(ev, li, "sec", "lo", "hi", ("grp",))
+    return met.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+
+
+WINDOWS_SQL = f"""with li as (select l_orderkey, l_linenumber, l_partkey % 500 as grp, cast(floor(epoch(cast(l_shipdate as timestamp) - timestamp '1990-01-01 00:00:00')) as bigint) % {CYCLE} as lo, cast(l_quantity as bigint) as hours from lineitem)
+select l_orderkey, l_linenumber, count(*) as n, cast(sum(cents) as bigint) as cents from li join (select *, user_id % 500 as grp from {EVENTS_AT}) e on e.grp = li.grp and e.sec between li.lo and li.lo + li.hours * 3600 group by 1, 2"""
+
+
+def _best_cells(spark, sf):
+    """The five strongest cells of every observation."""
+    p = plan("small")
+    out = tree.tree_transform(waterfall.embeddings(spark, sf, 8), p, ("obs",), absent="zero")
+    return pulse.peak(out.withColumn("v", F.round("v", 6)), k=5, by=("obs",))
+
+
+def _recorded(spark, sf, name="small", length=24):
+    """The embeddings written as a recording in the shared folder, and transformed from there block by block."""
+    p, by = plan(name), ("obs",)
+    path = recording.shared_folder(spark)
+    wf = waterfall.embeddings(spark, sf, p.geometry.nchans)
+    recording.write_recording(waterfall.pack(wf, length, by), path, slice=16)
+    out = waterfall.unpack(blocks.tree_recording(spark, path, p, length, absent="zero"), length, "v")
+    return out.select("obs", "i_dt", "dt", F.round("dm", 6).alias("dm"), F.col("t").cast("int").alias("t"), F.round("v", 6).alias("v"))
+
+
+def _by_sql(spark, sf):
+    """tree() of SQL, each observation a partition."""
+    table_function.register(spark)
+    g, length = GEOMETRIES["small"], 24
+    waterfall.pack(waterfall.embeddings(spark, sf, g.nchans), length, ("obs",)).createOrReplaceTempView("recording_")
+    out = spark.sql(f"select * from tree(table(select obs, block, chan, x from recording_) partition by obs order by block, f_min => {g.f_min}, f_max => {g.f_max}, nchans => {g.nchans}, tsamp => {g.tsamp}, dt_max => {g.dt_max}, length => {length})")
+    return waterfall.unpack(out, length, "v").select("obs", "i_dt", "dt", F.round("dm", 6).alias("dm"), F.col("t").cast("int").alias("t"), F.round("v", 6).alias("v"))
+
+
+def _streamed(spark, sf, length=8):
+    """The events' waterfall, replayed block by block as a stream that ends when all has been read."""
+    p, folder = plan("odd"), recording.shared_folder(spark)
+    packed = waterfall.pack(waterfall.events(spark, sf, 7), length, ()).withColumn("x", F.col("x").cast("array<double>"))
+    block = packed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("chan", "x")))["x"].alias("x"))
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("block") * length * 43200)
+    rows = block.select(F.lit("events").alias("obs"), F.col("block").cast("long").alias("block"), ts.alias("ts"), "x")
+    rows.repartition(4, "block").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    store, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(store, timed.ROCKS)
+    try:
+        out = timed.tree_stream(stream, p, length, delay="40 days")
+        run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    got = waterfall.unpack(spark.read.schema(out.schema).parquet(f"{folder}/out").drop("obs", "filled", "late"), length, "v")
+    return got.select("i_dt", "dt", F.round(F.col("dt") * p.geometry.dm_step, 6).alias("dm"), F.col("t").cast("int").alias("t"), F.round("v", 6).alias("v"))
+
+
 def queries() -> dict:
     ev, li = waterfall.events, waterfall.lineitem
     out = {
@@ -286,6 +379,13 @@ def queries() -> dict:
         "simulate_pulse": lambda s, d: pulse.simulate_pulse(s, **_P),
         "peak_search": lambda s, d: _shown(pulse.peak(tree.tree_transform(ev(s, d, 7), plan("odd")))).drop("dm"),
         "pulse_recovered": _recovered,
+        "nearest_events": _nearest("nearest"),
+        "events_before": _nearest("before"),
+        "shipping_windows": _windows,
+        "best_cells_embeddings": _best_cells,
+        "tree_recording_embeddings": _recorded,
+        "tree_sql_embeddings": _by_sql,
+        "tree_stream_events": _streamed,
     }
     return out | whole_queries()
 
@@ -316,9 +416,19 @@ def oracle_sql() -> dict[str, str]:
         "pulse_recovered": f"select i_dt, dt, dm, t, v from ({tree_sql('pulse', '(' + PULSE_SQL + ')')}) order by v desc, i_dt, t limit 1",
         "peak_search": f"select i_dt, dt, t, v from ({tree_sql('odd', ev(7))}) order by v desc, i_dt, t limit 1",
     }
+    whole = whole_oracle_sql()
+    out |= {
+        "nearest_events": _nearest_sql("nearest"),
+        "events_before": _nearest_sql("before"),
+        "shipping_windows": WINDOWS_SQL,
+        "best_cells_embeddings": f"select obs, i_dt, t, v, cast(place as integer) as place from (select obs, i_dt, t, v, row_number() over (partition by obs order by v desc, i_dt, t) as place from ({whole['tree_embeddings']})) where place <= 5",
+        "tree_recording_embeddings": whole["tree_blocks_embeddings"],
+        "tree_sql_embeddings": whole["tree_blocks_embeddings"],
+        "tree_stream_events": out["tree_events"],
+    }
     for i in (1, 2):
         out[f"tree_level_{i}_events"] = level_sql("odd", ev(7), i)
-    return out | whole_oracle_sql()
+    return out | whole
 
 
 def level_sql(name: str, wf: str, upto: int) -> str:
