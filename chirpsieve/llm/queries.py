@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"media_payloads": media.PAYLOADS_SQL, "mixing_targets": mixing.TARGETS_SQL, "op5_chat": chat.OP5_SQL, "op6_sharding": sharding.op6_sql(), "op7_substrings": substrings.OP7_SQL, "op13_search": search.OP13_SQL}
+    return {"media_payloads": media.PAYLOADS_SQL, "mixing_targets": mixing.TARGETS_SQL, "op5_chat": chat.OP5_SQL, "op6_sharding": sharding.op6_sql(), "op7_substrings": substrings.OP7_SQL, "op12_repair": repair.OP12_SQL, "op13_search": search.OP13_SQL}

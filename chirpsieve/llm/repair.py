@@ -449,3 +449,39 @@ def digests(runs: DataFrame) -> DataFrame:
 def op12(spark, sf_dir):
     """One row for each conversation of `conversations`, damaged and repaired."""
     return digests(repair(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+# The grammar's automaton in SQL: 0 nothing yet, 1 behind s, 2 behind u, 3 a sentence. A gap takes up to two insertions.
+OP12_SQL = r"""
+with recursive d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+h as (select *, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: cast(ascii(k[i]) as bigint)),
+    lambda c, b: list_reduce(range(0, 8), lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end, xor(c, b)), 4294967295), 4294967295) % 20 as h from d),
+r as (select conv_id, turn, case when h = 4 then 'user' else role end as role, case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when h = 3 then 2 else 1 end)) as copy from h where h <> 0),
+o as (select *, left(role, 1) as ini, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from r),
+f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd'
+    when regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) not in ('.', '!', '?') then 't' else '' end as fault,
+    lag(ini) over (partition by conv_id order by i) || ini as pair from o),
+tr as (select * from (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) v(s, c, t)),
+ins as (select * from (values (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)) v(s, m, n)),
+step as (select ins.s, 'D' as op, cast(null as varchar) as c, ins.m as t, n, 4 as cost from ins
+    union all select ins.s, 'K', tr.c, tr.t, n, 0 from ins join tr on tr.s = ins.m
+    union all select ins.s, 'R', cast(null as varchar), tr.t, n, 3 from ins join tr on tr.s = ins.m where tr.c in ('u', 'a')),
+w(conv_id, i, s, cost, audit) as (
+    select conv_id, cast(0 as bigint), 0, cast(0 as bigint), '' from (select distinct conv_id from conversations)
+    union all
+    select conv_id, i, t, cost, audit from (
+        select w.conv_id, f.i, step.t, cast(w.cost + 3 * n + step.cost + case when op <> 'D' and fault = 't' then 3 else 0 end as bigint) as cost, w.audit || repeat('I', n) || op as audit
+        from w join f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1 join step on step.s = w.s and (op = 'D' or fault in ('', 't')) and (op <> 'K' or step.c = f.ini))
+    qualify row_number() over (partition by conv_id, t order by cost, audit) = 1),
+done as (select w.conv_id, w.cost + 3 * n as cost, audit || repeat('I', n) as audit from w join (select x.c as conv_id, count(f.i) as rows_ from (select distinct conv_id as c from conversations) x left join f on f.conv_id is not distinct from x.c group by 1) z
+    on z.conv_id is not distinct from w.conv_id and z.rows_ = w.i join ins on ins.s = w.s and ins.m in (0, 3)
+    qualify row_number() over (partition by w.conv_id order by w.cost + 3 * n, audit || repeat('I', n)) = 1),
+ops as (select conv_id, unnest(range(1, length(audit) + 1)) as p, audit from done),
+placed as (select conv_id, p, audit[p] as op, length(replace(audit[1:p], 'I', '')) as ri, length(replace(audit[1:p], 'D', '')) as oi, audit from ops),
+said as (select e.conv_id, p, oi, op, f.role, f.text, max(case when oi = 1 and op = 'K' and f.ini = 's' then 1 else 0 end) over (partition by e.conv_id) as system from placed e left join f on f.conv_id is not distinct from e.conv_id and f.i = e.ri and op <> 'I' where op <> 'D'),
+lines as (select conv_id, string_agg(case when op = 'K' then role when (oi - system) % 2 = 1 then 'user' else 'assistant' end || ':' || case when op = 'I' then '' else text end, chr(10) order by p) as body from said group by 1),
+facts as (select x.c as conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+    count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal from (select distinct conv_id as c from conversations) x left join f on f.conv_id is not distinct from x.c group by 1)
+select facts.conv_id, cast(gaps as bigint) as gaps, blank, duplicate, truncated, illegal, done.cost, done.audit, sha256(coalesce(body, '')) as repaired_sha256
+from facts join done on done.conv_id is not distinct from facts.conv_id left join lines on lines.conv_id is not distinct from facts.conv_id"""

@@ -258,6 +258,18 @@ def test_repair_of_the_table(spark):
     assert sorted(map(tuple, repair.op12(spark, SF).collect()), key=str) == sorted(digests_of(rows), key=str)
 
 
+def test_sql_of_repair():
+    import duckdb
+
+    from chirpsieve.llm.repair import OP12_SQL
+
+    rows = conversations(5, 80, 9)
+    c = duckdb.connect()
+    c.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    c.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert sorted(c.execute(OP12_SQL).fetchall(), key=str) == sorted(digests_of(rows), key=str)
+
+
 # ---- search -----------------------------------------------------------------
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
