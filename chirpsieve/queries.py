@@ -112,6 +112,23 @@ def _blocks(spark, sf, name="small", length=24):
     return out.select("obs", "i_dt", "dt", F.round("dm", 6).alias("dm"), F.col("t").cast("int").alias("t"), F.round("v", 6).alias("v"))
 
 
+def _level_blocks(spark, sf, i, name="small", length=24):
+    p, by = plan(name), ("obs",)
+    packed = waterfall.pack(waterfall.embeddings(spark, sf, p.geometry.nchans), length, by)
+    out = waterfall.unpack(blocks.level_blocks(packed, p, i, length, by, absent="zero"), length, "v")
+    return out.select("obs", "i_sub", "i_dt", F.col("t").cast("int").alias("t"), F.round("v", 6).alias("v"))
+
+
+def _level_blocks_sql(i, name="small") -> str:
+    g, flat = GEOMETRIES[name], _level_flat(name, i)
+    wf = f"(select vec_id // {g.nchans} as obs, cast(vec_id % {g.nchans} as integer) as chan, cast(generate_subscripts(embedding, 1) - 1 as integer) as t, cast(unnest(embedding) as double) as x from embeddings)"
+    return f"""with wf as {wf}, flat as {flat},
+    m as (select a.obs, f.i_sub, f.i_dt, f.chan, cast(a.t + f.shift as integer) as t, avg(b.x) as m from flat f join wf a on a.chan = f.chan and a.t >= f.w join wf b on b.obs = a.obs and b.chan = a.chan and b.t between a.t - f.w and a.t
+          where a.t + f.shift < {g.nsamps} group by a.obs, f.i_sub, f.i_dt, f.chan, a.t, f.shift),
+    grid as (select o.obs, i.i_sub, i.i_dt, cast(s.range as integer) as t from (select distinct obs from wf) o, (select distinct i_sub, i_dt from flat) i, range({g.nsamps}) s)
+    select grid.obs, cast(grid.i_sub as integer) as i_sub, cast(grid.i_dt as integer) as i_dt, grid.t, round(coalesce(sum(m), 0.0), 6) as v from grid left join m on m.obs = grid.obs and m.i_sub = grid.i_sub and m.i_dt = grid.i_dt and m.t = grid.t group by all"""
+
+
 def _level_states(spark, sf, i):
     p = plan("odd")
     s = tree.initial_state(waterfall.events(spark, sf, 7), p)
@@ -386,6 +403,8 @@ def queries() -> dict:
         "tree_recording_embeddings": _recorded,
         "tree_sql_embeddings": _by_sql,
         "tree_stream_events": _streamed,
+        "tree_level_1_blocks": lambda s, d: _level_blocks(s, d, 1),
+        "tree_level_2_blocks": lambda s, d: _level_blocks(s, d, 2),
     }
     return out | whole_queries()
 
@@ -428,12 +447,13 @@ def oracle_sql() -> dict[str, str]:
     }
     for i in (1, 2):
         out[f"tree_level_{i}_events"] = level_sql("odd", ev(7), i)
+        out[f"tree_level_{i}_blocks"] = _level_blocks_sql(i)
     return out | whole
 
 
-def level_sql(name: str, wf: str, upto: int) -> str:
-    """The state after `upto` merges, by following rows down to channels."""
-    p, g = plan(name), GEOMETRIES[name]
+def _level_flat(name: str, upto: int) -> str:
+    """The rows of a level, followed down to channels: i_sub, i_dt, chan, w, shift."""
+    p = plan(name)
     top = p.levels[upto]
     rows = [(int(top.band[r]), int(top.index[r]), r, 0) for r in range(len(top.band))]
     for level in reversed(p.levels[1 : upto + 1]):
@@ -444,8 +464,13 @@ def level_sql(name: str, wf: str, upto: int) -> str:
                 down.append((b, i, int(level.head[r]), s + int(level.offset[r])))
         rows = down
     base = p.levels[0]
-    flat = _values([(b, i, int(base.band[r]), int(base.delay[r]), s) for b, i, r, s in rows], "i_sub, i_dt, chan, w, shift")
-    return f"""with wf as {wf}, flat as {flat},
+    return _values([(b, i, int(base.band[r]), int(base.delay[r]), s) for b, i, r, s in rows], "i_sub, i_dt, chan, w, shift")
+
+
+def level_sql(name: str, wf: str, upto: int) -> str:
+    """The state after `upto` merges, by following rows down to channels."""
+    g = GEOMETRIES[name]
+    return f"""with wf as {wf}, flat as {_level_flat(name, upto)},
     m as (select f.i_sub, f.i_dt, f.chan, cast(a.t + f.shift as integer) as t, avg(b.x) as m from flat f join wf a on a.chan = f.chan and a.t >= f.w join wf b on b.chan = a.chan and b.t between a.t - f.w and a.t
           where a.t + f.shift < {g.nsamps} group by f.i_sub, f.i_dt, f.chan, a.t, f.shift)
     select cast(i_sub as integer) as i_sub, cast(i_dt as integer) as i_dt, t, round(sum(m), 6) as v from m group by all"""

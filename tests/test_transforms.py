@@ -259,6 +259,13 @@ def test_reports(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"benchmarks": rows}, indent=1))
     got = benchmarks(spark, str(tmp_path / "b.json")).collect()
     assert [tuple(r) for r in got] == [("cpu", "plan_seq", 2048, 2000.0, 1000.0)]
+    rows = [dict(name=f"cpu/BM_tree_{what}_{kind}/{n}", real_time=2.0, cpu_time=float(n), time_unit="ms") for what in ("plan", "execute") for kind in ("seq", "par") for n in (8, 16)] + [dict(name="cpu/BM_tree_plan/x", real_time=1, cpu_time=1, time_unit="ms")]
+    (tmp_path / "c.json").write_text(json.dumps({"benchmarks": rows}, indent=1))
+    from chirpsieve.sources.reports import series
+
+    assert {tuple(r) for r in series(spark, str(tmp_path / "c.json"), "tree_execute").collect()} == {("tree_execute", n, float(n), kind) for kind in ("seq", "par") for n in (8, 16)}
+    assert {(r.benchmark_name, r.n, r.benchmark_type) for r in series(spark, str(tmp_path / "c.json")).where("n is null").collect()} == {("tree_plan", None, None)}
+    assert series(spark, str(tmp_path / "c.json")).dtypes[1] == ("n", "bigint")
 
 
 def test_functions_travel_by_value():
