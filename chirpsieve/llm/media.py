@@ -223,8 +223,12 @@ def identify(df: DataFrame, content: str, declared: str | None = None, keep: lis
     media_type is the type whose medium begins at byte 0, else the first carved
     one's, else null; corrected tells that it differs from the declared type.
     Null and empty content: null type, no embedded media. Other columns are
-    left out; repeated rows and empty tables stay what they are.
+    left out; repeated rows and empty tables stay what they are. Columns of
+    these names among `keep` raise.
     """
+    clash = {"content", "declared", "media_type", "corrected", "embedded"} & set(keep)
+    if clash:
+        raise ValueError(f"{sorted(clash)} are made here: rename the columns that are kept")
     from pyspark.sql import functions as F
 
     src = df.select(*keep, df[content].alias("content"), (df[declared] if declared else F.lit(None).cast("string")).alias("declared"))

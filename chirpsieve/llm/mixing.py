@@ -150,9 +150,12 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     A whole document keeps its text as it is; of a cut one, words keep the white
     space behind them. Rows equal in doc_id, source and text take the same blocks
     (so only of tables without repeated rows the words are those of mix()). Null
-    and empty texts have no words and go; no rows give no rows.
+    and empty texts have no words and go; no rows give no rows. Columns that
+    begin with mx_ raise.
     """
     names = docs.columns
+    if any(c.lower().startswith("mx_") for c in names):
+        raise ValueError("columns that begin with mx_ are made here: rename those of docs")
     m = mix(docs, **how).where("taken > 0")
     m = m.select(F.col("doc_id").alias("mx_id"), F.col("source").alias("mx_source"), F.col("k1").alias("mx_key"), F.col("runs").alias("mx_runs"), F.col("size").alias("mx_size")).dropDuplicates(["mx_id", "mx_source", "mx_key"])
     d = docs.withColumn("mx_k1", F.xxhash64("text"))

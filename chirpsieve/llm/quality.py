@@ -128,7 +128,9 @@ def vote(model: dict, rows: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndar
 
 
 def score(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
-    """columns + score for each row of docs; nothing but the text is looked at. Null text scores as an empty one."""
+    """columns + score for each row of docs; nothing but the text is looked at. Null text scores as an empty one; a column `score` raises."""
+    if "score" in columns:
+        raise ValueError("score is made here: rename the column of docs")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
@@ -148,7 +150,8 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFram
     """columns + score of each row of docs, learned from labels (doc_id, quality) of rows that aren't held out.
 
     Null and empty texts get a score like any other; without labels all are
-    0.5; repeated rows score alike; an empty table stays empty.
+    0.5; repeated rows score alike; an empty table stays empty. A column `score`
+    among those kept raises.
     """
     return score(docs, fit(*training_rows(docs, labels)), columns)
 
