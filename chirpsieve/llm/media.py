@@ -7,11 +7,14 @@ ordinary bytes are not reported.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -35,7 +38,7 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-def _wav(b: bytes, at: int) -> int:
+def _wav(b: bytes, at: int, known: dict) -> int:
     if b[at + 8 : at + 12] != b"WAVE" or len(b) < at + 44:
         return 0
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -47,7 +50,7 @@ def _wav(b: bytes, at: int) -> int:
     return end - at if p == end and {b"fmt ", b"data"} <= seen else 0
 
 
-def _png(b: bytes, at: int) -> int:
+def _png(b: bytes, at: int, known: dict) -> int:
     p, first = at + 8, True
     while p + 12 <= len(b):
         n, kind = struct.unpack_from(">I", b, p)[0], b[p + 4 : p + 8]
@@ -59,17 +62,25 @@ def _png(b: bytes, at: int) -> int:
     return 0
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, known: dict) -> int:
     if len(b) < at + 14:
         return 0
     p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
+    ends, dead = known.setdefault("gif blocks", {}), known.setdefault("gif dead", set())
 
     def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
+        """The end of a chain of blocks; chains that join end alike, so each position is passed once."""
+        passed = []
+        while p < len(b) and b[p] and p not in ends:
+            passed.append(p)
             p += b[p] + 1
-        return p + 1
+        end = ends.get(p, p + 1)
+        ends.update(dict.fromkeys(passed, end))
+        return end
 
-    while p < len(b):
+    passed = []
+    while p < len(b) and p not in dead:
+        passed.append(p)
         if b[p] == 0x3B:
             return p + 1 - at
         if b[p] == 0x21:
@@ -77,36 +88,43 @@ def _gif(b: bytes, at: int) -> int:
         elif b[p] == 0x2C and p + 10 < len(b):
             p = blocks(p + 11 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0))
         else:
-            return 0
+            break
+    dead.update(passed)
     return 0
 
 
-def _jpeg(b: bytes, at: int) -> int:
-    p, scans = at + 2, 0
-    while p + 2 <= len(b) and b[p] == 0xFF:
+def _jpeg(b: bytes, at: int, known: dict) -> int:
+    p, scans, passed, dead = at + 2, False, [], known.setdefault("jpeg dead", set())
+    if "jpeg marks" not in known:
+        # within a scan stand escaped bytes and restart marks; any other mark ends it
+        known["jpeg marks"] = [m.start() for m in _MARK.finditer(b)]
+    marks = known["jpeg marks"]
+    while p + 2 <= len(b) and b[p] == 0xFF and (p, scans) not in dead:
+        passed.append((p, scans))
         kind = b[p + 1]
         if kind == 0xFF:  # a fill byte
             p += 1
         elif kind == 0xD9:
-            return p + 2 - at if scans else 0
+            if scans:
+                return p + 2 - at
+            break
         elif p + 4 > len(b) or (n := struct.unpack_from(">H", b, p + 2)[0]) < 2:
-            return 0
+            break
         else:
             p += 2 + n
             if kind == 0xDA:
-                # within a scan stand escaped bytes and restart marks; any other mark ends it
-                scans += 1
-                while (p := b.find(b"\xff", p)) >= 0 and b[p + 1 : p + 2] in _IN_SCAN:
-                    p += 2
-                if p < 0:
-                    return 0
+                scans, i = True, bisect.bisect_left(marks, p)
+                if i == len(marks):
+                    break
+                p = marks[i]
+    dead.update(passed)
     return 0
 
 
-_IN_SCAN = {bytes([x]) for x in (0, *range(0xD0, 0xD8))}
+_MARK = re.compile(rb"\xff(?![\x00\xd0-\xd7])")
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(b: bytes, at: int, known: dict) -> int:
     if len(b) < at + 26:
         return 0
     n, zero, start, head = struct.unpack_from("<IIII", b, at + 2)
@@ -156,7 +174,7 @@ def _flac_frame(b: bytes, p: int) -> tuple[int, int]:
     return (q + 1 - p, n) if q < len(b) and crc8(b[p:q]) == b[q] else (0, 0)
 
 
-def _flac(b: bytes, at: int) -> int:
+def _flac(b: bytes, at: int, known: dict) -> int:
     """Blocks, then frames until all samples are there: a frame ends where its CRC-16 is right and the next one begins."""
     p, first, last = at + 4, True, False
     if len(b) < p + 38:
@@ -175,27 +193,59 @@ def _flac(b: bytes, at: int) -> int:
         if not head:
             return p - at if done and not total else 0
         done += n
-        c, q = crc16(b[p : p + head]), p + head
-        while q < len(b):
-            c = (c << 8 ^ CRC16[c >> 8 ^ b[q]]) & 0xFFFF
-            q += 1
-            if c == 0 and (total and done >= total or _flac_frame(b, q)[0] or not total and q == len(b)):
-                break
+        if "flac sums" not in known:
+            sums = same_sums(b)
+            starts = [m.start() for m in _SYNC.finditer(b) if _flac_frame(b, m.start())[0]]
+            known["flac sums"] = sums, *(np.sort(sums[i] << 40 | i) for i in (np.arange(len(sums)), np.array(starts, dtype=np.int64)))
+        sums, every, starts = known["flac sums"]
+        # the first end behind the header: any for the last frame, else one where a frame begins
+        want, among = sums[p] << 40 | p + head + 1, every if total and done >= total else starts
+        i = np.searchsorted(among, want)
+        if i < len(among) and among[i] >> 40 == sums[p]:
+            p = int(among[i] & (1 << 40) - 1)
+        elif not total and sums[-1] == sums[p] and len(b) > p + head:
+            p = len(b)
         else:
             return 0
-        p = q
     return p - at
 
 
+_SYNC = re.compile(rb"\xff[\xf8\xf9]")
+
+
+def same_sums(b: bytes) -> np.ndarray:
+    """A value for each position (the last one is the end) such that the CRC-16 of b[p:q] is 0 where those of p and q are equal.
+
+    The CRC of a prefix, times x^-8 for each of its bytes: so a byte's share
+    doesn't depend on where a frame begins, and all shares are one array.
+    """
+    n = len(b)
+    unit, back = 1, []
+    for _ in range(32767):  # x^-1 has this period: one step divides by x
+        back.append(unit)
+        unit = (unit ^ 0x18005) >> 1 if unit & 1 else unit >> 1
+    power = np.array(back, dtype=np.uint32)[8 * (np.arange(n, dtype=np.int64) + 1) % 32767]
+    byte, share = np.array(CRC16, dtype=np.uint32)[np.frombuffer(b, np.uint8)], np.zeros(n, dtype=np.uint32)
+    for bit in range(16):
+        share ^= np.where(byte >> bit & 1, power, 0).astype(np.uint32)
+        power = power << 1
+        power = np.where(power & 0x10000, power ^ 0x18005, power).astype(np.uint32)
+    return np.concatenate([np.zeros(1, np.int64), np.bitwise_xor.accumulate(share).astype(np.int64)]) if n else np.zeros(1, np.int64)
+
+
 VALID = {"wav": _wav, "png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "flac": _flac}
 
 
 def sniff(b: bytes, a: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
-    """(type, offset, length) of each validated medium, outermost only, in order of offset."""
-    out, free = [], 0
+    """(type, offset, length) of each validated medium, outermost only, in order of offset.
+
+    What one start has found out about later bytes is known to the next ones,
+    so hostile bytes with very many starts don't take a square of their length.
+    """
+    out, free, known = [], 0, {}
     hits = sorted((end - n + 1, -n, kind) for end, (n, kind) in a.iter(b.decode("latin-1")))
     for at, _, kind in hits:
-        if at >= free and (n := VALID[kind](b, at)):
+        if at >= free and (n := VALID[kind](b, at, known)):
             out.append((kind, at, n))
             free = at + n
     return out

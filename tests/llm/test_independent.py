@@ -116,3 +116,44 @@ def test_columns_that_operators_make_raise(spark):
         quality.score(df, {"z": np.zeros((0, 1)), "y": [], "map": None}, ["doc_id", "score"])
     with pytest.raises(ValueError):
         media.identify(df, "text", keep=["media_type"])
+
+
+def test_sums_find_where_a_crc_ends():
+    from chirpsieve.llm.media import crc16, same_sums
+
+    b = bytes(np.random.default_rng(1).integers(0, 256, 40_000, dtype=np.uint8))
+    for p in (0, 7, 39_000):
+        for q in (p + 5, p + 900):
+            mended = b[:q] + crc16(b[p:q]).to_bytes(2, "big") + b[q + 2 :]
+            s = same_sums(mended)
+            assert s[p] == s[q + 2] and crc16(mended[p : q + 2]) == 0
+    s = same_sums(b)
+    assert all((s[5] == s[q]) == (crc16(b[5:q]) == 0) for q in range(6, 400))
+
+
+def test_hostile_bytes_take_no_square_of_their_length():
+    import time
+
+    from chirpsieve.llm import media
+
+    a = media.automaton()
+    frame = next(media.built("flac", b"xyz" * 9)[i:] for i in [media.built("flac", b"xyz" * 9).find(b"\xff\xf8")])
+    head = media.built("flac", b"xyz" * 9)[:42]
+    for unit in (b"GIF89a" + bytes(7) + b"!\xfe\x05", b"\xff\xd8\xff\xda\0\x04..", head + frame[:-2] + b"??", head + frame[:6] + bytes(60), b"fLaC"):
+        took = []
+        for n in (100_000, 800_000):
+            b = unit * (n // len(unit))
+            t = time.process_time()
+            media.sniff(b, a)
+            took.append(time.process_time() - t)
+        assert took[1] < 20 * max(took[0], 0.1), (unit[:12], took)
+    # media within and behind rubbish are found as before
+    parts = [media.built(k, b"hello " * 20) for k in ("wav", "png", "gif", "jpeg", "bmp", "flac")]
+    junk = b"GIF89a fLaC \xff\xd8\xff BM RIFF"
+    at, want = 0, []
+    blob = b""
+    for kind, x in zip(("wav", "png", "gif", "jpeg", "bmp", "flac"), parts):
+        blob += junk
+        want.append((kind, len(blob), len(x)))
+        blob += x
+    assert [w for w in media.sniff(blob, a) if w[0] != "flac"] == want[:-1] and media.sniff(blob, a)[-1][:2] == want[-1][:2]
