@@ -48,14 +48,14 @@ def nearest_join(left: DataFrame, right: DataFrame, time: str, pick: str, by: tu
     ranges = counts.select(F.col("cell_").alias("c_"), F.floor((F.sum("n_").over(Window.orderBy("cell_")) - F.col("n_")) / times).cast("int").alias("range_"))
     ranged = both.join(F.broadcast(ranges), F.col("cell_") == F.col("c_")).drop("c_", "cell_")
     event = F.when(F.col("is_"), F.struct("t_", "p_"))
-    within = Window.partitionBy(*keys, "range_").orderBy("t_")
-    upto, on = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
-    ranged = ranged.select(*keys, "range_", "t_", F.last(event, True).over(within.rowsBetween(*upto)).alias("a_"), F.first(event, True).over(within.rowsBetween(*on)).alias("b_"))
+    # both frames run from their beginning to the row at hand: one that runs to the end is made anew for each row
+    so_far = lambda *order: Window.partitionBy(*keys, "range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = ranged.select(*keys, "range_", "t_", F.last(event, True).over(so_far("t_")).alias("a_"), F.last(event, True).over(so_far(F.desc("t_"))).alias("b_"))
     # one row for each key and range: the last event before it, the first behind it
-    over = Window.partitionBy(*keys).orderBy("range_")
+    others = lambda *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ends = ranged.groupBy(*keys, "range_").agg(F.max("a_").alias("last_"), F.min("b_").alias("first_"))
     names = [f"c{k}" for k in [*keys, "range_"]]
-    carried = ends.select(*[F.col(k).alias(c) for k, c in zip([*keys, "range_"], names)], F.last("last_", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before_"), F.first("first_", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("behind_"))
+    carried = ends.select(*[F.col(k).alias(c) for k, c in zip([*keys, "range_"], names)], F.last("last_", True).over(others("range_")).alias("before_"), F.last("first_", True).over(others(F.desc("range_"))).alias("behind_"))
     full = ranged.join(carried, _same([*keys, "range_"], names)).select(*keys, "t_", F.coalesce("a_", "before_").alias("a_"), F.coalesce("b_", "behind_").alias("b_"))
     upper = F.col("a_").isNull() | (F.col("b_.t_") - F.col("t_") <= F.col("t_") - F.col("a_.t_"))
     best = {"before": F.col("a_"), "after": F.col("b_"), "nearest": F.when(F.col("b_").isNotNull() & upper, F.col("b_")).otherwise(F.col("a_"))}[side]

@@ -4,7 +4,7 @@ A recording is a folder of Parquet files, one for each block of an observation,
 and a manifest that names those that count. A file has a row group for every
 `slice` samples, each with a row (chan, x) for every channel, so the end of a
 block is read without the rest. Reading makes one input partition of each
-block, which also reads the samples before it (option `halo`) from the files of
+block (or of several small ones), which also reads the samples before it (option `halo`) from the files of
 the blocks before: block transforms need no shuffle. Filters on obs, block and
 chan are pushed down. Writing adds files under new names and commits them in
 the manifest at the end: what a failed or repeated task has left behind is
@@ -29,6 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 MANIFEST = "_manifest.parquet"
 SLICE = 1024
+PARTITION = 1 << 25  # bytes of small blocks that are read by one task
 KNOWN = pa.schema([("obs", pa.int64()), ("block", pa.int64()), ("file", pa.string()), ("samples", pa.int64()), ("channels", pa.int64())])
 TESTS = {EqualTo: lambda a, b: a == b, In: lambda a, b: a in b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b}
 
@@ -47,7 +48,7 @@ def manifest(path: str) -> list[dict]:
 
 
 @dataclass
-class Block(InputPartition):
+class Block:
     """A block, and the files before it from which so many last samples are taken (lag, file, samples)."""
 
     obs: int
@@ -55,9 +56,13 @@ class Block(InputPartition):
     file: str
     before: list[tuple[int, str, int]]
 
-    def __init__(self, obs, block, file, before):
+
+class Blocks(InputPartition):
+    """One block, or several small ones."""
+
+    def __init__(self, blocks: list[Block]):
         super().__init__(None)
-        self.obs, self.block, self.file, self.before = obs, block, file, before
+        self.blocks = blocks
 
 
 def _samples(fs, file: str, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +98,11 @@ class RecordingReader(DataSourceReader):
     def _passes(self, **row) -> bool:
         return all(TESTS[kind](row[c], value) for c, kind, value in self.tests if c in row)
 
-    def partitions(self) -> list[Block]:
+    def partitions(self) -> list[Blocks]:
         _, at = _store(self.path)
         known = manifest(self.path)
         by = {(r["obs"], r["block"]): r for r in known}
-        out = []
+        out, size = [], PARTITION
         for r in known:
             if not self._passes(obs=r["obs"], block=r["block"]):
                 continue
@@ -105,21 +110,28 @@ class RecordingReader(DataSourceReader):
             while need > 0 and (b := by.get((r["obs"], r["block"] - k))):
                 before.append((k, f"{at}/{b['file']}", min(need, b["samples"])))
                 need, k = need - b["samples"], k + 1
-            out.append(Block(r["obs"], r["block"], f"{at}/{r['file']}", before))
+            mine = 4 * r["channels"] * r["samples"]
+            if size + mine > PARTITION:
+                out.append(Blocks([]))
+                size = 0
+            size += mine
+            out[-1].blocks.append(Block(r["obs"], r["block"], f"{at}/{r['file']}", before))
         return out
 
-    def read(self, partition: Block | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Blocks | None) -> Iterator[pa.RecordBatch]:
+        for block in partition.blocks if partition else []:  # without a block Spark still reads once
+            yield from self._read(block)
+
+    def _read(self, block: Block) -> Iterator[pa.RecordBatch]:
         fs, _ = _store(self.path)
-        if partition is None:  # no block is left: Spark still reads once
-            return
-        for lag, file, last in [(0, partition.file, None), *partition.before]:
+        for lag, file, last in [(0, block.file, None), *block.before]:
             chan, m = _samples(fs, file, last)
             keep = np.array([self._passes(chan=c) for c in chan.tolist()], dtype=bool) if any(c == "chan" for c, *_ in self.tests) else slice(None)
             chan, m = chan[keep], np.ascontiguousarray(m[keep])
             ends = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
             x = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(ends * 4), pa.py_buffer(m)]) if self.bytes else pa.ListArray.from_arrays(pa.array(ends), pa.array(m.reshape(-1)))
             n = len(chan)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, partition.obs)), pa.array(np.full(n, partition.block)), pa.array(chan, pa.int32()), pa.array(np.full(n, lag, np.int32)), x], ["obs", "block", "chan", "lag", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block.obs)), pa.array(np.full(n, block.block)), pa.array(chan, pa.int32()), pa.array(np.full(n, lag, np.int32)), x], ["obs", "block", "chan", "lag", "x"])
 
 
 @dataclass
