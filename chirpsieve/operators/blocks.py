@@ -91,6 +91,7 @@ def _matrix(table: pa.Table, nchans: int, halo: int, length: int, real, absent:
     chan, lag, lists = table["chan"].to_numpy(), table["lag"].to_numpy(), table["x"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     if pa.types.is_binary(lists.type):  # float32 samples as they lie in memory
+        lists = pa.concat_arrays([lists])  # from its first byte
         ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1] // 4
         values = np.frombuffer(lists.buffers()[2], np.float32)
     else:
@@ -164,15 +165,17 @@ def tree_recording(spark: SparkSession, path: str, plan: TreePlan, length: int,
 
     def blocks(batches):
         held, key = [], None
-        for batch in batches:  # a task has whole blocks, one after the other
-            if not batch.num_rows:
-                continue
-            now = (batch["obs"][0].as_py(), batch["block"][0].as_py())
-            if held and now != key:
-                yield from run(pa.Table.from_batches(held), ("obs",)).to_batches()
-                held = []
-            key = now
-            held.append(batch)
+        for batch in batches:  # a task has whole blocks, one after the other; a batch may hold parts of several
+            o, b = batch["obs"].to_numpy(), batch["block"].to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(o) != 0) | (np.diff(b) != 0)) + 1).tolist(), len(o)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if held and (o[i], b[i]) != key:
+                    yield from run(pa.Table.from_batches(held), ("obs",)).to_batches()
+                    held = []
+                key = (o[i], b[i])
+                held.append(batch.slice(i, j - i))
         if held:
             yield from run(pa.Table.from_batches(held), ("obs",)).to_batches()
 
