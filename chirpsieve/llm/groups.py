@@ -1,10 +1,11 @@
 """Exact Jaccard within candidate groups, and connected components.
 
 Candidate searches give star rows (hub, node): any two nodes of one hub may be
-alike. A group becomes blocks of bounded size, every two blocks meet in one
-task, and there one matrix product gives the exact intersections of all its
-sets. Only a spanning forest leaves the task, so no pair is ever a row: a group
-of n nodes makes n rows for every BLOCK of them.
+alike. A group becomes blocks of bounded size. In a task one matrix product
+gives the exact intersections of all its sets, and only a spanning forest
+leaves it, so no pair is ever a row. Each block is compared by itself and with
+its hub first; only nodes that aren't connected by then meet across blocks. A
+group that hangs together makes little more than a row for each node.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,16 +53,45 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int, repeated: bool =
     return materialize(sets.dropDuplicates(["node"]) if repeated else sets)
 
 
-def in_blocks(candidates: DataFrame) -> DataFrame:
-    """(hub, node, n, ...) -> task, node, n, ...: each two nodes of a hub share a task; n is the size of a node's set."""
-    # a hash of the node deals it to a block of its group
+def block_count(m, items):
+    return F.greatest(F.lit(1), F.ceil(m / BLOCK), F.ceil(items / BLOCK_ITEMS)).cast("long")
+
+
+def group_sizes(candidates: DataFrame) -> DataFrame:
+    """hub, blocks_ of groups of two nodes or more; n is the size of a node's set."""
     per = candidates.groupBy("hub").agg(F.count(F.lit(1)).alias("m_"), F.sum("n").alias("items_")).where("m_ > 1")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m_") / BLOCK), F.ceil(F.col("items_") / BLOCK_ITEMS)).cast("long")
-    rows = candidates.join(per.select("hub", blocks.alias("blocks_")), "hub").withColumn("b_", F.pmod(F.xxhash64("node"), F.col("blocks_")))
-    # two blocks also compare each within itself, so a block of several needs no task of its own
-    others = F.when(F.col("blocks_") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.expr("filter(sequence(0L, blocks_ - 1), x -> x <> b_)"))
-    rows = rows.withColumn("o_", F.explode(others))
-    return rows.select(F.xxhash64("hub", F.least("b_", "o_"), F.greatest("b_", "o_")).alias("task"), *[c for c in candidates.columns if c != "hub"])
+    return per.select("hub", block_count(F.col("m_"), F.col("items_")).alias("blocks_"))
+
+
+def own_blocks(candidates: DataFrame, per: DataFrame) -> DataFrame:
+    """(hub, node, n, ...) -> task, node, n, ...: a node's hash deals it to one block of its group; the hub's node, unless very long, goes to all, so that what is like it is connected at once."""
+    everywhere = (F.col("node") == F.col("hub")) & (F.col("n") <= BLOCK_ITEMS // 8)
+    dealt = F.when(everywhere, F.expr("sequence(0L, blocks_ - 1)")).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks_"))))
+    rows = candidates.join(per, "hub").withColumn("b_", F.explode(dealt))
+    return rows.select(F.xxhash64("hub", "b_").alias("task"), *[c for c in candidates.columns if c != "hub"])
+
+
+def blocks_across(candidates: DataFrame, per: DataFrame) -> DataFrame:
+    """(hub, node, n, label, ...) -> task, node, n, label, ...: in groups of several blocks, each two nodes of different labels share a task.
+
+    The commonest label of a group is its main one. Blocks of other nodes meet
+    each other and the main blocks, main blocks don't meet: a group of n nodes
+    of which k have other labels makes about 2 n k rows for every BLOCK of
+    them, none if all have one label.
+    """
+    rows = candidates.join(per.where("blocks_ > 1").select("hub"), "hub")
+    parts = rows.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("m_"), F.sum("n").alias("items_"))
+    heads = parts.groupBy("hub").agg(F.max(F.struct("m_", "label", "items_")).alias("main_"), F.sum("m_").alias("m_"), F.sum("items_").alias("items_")).where("m_ > main_.m_")
+    mains, others = block_count(F.col("main_.m_"), F.col("main_.items_")), block_count(F.col("m_") - F.col("main_.m_"), F.col("items_") - F.col("main_.items_"))
+    rows = rows.join(heads.select("hub", F.col("main_.label").alias("main_"), mains.alias("mains_"), others.alias("others_")), "hub")
+    rows = rows.withColumn("b_", F.pmod(F.xxhash64("node"), F.when(F.expr("label = main_"), F.col("mains_")).otherwise(F.col("others_"))))
+    of_main = F.expr("transform(sequence(0L, others_ - 1), o -> xxhash64(hub, 0, o, b_))")
+    of_other = F.expr(
+        "concat(transform(sequence(0L, mains_ - 1), m -> xxhash64(hub, 0, b_, m)),"
+        " transform(filter(sequence(0L, others_ - 1), o -> o <> b_), o -> xxhash64(hub, 1, least(o, b_), greatest(o, b_))))"
+    )
+    tasks = F.explode(F.when(F.expr("label = main_"), of_main).otherwise(of_other)).alias("task")
+    return rows.select(tasks, *[c for c in candidates.columns if c != "hub"])
 
 
 def by_task(df: DataFrame, body: Callable, columns: list[str], schema: str) -> DataFrame:
@@ -154,6 +185,58 @@ def linked(blocks: DataFrame, similarity: float) -> DataFrame:
     return by_task(blocks, body, ["node", "set"], "u long, v long")
 
 
+def survivors(blocks: DataFrame, probable: Callable, columns: list[str]) -> DataFrame:
+    """(task, node, label, n, columns) -> distinct (task, node): what hangs together in a task by pairs of different labels that may be alike, as probable(n, columns) says."""
+
+    def body(task, node, label, n, *rest):
+        node, label = np.array(node, dtype=np.int64), np.array(label, dtype=np.int64)
+        first, other = forest(probable(np.array(n, dtype=np.float64), *rest) & (label[:, None] != label[None, :]))
+        tasks, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for f in np.unique(first):
+            part = np.sort(node[[f, *other[first == f]]])
+            # the same sets meet at several hubs: equal parts have one number
+            tasks.append(np.full(len(part), xxhash.xxh64_intdigest(part.tobytes()), dtype=np.uint64).view(np.int64))
+            nodes.append(part)
+        return np.concatenate(tasks), np.concatenate(nodes)
+
+    return by_task(blocks, body, ["node", "label", "n", *columns], "task long, node long").distinct()
+
+
+def sizes_fit(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of sets may be alike by their sizes."""
+    out = np.minimum(n[:, None], n[None, :]) >= similarity * np.maximum(n[:, None], n[None, :]) - 1e-9
+    np.fill_diagonal(out, False)
+    return out
+
+
+def connected(groups: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], probable: Callable, similarity: float) -> DataFrame:
+    """node, label (smallest node reachable) for nodes with a link: two nodes of one group (hub, node) whose sets have Jaccard `similarity` or more.
+
+    nodes: node, n (size of the set) and what probable(n, ...) wants; sets(some
+    nodes): node, set. Each block is compared within itself and with its hub
+    first. Then only nodes that aren't connected yet meet across blocks: the
+    links of pairs that are connected already would change nothing.
+    """
+    columns = [c for c in nodes.columns if c not in ("node", "n")]
+    rows = groups.select("hub", "node").join(nodes, "node")
+    per = materialize(group_sizes(rows))
+
+    def links(blocks):
+        parts = materialize(survivors(blocks, probable, columns))
+        return linked(parts.join(sets(parts.select("node").distinct()), "node"), similarity)
+
+    label = components(links(own_blocks(rows, per).withColumn("label", F.col("node"))))
+    if per.where("blocks_ > 1").isEmpty():
+        return label
+    label = materialize(label)
+    of = label.withColumnRenamed("node", "of")
+    rows = rows.join(of, F.col("node") == F.col("of"), "left").drop("of").withColumn("label", F.coalesce("label", "node"))
+    more = materialize(links(blocks_across(rows, per)))
+    if more.isEmpty():
+        return label
+    return components(more.union(label.where("node <> label").select("node", "label")))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label (smallest node reachable) for every node of edges (u, v), by large-star and small-star rounds."""
     e = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, boxed, materialize, mix, slot, slots, text_keys
-from .groups import STRIP, as_bytes, by_task, components, forest, in_blocks, linked, shingle_set, whole_sets
+from .groups import STRIP, as_bytes, components, connected, shingle_set, whole_sets
 
 SEGMENTS, BITS = 8, 8
 PIECE = 50_000  # words hashed at a time
@@ -373,23 +373,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     again = materialize(rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub"))
     groups = materialize(rows.join(again, "key").select("hub", "node").distinct())
 
-    def prune(task, node, n, fp, fp2):
-        node = np.array(node, dtype=np.int64)
-        first, other = forest(partners(np.array(n, dtype=np.float64), np.stack([fp, fp2], axis=1).astype(np.int64), similarity))
-        tasks, nodes_ = [], []
-        for f in np.unique(first):
-            part = np.sort(node[[f, *other[first == f]]])
-            # the same sets meet at several hubs: equal parts have one number
-            tasks.append(np.full(len(part), xxhash.xxh64_intdigest(part.tobytes()), dtype=np.uint64).view(np.int64))
-            nodes_.append(part)
-        return [np.concatenate([*x, np.zeros(0, np.int64)]) for x in (tasks, nodes_)]
-
-    blocks = in_blocks(groups.join(nodes.select("node", "n", "fp", "fp2"), "node"))
-    blocks = materialize(by_task(blocks, prune, ["node", "n", "fp", "fp2"], "task long, node long").distinct())
     each = materialize(w.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("times")))
     repeated = not each.where("times > 1").isEmpty()
-    whole = whole_sets(docs, nodes.join(blocks.select("node").distinct(), "node"), shingle, repeated)
-    label = components(linked(blocks.join(whole, "node"), similarity))
+
+    def probable(n, fp, fp2):
+        return partners(n, np.stack([fp, fp2], axis=1).astype(np.int64), similarity)
+
+    def whole(some):
+        return whole_sets(docs, nodes.join(some, "node"), shingle, repeated)
+
+    label = connected(groups, nodes.select("node", "n", "fp", "fp2"), whole, probable, similarity)
     per = nodes.select("node", "first").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     best = per.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("best"))
     best = best.select(F.col("best.doc_id").alias("b_id"), F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"))
