@@ -1,9 +1,10 @@
-"""Joins on time: to the nearest row, and of points with intervals.
+"""Joins on time: to the nearest row, of points with intervals, and of intervals with the sums of their points.
 
-Neither compares all pairs, and neither gathers a key's rows in one task:
+None compares all pairs, and none gathers a key's rows in one task:
 the nearest join cuts the axis into ranges of about equal numbers of times and
 carries the last and first row of a range to the others; the interval join
-meets in buckets as wide as the interval is long, and splits the hot ones.
+meets in buckets as wide as the interval is long, and splits the hot ones;
+the sums are differences of two running ones, so no pair is made at all.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 CELLS = 1 << 16  # of the histogram that ranges are cut by
 TIMES = 4096  # distinct times of a range, about
 SPLIT = 4096  # points of a bucket that meet in one task, about
+BITS = 12  # of a time that one window sorts by: 4,096 rows of a key at most
 
 
 def _same(a: list[str], b: list[str]) -> Column:
@@ -67,6 +69,7 @@ def nearest_join(left: DataFrame, right: DataFrame, time: str, pick: str, by: tu
 def interval_join(points: DataFrame, intervals: DataFrame, time: str, low: str, high: str, by: tuple[str, ...] = (), split: int = SPLIT) -> DataFrame:
     """All pairs of a point and an interval (of the same key, if any) with low <= time <= high; columns of both, keys once.
 
+    Where only counts and sums of an interval's points are asked for, interval_totals makes no pairs.
     An interval lies in one or two buckets of the least power of two that is
     longer than it is; points look into the buckets of every length that
     occurs (64 at most), and each pair meets once. A bucket with more than
@@ -90,3 +93,61 @@ def interval_join(points: DataFrame, intervals: DataFrame, time: str, low: str,
     iv = iv.join(hot, keys, "left").withColumn("part_", F.explode(F.sequence(F.lit(0), F.coalesce("parts_", F.lit(1)) - 1))).drop("parts_")
     met = pt.withColumn("part_", F.col("part_").cast("int")).join(iv, [*keys, "part_"]).where(F.col(time).between(F.col(low), F.col(high)))
     return met.select(*points.columns, *[c for c in intervals.columns if c not in by])
+
+
+def _running(rows: DataFrame, keys: list[str], t: str, values: list[str], low: int, high: int, bits: int) -> DataFrame:
+    """keys, t, values, and as upto_<value> their sums over all rows of the key that aren't later; a key has each t, of low to high, once.
+
+    A window sorts the rows of one bucket of 2^bits times; a bucket's own sum is
+    a row for the same one level up, until one bucket holds all that are left.
+    """
+    so_far = lambda *by: Window.partitionBy(*by).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    if high - low < 1 << bits:
+        return rows.select(*keys, t, *values, *[F.sum(v).over(so_far(*keys)).alias(f"upto_{v}") for v in values])
+    up = f"{t}_up"
+    rows = rows.withColumn(up, F.shiftright(t, bits))
+    within = rows.select(*keys, up, t, *values, *[F.sum(v).over(so_far(*keys, up)).alias(f"in_{v}") for v in values])
+    whole = rows.groupBy(*keys, up).agg(*[F.sum(v).alias(v) for v in values])
+    before = _running(whole, keys, up, values, low >> bits, high >> bits, bits)
+    before = before.select(*keys, up, *[(F.col(f"upto_{v}") - F.col(v)).alias(f"before_{v}") for v in values])
+    return within.join(before, [*keys, up]).select(*keys, t, *values, *[(F.col(f"in_{v}") + F.col(f"before_{v}")).alias(f"upto_{v}") for v in values])
+
+
+def interval_totals(points: DataFrame, intervals: DataFrame, time: str, low: str, high: str, total: str, by: tuple[str, ...] = (), bits: int = BITS) -> DataFrame:
+    """intervals' columns, n and `total`: how many points (of the same key, if any) have low <= time <= high, and the sum of their `total`.
+
+    What interval_join gives, grouped by interval, in work that grows with the
+    points and intervals and not with their pairs. Of equal intervals one is
+    looked up, of points of one time one is sorted. Those without a point are
+    left out. Times and `total` are whole numbers (differences of running sums
+    of doubles would be inexact); a sum beyond a long raises. Null totals count
+    in n only, and the sum of nothing else is null. Null times, bounds and keys
+    match nothing, as do intervals that end before they begin; repeated rows of
+    intervals stay repeated.
+    """
+    odd = [c for df, cs in ((points, (time, total)), (intervals, (low, high))) for c in cs if df.schema[c].dataType.simpleString() not in {"tinyint", "smallint", "int", "bigint"}]
+    if odd:
+        raise ValueError(f"{odd} are not whole numbers")
+    clash = {"n", total, "lo_", "hi_"} & set(intervals.columns)
+    if clash:
+        raise ValueError(f"{sorted(clash)} are made here: rename them in the intervals")
+    keys = [f"k{i}_" for i in range(len(by))]
+    named = lambda df: [F.col(c).alias(k) for c, k in zip(by, keys)]
+    values = ["n_", "m_", "s_"]
+    pt = points.where(F.col(time).isNotNull()).select(*named(points), F.col(time).cast("long").alias("t_"), F.lit(1).cast("long").alias("n_"), F.col(total).isNotNull().cast("long").alias("m_"), F.coalesce(F.col(total), F.lit(0)).cast("decimal(20,0)").alias("s_"))
+    pt = pt.dropna(subset=keys) if keys else pt
+    first, last = pt.agg(F.min("t_"), F.max("t_")).first()
+    first, last = (0, -1) if first is None else (first, last)
+    # bounds beyond all points are moved to the outermost ones
+    iv = intervals.where(F.col(low) <= F.col(high)).withColumns({"lo_": F.greatest(F.col(low).cast("long"), F.lit(first).cast("long")), "hi_": F.least(F.col(high).cast("long"), F.lit(last).cast("long"))}).where("lo_ <= hi_")
+    asked = iv.select(*named(iv), "lo_", "hi_").distinct()
+    asked = asked.dropna(subset=keys) if keys else asked
+    bounds = asked.select(*keys, F.explode(F.array("lo_", "hi_")).alias("t_"), F.lit(0).cast("long").alias("n_"), F.lit(0).cast("long").alias("m_"), F.lit(0).cast("decimal(20,0)").alias("s_"))
+    marks = pt.unionByName(bounds).groupBy(*keys, "t_").agg(*[F.sum(v).alias(v) for v in values])
+    marks = _running(marks, keys, "t_", values, first, last, bits)
+    begin = marks.select(*keys, F.col("t_").alias("lo_"), *[(F.col(f"upto_{v}") - F.col(v)).alias(f"a{v}") for v in values])
+    end = marks.select(*keys, F.col("t_").alias("hi_"), *[F.col(f"upto_{v}").alias(f"b{v}") for v in values])
+    n, m, s = (F.col(f"b{v}") - F.col(f"a{v}") for v in values)
+    found = asked.join(begin, [*keys, "lo_"]).join(end, [*keys, "hi_"]).where(n > 0)
+    found = found.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "lo_", "hi_", n.alias("n"), F.when(m > 0, s).cast("long").alias(total))
+    return iv.join(found, [*by, "lo_", "hi_"]).select(*intervals.columns, "n", total)

@@ -315,8 +315,8 @@ def _windows(spark, sf):
     ship = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1990-01-01 00:00:00'"), F.col("l_shipdate").cast("timestamp_ntz"))
     li = li.select("l_orderkey", "l_linenumber", F.pmod("l_partkey", F.lit(500)).alias("grp"), F.pmod(ship, F.lit(CYCLE)).alias("lo"), F.col("l_quantity").cast("long").alias("hours")).withColumn("hi", F.col("lo") + F.col("hours") * 3600)
     ev = _events_at(spark, sf).withColumn("grp", F.pmod("user_id", F.lit(500)))
-    met = joins.interval_join(ev, li, "sec", "lo", "hi", ("grp",))
-    return met.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    met = joins.interval_totals(ev, li, "sec", "lo", "hi", "cents", ("grp",))
+    return met.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
 
 
 WINDOWS_SQL = f"""with li as (select l_orderkey, l_linenumber, l_partkey % 500 as grp, cast(floor(epoch(cast(l_shipdate as timestamp) - timestamp '1990-01-01 00:00:00')) as bigint) % {CYCLE} as lo, cast(l_quantity as bigint) as hours from lineitem)

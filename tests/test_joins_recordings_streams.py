@@ -61,6 +61,46 @@ def test_interval_join(spark, by, split):
         joins.interval_join(p, i.withColumn("id", F.lit(1)), "t", "lo", "hi", by)
 
 
+@pytest.mark.parametrize(("by", "bits"), [((), 12), (("k",), 2), (("k",), 5)])
+def test_interval_totals(spark, by, bits):
+    r = np.random.default_rng(6)
+    # running sums leave a long, an interval's own don't; some totals are null
+    points = [(k, None if t is None else t - 200, None if i % 7 == 0 else (1 << 60) + i) for i, k, t in some(7, 90, 600)]
+    ivs = [(i, "ab"[i % 2] if i % 9 else None, None if i == 3 else int(a), None if i == 4 else int(a + w)) for i, (a, w) in enumerate(zip(r.integers(-300, 600, 70), [0, 1, 2, 7, 8, 9, 10, -3, 6, 5] * 7))]
+    ivs = [(i, k, lo, hi) for i, k, lo, hi in ivs if None in (lo, hi) or not lo <= -150 <= hi] + [(90, "a", -10_000, -200), (91, "b", 399, 1 << 62)]
+    p = spark.createDataFrame(points, "k string, t long, x long").repartition(3)
+    i = spark.createDataFrame(ivs + ivs[:2], "iv long, k string, lo long, hi long")
+    want = []
+    for iv, k, lo, hi in ivs + ivs[:2]:
+        held = [x for kk, t, x in points if None not in (t, lo, hi) and lo <= t <= hi and (not by or k is not None and k == kk)]
+        if held:
+            some_ = [x for x in held if x is not None]
+            want.append((iv, k, lo, hi, len(held), sum(some_) if some_ else None))
+    got = joins.interval_totals(p, i, "t", "lo", "hi", "x", by, bits)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and want
+    assert joins.interval_totals(p.limit(0), i, "t", "lo", "hi", "x", by, bits).count() == 0
+    assert joins.interval_totals(p, i.limit(0), "t", "lo", "hi", "x", by, bits).count() == 0
+    with pytest.raises(ValueError, match="whole"):
+        joins.interval_totals(p.withColumn("x", F.lit(0.5)), i, "t", "lo", "hi", "x", by)
+    with pytest.raises(ValueError, match="rename"):
+        joins.interval_totals(p, i.withColumn("n", F.lit(1)), "t", "lo", "hi", "x", by)
+
+
+def test_shipping_windows_makes_no_pairs(spark, tmp_path):
+    """40,000 lines that hold each of 40,000 events: 1.6 billion pairs."""
+    import time
+
+    import __spark_entry__ as entry
+
+    n = 40_000
+    spark.range(n).selectExpr("id as l_orderkey", "1 as l_linenumber", "500 * id as l_partkey", "24.0D as l_quantity", "timestamp'1990-01-01 00:00:00' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(n).selectExpr("id as event_id", "500 * id as user_id", "0.01D * id as value", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    begun = time.time()
+    got = entry.queries()["shipping_windows"](spark, str(tmp_path)).groupBy("n", "cents").count().collect()
+    assert [tuple(r) for r in got] == [(n, n * (n - 1) // 2, n)]
+    assert time.time() - begun < 60
+
+
 def test_best_cells_of_each_key(spark):
     rows = [(o, i, t, None if (i + t) % 7 == 0 else float((i * t + o) % 5)) for o in range(3) for i in range(6) for t in range(8)] + [(9, 0, 0, None), (8, 0, 0, 1.0)]
     df = spark.createDataFrame(rows, "obs int, i_dt int, t int, v double")
