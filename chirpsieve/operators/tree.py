@@ -2,6 +2,8 @@
 
 Both are an equi-join with a broadcast plan and one sum per level. Optional key
 columns (an observation, a beam) are carried through as further group keys.
+A sum's cells are shuffled; where all trials of many cells are wanted, packed.py
+shuffles the samples alone.
 """
 
 from __future__ import annotations
@@ -23,33 +25,41 @@ def inside(wf: DataFrame, nchans: int, nsamps: int) -> DataFrame:
     return wf.withColumn("chan", F.when(F.coalesce(ok, F.lit(False)), F.col("chan")).otherwise(wrong))
 
 
-def means(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = (), dense: bool = False, block: int = BLOCK) -> DataFrame:
-    """*by, chan, i_dt, w, t, v: mean of the last w + 1 samples of each channel, for each w of its grid, where they all exist (dense: 0 before).
+def sums(wf: DataFrame, plan: TreePlan, by: tuple[str, ...], block: int, reach: int, together: bool) -> DataFrame:
+    """*by, block, chan, start, own, stop, s: each channel's sums from `start` on, `reach` samples before the block's own, to `stop`.
 
-    A channel is cut into blocks, each with as many samples before it as the
-    longest w, so no window is longer than that. Sums from a block's beginning
-    are made once; a mean is the difference of two of them, whatever its w. A
-    cell that is missing or repeated raises; a null sample counts as 0.
+    together: all channels of a block lie in one partition, else each where its
+    own hash says. A cell that is missing or repeated raises.
     """
-    p, g = frames.channels(wf.sparkSession, plan), plan.geometry
-    reach = int(plan.levels[0].delay.max())
-    length, t = max(block, reach, 1), F.col("t")
+    g, t, b = plan.geometry, F.col("t"), F.col("block")
+    length = max(block, reach, 1)
     last = (g.nsamps - 1) // length
-    b = F.col("block") if last else F.lit(0)
     x = inside(wf, g.nchans, g.nsamps).select(*by, "chan", "t", F.coalesce("x", F.lit(0.0)).alias("x"))
-    if last:
-        x = x.withColumn("block", F.explode(F.sequence(F.floor(t / length).cast("int"), F.least(F.lit(last), F.floor((t + reach) / length).cast("int")))))
-    keys = (*by, "chan", "block") if last else (*by, "chan")
+    first = F.floor(t / length).cast("int")
+    x = x.withColumn("block", F.explode(F.sequence(first, F.least(F.lit(last), F.floor((t + reach) / length).cast("int")))) if last else first)
+    keys = (*by, "chan", "block")
     # many cells come of a sample: as many tasks as shuffles have, however few the samples' bytes are
-    x = x.repartition(int(wf.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    x = x.repartition(int(wf.sparkSession.conf.get("spark.sql.shuffle.partitions")), *((*by, "block") if together else keys))
     over = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    sums = x.select(*keys, "t", F.sum("x").over(over).alias("s"))
+    running = x.select(*keys, "t", F.sum("x").over(over).alias("s"))
     # rows of a block lie together already: nothing is shuffled here
-    packed = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "s"))).alias("held"))
+    packed = running.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "s"))).alias("held"))
     start, stop = F.greatest(F.lit(0), b * length - reach), F.least(F.lit(g.nsamps), (b + 1) * length) - 1
     whole = (F.size("held") == stop - start + 1) & F.forall(F.transform("held", lambda e, i: e["t"] == start + i), lambda ok: ok)
     held = F.when(whole, F.col("held")).otherwise(F.raise_error(F.lit(f"a waterfall of {g.nchans} x {g.nsamps} is needed: a cell is missing or repeated")))
-    packed = packed.select(*by, "chan", start.alias("start"), (b * length).alias("own"), stop.alias("stop"), held["s"].alias("s"))
+    return packed.select(*by, "block", "chan", start.alias("start"), (b * length).alias("own"), stop.alias("stop"), held["s"].alias("s"))
+
+
+def means(wf: DataFrame, plan: TreePlan, by: tuple[str, ...] = (), dense: bool = False, block: int = BLOCK) -> DataFrame:
+    """*by, chan, i_dt, w, t, v: mean of the last w + 1 samples of each channel, for each w of its grid, where they all exist (dense: 0 before).
+
+    A channel is cut into blocks, each with as many samples before it as the
+    longest w, so no window is longer than that. Sums from a block's beginning
+    are made once; a mean is the difference of two of them, whatever its w. A
+    cell that is missing or repeated raises; a null sample counts as 0.
+    """
+    p = frames.channels(wf.sparkSession, plan)
+    packed = sums(wf, plan, by, block, int(plan.levels[0].delay.max()), False)
     first = F.col("own") if dense else F.greatest("own", "w")
     upto = lambda u: F.coalesce(F.get("s", u - F.col("start")), F.lit(0.0))
     mean = lambda u: (upto(u) - upto(u - F.col("w") - 1)) / (F.col("w") + 1)

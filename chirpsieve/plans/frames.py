@@ -21,9 +21,13 @@ def _frame(spark: SparkSession, columns: dict, schema: str) -> DataFrame:
     return spark.createDataFrame(pa.table({n: pa.array(columns[n], kinds[k]) for n, k in fields}), schema)
 
 
-def flat(spark: SparkSession, plan: TreePlan) -> DataFrame:
+def _small(plan: TreePlan) -> None:
     if plan.cost()[1] > MOST_FLAT:
         raise ValueError(f"the flat form of this geometry has {plan.cost()[1]} rows; use the tree")
+
+
+def flat(spark: SparkSession, plan: TreePlan) -> DataFrame:
+    _small(plan)
     return _frame(spark, plan.flatten(), "i_dt int, dt int, chan int, w int, shift int")
 
 
@@ -37,6 +41,38 @@ def level(spark: SparkSession, plan: TreePlan, i: int) -> DataFrame:
     return _frame(spark, {"out_sub": this.band[row], "out_dt": this.index[row], "src_sub": below.band[src], "src_dt": below.index[src], "shift": shift}, "out_sub int, out_dt int, src_sub int, src_dt int, shift int")
 
 
+def _packed(spark: SparkSession, name: str, value: list, kind: pa.DataType) -> DataFrame:
+    """One row of one column: a plan that each block reads whole."""
+    return spark.createDataFrame(pa.table({name: pa.array([value], kind)}))
+
+
+def _rows(*names: str) -> pa.DataType:
+    return pa.list_(pa.struct([(n, pa.int32()) for n in names]))
+
+
+def packed_channels(spark: SparkSession, plan: TreePlan) -> DataFrame:
+    """channels: (chan, w) of each row of level 0."""
+    x = plan.levels[0]
+    return _packed(spark, "channels", [{"chan": c, "w": w} for c, w in zip(x.band.tolist(), x.delay.tolist())], _rows("chan", "w"))
+
+
+def packed_levels(spark: SparkSession, plan: TreePlan) -> DataFrame:
+    """levels: of each from 1 on, (tail, head, shift) of each row: row numbers of the level below, head -1 where it is copied."""
+    levels = [[{"tail": a, "head": b, "shift": c} for a, b, c in zip(x.tail.tolist(), x.head.tolist(), x.offset.tolist())] for x in plan.levels[1:]]
+    return _packed(spark, "levels", levels, pa.list_(_rows("tail", "head", "shift")))
+
+
+def packed_flat(spark: SparkSession, plan: TreePlan) -> DataFrame:
+    """trials: of each, (row of level 0, shift) of its channels."""
+    _small(plan)
+    f, x = plan.flatten(), plan.levels[0]
+    row = {k: i for i, k in enumerate(zip(x.band.tolist(), x.delay.tolist()))}
+    trials = [[] for _ in plan.final.delay]
+    for i, c, w, shift in zip(*(f[k].tolist() for k in ("i_dt", "chan", "w", "shift"))):
+        trials[i].append({"row": row[c, w], "shift": shift})
+    return _packed(spark, "trials", trials, pa.list_(_rows("row", "shift")))
+
+
 def mappings(spark: SparkSession, plan: TreePlan) -> DataFrame:
     """The plan itself: level, i_sub, i_dt, dt and the coordinates of tail and head (null: none) with the head's offset."""
     out = []

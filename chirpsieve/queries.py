@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dispersion as fn
-from .operators import blocks, direct, joins, pulse, table_function, tree
+from .operators import blocks, direct, joins, packed, pulse, table_function, tree
 from .plans import frames
 from .plans.geometry import DISPERSION, SIMULATOR_DISPERSION, DirectGeometry, Geometry
 from .plans.tree import TreePlan
@@ -247,8 +247,8 @@ def _recovered(spark, sf):
 
 # The embeddings' queries over every vector: query, form, geometry. The last observation may lack channels.
 WHOLE = [
-    ("tree_flat_embeddings", tree.flat_transform, "small"), ("tree_embeddings", tree.tree_transform, "small"), ("tree_wide_embeddings", tree.tree_transform, "wide"),
-    ("tree_stepped_embeddings", tree.tree_transform, "stepped"), ("tree_one_channel", tree.tree_transform, "one"), ("tree_two_channels", tree.tree_transform, "two"),
+    ("tree_flat_embeddings", packed.flat_packed, "small"), ("tree_embeddings", packed.tree_packed, "small"), ("tree_wide_embeddings", packed.tree_packed, "wide"),
+    ("tree_stepped_embeddings", packed.tree_packed, "stepped"), ("tree_one_channel", packed.tree_packed, "one"), ("tree_two_channels", packed.tree_packed, "two"),
 ]
 
 
@@ -326,7 +326,7 @@ select l_orderkey, l_linenumber, count(*) as n, cast(sum(cents) as bigint) as ce
 def _best_cells(spark, sf):
     """The five strongest cells of every observation."""
     p = plan("small")
-    out = tree.tree_transform(waterfall.embeddings(spark, sf, 8), p, ("obs",), absent="zero")
+    out = packed.tree_packed(waterfall.embeddings(spark, sf, 8), p, ("obs",), absent="zero")
     return pulse.peak(out.withColumn("v", F.round("v", 6)), k=5, by=("obs",))
 
 
