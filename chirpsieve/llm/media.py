@@ -8,6 +8,7 @@ ordinary bytes are not reported.
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import re
 import struct
@@ -213,6 +214,16 @@ def _flac(b: bytes, at: int, known: dict) -> int:
 _SYNC = re.compile(rb"\xff[\xf8\xf9]")
 
 
+@functools.cache
+def _powers() -> np.ndarray:
+    """x^-i modulo CRC-16's polynomial, for i to its period; once a process, since it takes longer than the sums of a text."""
+    unit, back = 1, []
+    for _ in range(32767):  # one step divides by x
+        back.append(unit)
+        unit = (unit ^ 0x18005) >> 1 if unit & 1 else unit >> 1
+    return np.array(back, dtype=np.uint16)
+
+
 def same_sums(b: bytes) -> np.ndarray:
     """A value for each position (the last one is the end) such that the CRC-16 of b[p:q] is 0 where those of p and q are equal.
 
@@ -220,16 +231,12 @@ def same_sums(b: bytes) -> np.ndarray:
     doesn't depend on where a frame begins, and all shares are one array.
     """
     n = len(b)
-    unit, back = 1, []
-    for _ in range(32767):  # x^-1 has this period: one step divides by x
-        back.append(unit)
-        unit = (unit ^ 0x18005) >> 1 if unit & 1 else unit >> 1
-    power = np.array(back, dtype=np.uint32)[8 * (np.arange(n, dtype=np.int64) + 1) % 32767]
-    byte, share = np.array(CRC16, dtype=np.uint32)[np.frombuffer(b, np.uint8)], np.zeros(n, dtype=np.uint32)
-    for bit in range(16):
-        share ^= np.where(byte >> bit & 1, power, 0).astype(np.uint32)
-        power = power << 1
-        power = np.where(power & 0x10000, power ^ 0x18005, power).astype(np.uint32)
+    # a byte's share is the byte times x^16, of the CRC, and x^-8 for each byte up to it
+    power = _powers()[(8 * np.arange(n, dtype=np.int64) - 8) % 32767]
+    byte, share = np.frombuffer(b, np.uint8).astype(np.uint16), np.zeros(n, dtype=np.uint16)
+    for bit in range(8):
+        share ^= (byte >> bit & 1) * power
+        power = power << 1 ^ (power >> 15) * np.uint16(0x8005)
     return np.concatenate([np.zeros(1, np.int64), np.bitwise_xor.accumulate(share).astype(np.int64)]) if n else np.zeros(1, np.int64)
 
 
