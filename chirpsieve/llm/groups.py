@@ -18,11 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, materialize, mix, rolling, slot, slots, text_keys, word_hashes, words
+from .common import LOWER_AZ, lean, materialize, mix, rolling, slot, slots, text_keys, word_hashes, words
 
 BLOCK = 1024  # nodes of a block
 BLOCK_ITEMS = 4_000_000  # items of all its sets
 COLUMNS = 2048  # items multiplied at a time
+PART_ITEMS = 500_000  # items sorted at a time
 BASE = 0x9E3779B97F4A7C15  # an odd multiplier
 STRIP = 128  # rows compared at a time
 
@@ -49,7 +50,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int, repeated: bool =
     texts = docs.select("doc_id", *text_keys(F.col("text")), "text")
     texts = texts.join(slots(needed, "n1"), slot("k1") == F.col("slot_"), "left_semi")
     texts = texts.join(needed, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("one")))
-    sets = texts.select("node", "text").mapInArrow(run, "node long, set binary")
+    sets = texts.select("node", "text").mapInArrow(lean(run), "node long, set binary")
     return materialize(sets.dropDuplicates(["node"]) if repeated else sets)
 
 
@@ -121,7 +122,7 @@ def by_task(df: DataFrame, body: Callable, columns: list[str], schema: str) -> D
                 held.append([c[b:e] for c in cols])
         yield from flush()
 
-    return df.select("task", *columns).repartition("task").sortWithinPartitions("task").mapInArrow(run, schema)
+    return df.select("task", *columns).repartition("task").sortWithinPartitions("task").mapInArrow(lean(run), schema)
 
 
 def starts(sorted_: np.ndarray) -> np.ndarray:
@@ -133,22 +134,35 @@ def starts(sorted_: np.ndarray) -> np.ndarray:
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of different sets of distinct integers (exact: they stay below 2^24)."""
-    m = len(sets)
-    h, owner = np.concatenate(sets), np.repeat(np.arange(m, dtype=np.int32), [len(s) for s in sets])
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    parts = -(-len(h) // PART_ITEMS)
+    if parts < 2:
+        _add_shared(out, h, owner)
+        return out
+    # equal items have equal remainders: what sorting takes is that of a part, not of the block
+    part = (h % h.dtype.type(parts)).astype(np.uint16)
+    for p in range(parts):
+        mine = part == p
+        _add_shared(out, h[mine], owner[mine])
+    return out
+
+
+def _add_shared(out: np.ndarray, h: np.ndarray, owner: np.ndarray) -> None:
+    """Adds to out[a, b] the number of items that a and b share; owner: whose item each of h is."""
+    m = len(out)
     order = np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
     item = np.cumsum(starts(h)) - 1
     shared = np.bincount(item)[item] > 1
     item, owner = item[shared], owner[shared]
     item = np.cumsum(starts(item)) - 1
-    out = np.zeros((m, m), dtype=np.float32)
     width = min(COLUMNS, int(item[-1]) + 1 if len(item) else 0)
     for at in range(0, int(item[-1]) + 1 if len(item) else 0, width or 1):
         lo, hi = np.searchsorted(item, (at, at + width))
         hot = np.zeros((m, width), dtype=np.float32)
         hot[owner[lo:hi], item[lo:hi] - at] = 1
         out += hot @ hot.T
-    return out
 
 
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

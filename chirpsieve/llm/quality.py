@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, words
+from .common import LOWER_AZ, lean, words
 
 CLASSES, WORDS = 12, 1024
 WORD_WEIGHT = 0.5  # beside byte classes, which tell more
@@ -77,7 +77,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
             m = _matrix(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["quality_"], batch["doc_id"], batch["k_"], pa.array([r.tobytes() for r in m], pa.binary())], ["y", "id", "k", "x"])
 
-    found = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("id_")).select("quality_", "doc_id", F.xxhash64("text").alias("k_"), "text").mapInArrow(run, "y int, id long, k long, x binary")
+    found = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("id_")).select("quality_", "doc_id", F.xxhash64("text").alias("k_"), "text").mapInArrow(lean(run), "y int, id long, k long, x binary")
     got = found.groupBy("id").agg(F.min(F.struct("k", "x", "y")).alias("r")).select("id", "r.x", "r.y").orderBy("id")
     # sample rows a class at most; one partition's rows at a time, so that no second copy of all is held
     rows, y = np.zeros((ids.shape[0], TERMS), np.float32), np.zeros(ids.shape[0], np.float32)
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(np.clip(np.concatenate(out), 0, 1) if out else [], pa.float64())], [*columns, "score"])
 
     names = list(dict.fromkeys([*columns, "text"]))
-    return docs.select(*names).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*names).mapInArrow(lean(run), f"{kinds}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:

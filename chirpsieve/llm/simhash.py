@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, boxed, materialize, mix, slot, slots, text_keys
+from .common import LOWER_AZ, boxed, lean, materialize, mix, slot, slots, text_keys
 from .groups import STRIP, as_bytes, components, connected, shingle_set, whole_sets
 
 SEGMENTS, BITS = 8, 8
@@ -279,7 +279,7 @@ def commonness(texts: DataFrame, shingle: int) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "met"])
 
-    rows = texts.select("text").mapInArrow(count, "slice int, met binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, met binary")
+    rows = texts.select("text").mapInArrow(lean(count), "slice int, met binary").repartition(SLICES, "slice").mapInArrow(lean(add), "slice int, met binary")
     table = np.zeros((SLICES, width), dtype=np.int64)
     for r in materialize(rows).collect():  # SLICES rows of a fixed size
         table[r.slice] = np.frombuffer(r.met, np.int64)
@@ -314,7 +314,7 @@ def survey(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray)
             c, fp = np.array(c, dtype=np.int64).reshape(-1, 2), np.array(fp, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["k1"], batch["k2"], pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(n, pa.int32()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), prefix], ["doc_id", "k1", "k2", "c1", "c2", "n", "fp", "fp2", "prefix"])
 
-    return docs.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, c1 long, c2 long, n int, fp long, fp2 long, prefix array<long>")
+    return docs.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(lean(run), "doc_id long, k1 long, k2 long, c1 long, c2 long, n int, fp long, fp2 long, prefix array<long>")
 
 
 def reach(similarity: float, bits: int = 128) -> int:
